@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, quality_rules, secret_scan
+from . import flac_media, license_scan, line_dedup, mixing, quality_rules, secret_scan, toxicity
 from .common import read
 
 
@@ -28,11 +28,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media.read_back(flac_media.store(read(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate_lines(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -42,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents")).drop("places")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_line_dedup, op8_mixing, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_flac_media, op5_line_dedup, op6_toxicity, op8_mixing, op9_license_scan)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 SQL = {
