@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac_media, license_scan, line_dedup, mixing, quality_rules, secret_scan, toxicity
+from . import bpe, flac_media, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, toxicity
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -59,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_flac_media, op5_line_dedup, op6_toxicity, op8_mixing, op9_license_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 SQL = {
