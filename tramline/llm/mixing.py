@@ -76,3 +76,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     extra = F.when((F.col("source_size") == 0) | F.col("prefix").isNull() & (F.col("times") >= CAP), F.lit(False)).when(F.col("prefix").isNull(), F.lit(False)).otherwise((F.col("h") < F.col("prefix")) | (F.col("h") == F.col("prefix")) & F.col("take"))
     out = sizes.join(limits, F.col("source").eqNullSafe(F.col("bs")))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("times") + extra.cast("int")).cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """`docs`, all columns: every row as often as the mix takes it, none to two times."""
+    takes = mix(docs, id_col, source_col, text_col).where(F.col("copies") > 0).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("copies").alias("_copies")).distinct()
+    out = docs.join(takes, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
