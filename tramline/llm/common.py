@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Python handles the texts of one Arrow batch in slices of about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -26,7 +26,7 @@ BLOCK = 1024
 RATE = 8000
 PAD = 64
 MAX_RICE = 14
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -111,9 +111,15 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     zz = np.where(r >= 0, 2 * r, -2 * r - 1)
     zz[~coded] = 0
     n_coded = size - best
-    bits_by_k = np.stack([np.add.reduceat(zz >> k, start) + n_coded * (k + 1) for k in range(MAX_RICE + 1)])
-    rice = np.argmin(bits_by_k, axis=0)
-    rice_bits = 8 * best + 10 + bits_by_k[rice, np.arange(len(rice))]
+    # the Rice parameter: the best of three near the logarithm of the mean
+    mean = np.add.reduceat(zz, start) / np.maximum(n_coded, 1)
+    near = np.clip(np.log2(np.maximum(mean, 1)).astype(np.int64), 1, MAX_RICE - 1)
+    tried = []
+    for k in (near - 1, near, near + 1):
+        tried.append(np.add.reduceat(zz >> np.repeat(k, size).astype(zz.dtype), start) + n_coded * (k + 1))
+    pick = np.argmin(np.stack(tried), axis=0)
+    rice = near - 1 + pick
+    rice_bits = 8 * best + 10 + np.choose(pick, tried)
     verbatim = ~constant & (rice_bits >= 8 * size)
     coded_frame = ~constant & ~verbatim
     body_bits = np.where(constant, 8, np.where(verbatim, 8 * size, rice_bits)) + 8
@@ -147,9 +153,10 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     code = ends - width + np.repeat(after + 10 - base, n_codes)
     stop = code + (v >> k)
     bits[stop] = 1
+    least, end_of = int(k.min(initial=0)), stop + k
     for j in range(int(k.max(initial=0))):
-        some = k > j
-        bits[(stop + k - j)[some]] = (v[some] >> j) & 1
+        some = slice(None) if j < least else k > j
+        bits[end_of[some] - j] = (v[some] >> j) & 1
     buf = np.packbits(bits)
     head_bytes = np.frombuffer(b"".join(heads), np.uint8)
     buf[_ranges(at, head_len - 1)] = head_bytes
@@ -243,6 +250,76 @@ def _unary(bits: _Bits, pos: np.ndarray) -> np.ndarray:
     return zeros
 
 
+_ZEROS = 16 - np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)  # leading zeros of 16 bits
+
+
+def _plain_rice(bits: _Bits, x: np.ndarray, coded: np.ndarray, running: np.ndarray, pos: np.ndarray, order: np.ndarray) -> None:
+    """Residuals of frames with one partition: one read of 57 bits gives quotient and remainder, unless the quotient is 16 or more."""
+    at, order = pos[coded], order[coded]
+    k = bits.read(at, 4)
+    if (k == 15).any():
+        return _rice_parts(bits, x, np.isin(np.arange(len(pos)), coded), running, pos, order=_spread(order, coded, len(pos)), part=np.full(len(pos), 1 << 60), wide=np.full(len(pos), 4))
+    at = at + 4
+    live = np.searchsorted(coded, running)  # of the coded frames, those that run at step n
+    warm, words = int(order.max(initial=0)), bits.words
+    down = (63 - k).astype(np.uint64)
+    out = np.zeros((len(x), len(coded)), np.int64)
+    for n, m in enumerate(live.tolist()):
+        if not m:
+            break
+        f = slice(0, m) if n >= warm else np.flatnonzero(order[:m] <= n)
+        p = at[f]
+        w = words[p >> 3] << (p & 7).astype(np.uint64)
+        q = _ZEROS[(w >> np.uint64(48)).astype(np.int64)]
+        kf = k[f]
+        if q.max(initial=0) < 16:
+            low = (w << (q + 1).astype(np.uint64)) >> np.uint64(1) >> down[f]
+        else:
+            q = _unary(bits, p)
+            low = bits.window(p + q + 1) >> np.uint64(1) >> down[f]
+        v = (q << kf) | low.astype(np.int64)
+        out[n, f] = (v >> 1) ^ -(v & 1)
+        at[f] = p + q + 1 + kf
+    hit = np.arange(len(x))[:, None] >= order[None, :]
+    x[:, coded] = np.where(hit, out, x[:, coded])
+
+
+def _spread(values: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, values.dtype)
+    out[places] = values
+    return out
+
+
+def _rice_parts(bits: _Bits, x: np.ndarray, coded: np.ndarray, running: np.ndarray, pos: np.ndarray, order: np.ndarray, part: np.ndarray, wide: np.ndarray) -> None:
+    """Residuals in any number of partitions, with 4- or 5-bit parameters and escapes to plain numbers."""
+    pos, n_frames = pos.copy(), len(pos)
+    k, escaped, raw_bits = np.zeros(n_frames, np.int64), np.zeros(n_frames, bool), np.zeros(n_frames, np.int64)
+    for n in range(len(x)):
+        m = int(running[n])
+        f = np.flatnonzero(coded[:m] & (order[:m] <= n))
+        if not f.size:
+            continue
+        fresh = f[(order[f] == n) | (n % part[f] == 0)]
+        for width in (4, 5):
+            g = fresh[wide[fresh] == width]
+            k[g] = bits.read(pos[g], width)
+            pos[g] += width
+            escaped[g] = k[g] == (1 << width) - 1
+        g = fresh[escaped[fresh]]
+        raw_bits[g] = bits.read(pos[g], 5)
+        pos[g] += 5
+        for g in f[escaped[f]].tolist():
+            x[n, g] = bits.signed(pos[g : g + 1], int(raw_bits[g]))[0]
+            pos[g] += raw_bits[g]
+        f = f[~escaped[f]]
+        p = pos[f]
+        q = _unary(bits, p)
+        low = (bits.window(p + q + 1) >> np.uint64(1) >> (63 - k[f]).astype(np.uint64)).astype(np.int64)
+        v = (q << k[f]) | low
+        x[n, f] = (v >> 1) ^ -(v & 1)
+        pos[f] = p + q + 1 + k[f]
+
+
 def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     meta = [_metadata(s) for s in streams]
     buf = np.frombuffer(b"".join(streams), np.uint8)
@@ -306,37 +383,11 @@ def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     wide[rice] = 4 + method
     part = np.full(n_frames, 1 << 60)
     part[rice] = size[rice] >> parts
-    k, escaped, raw_bits = np.zeros(n_frames, np.int64), np.zeros(n_frames, bool), np.zeros(n_frames, np.int64)
-    coded = fixed | lpc
-    any_parts = bool((parts > 0).any())
-    for n in range(longest):
-        m = int(running[n])
-        f = np.flatnonzero(coded[:m] & (order[:m] <= n))
-        if not f.size:
-            continue
-        fresh = f[(order[f] == n) | (n % part[f] == 0)] if any_parts or n <= 32 else f[:0]
-        if fresh.size:
-            for width in (4, 5):
-                g = fresh[wide[fresh] == width]
-                k[g] = bits.read(pos[g], width)
-                pos[g] += width
-                escaped[g] = k[g] == (1 << width) - 1
-            g = fresh[escaped[fresh]]
-            raw_bits[g] = bits.read(pos[g], 5)
-            pos[g] += 5
-        p = pos[f]
-        q = _unary(bits, p) if not escaped.any() else np.where(escaped[f], 0, _unary(bits, np.where(escaped[f], 0, p)))
-        p = p + q + 1
-        kf = k[f]
-        low = (bits.window(p) >> np.uint64(1) >> (63 - kf).astype(np.uint64)).astype(np.int64)
-        v = (q << kf) | low
-        x[n, f] = (v >> 1) ^ -(v & 1)
-        pos[f] = p + kf
-        for g in f[escaped[f]].tolist() if escaped.any() else ():
-            pos[g] -= q[f == g][0] + 1 + k[g]
-            one = np.array([pos[g]])
-            x[n, g] = bits.signed(one, int(raw_bits[g]))[0]
-            pos[g] += raw_bits[g]
+    simple = bool((parts == 0).all() and (method == 0).all())
+    if simple:
+        _plain_rice(bits, x, rice, running, pos, order)
+    else:
+        _rice_parts(bits, x, fixed | lpc, running, pos, order, part, wide)
     # predictors: fixed ones are repeated sums along the block, quantised ones run sample by sample over all frames at once
     for o in range(1, 5):
         f = np.flatnonzero(fixed & (order == o))
