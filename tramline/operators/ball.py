@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,27 +40,32 @@ def select_ball(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> Dat
 
     def follow(match: pd.DataFrame) -> pd.DataFrame:
         match = match.sort_values(["frame_num", "cand_idx"])
+        rows = zip(*(match[c].tolist() for c in ("frame_num", "conf", "x1", "y1", "x2", "y2")))
         anchor, misses, out = None, 0, []
-        for frame, rows in match.groupby("frame_num", sort=True):
+        for frame, seen in groupby(rows, key=itemgetter(0)):
             best = fallback = None
-            for r in rows.itertuples():
-                if pd.isna(r.conf):
+            for _, conf, *box in seen:
+                if conf is None or conf != conf:
+                    continue
+                if fallback is None or conf > fallback[0]:
+                    fallback = (conf, box)
+                if best is not None and conf <= best[0]:
                     continue
-                if fallback is None or r.conf > fallback.conf:
-                    fallback = r
-                cx, cy = (r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2
-                near = anchor is None or ((cx - anchor[0]) ** 2 + (cy - anchor[1]) ** 2) ** 0.5 <= p.ball_max_jump
-                if near and (best is None or r.conf > best.conf):
-                    best = r
+                cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+                if anchor is None or ((cx - anchor[0]) ** 2 + (cy - anchor[1]) ** 2) ** 0.5 <= p.ball_max_jump:
+                    best = (conf, box)
             if best is None:
                 misses += 1
                 if misses >= p.ball_lost_reset:
                     anchor = None
             else:
-                anchor, misses = ((best.x1 + best.x2) / 2, (best.y1 + best.y2) / 2), 0
-            got = best if best is not None else fallback
-            out.append((rows.match_id.iloc[0], frame, *((got.x1, got.y1, got.x2, got.y2) if got is not None else (None,) * 4)))
-        return pd.DataFrame(out, columns=["match_id", "frame_num", "x1", "y1", "x2", "y2"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
+                x1, y1, x2, y2 = best[1]
+                anchor, misses = ((x1 + x2) / 2, (y1 + y2) / 2), 0
+            got = best or fallback
+            out.append((frame, *(got[1] if got else (None,) * 4)))
+        boxes = pd.DataFrame(out, columns=["frame_num", "x1", "y1", "x2", "y2"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
+        boxes.insert(0, "match_id", match["match_id"].iloc[0])
+        return boxes
 
     out = ordered.groupBy("match_id").applyInPandas(follow, BALL_DET)
     return out.select("match_id", "frame_num", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,25 +53,30 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
     ids = range(1, p.n_players + 1)
 
     def deal(match: pd.DataFrame) -> pd.DataFrame:
-        track = dict.fromkeys(ids)
+        match = match.sort_values(["frame_num", "track_id"])
+        rows = zip(*(match[c].tolist() for c in ("frame_num", "track_id", "cx", "cy", "x1", "y1", "x2", "y2")))
+        track: dict[int, int | None] = dict.fromkeys(ids)
         place: dict[int, tuple[int, int] | None] = dict.fromkeys(ids)
         out = []
-        for frame, rows in match.sort_values(["frame_num", "track_id"]).groupby("frame_num", sort=True):
-            free = {r.track_id: r for r in rows.itertuples()}
+        for frame, seen in groupby(rows, key=itemgetter(0)):
+            free = {r[1]: r for r in seen}
             taken: list[int] = []
 
             def give(slot: int, tid: int) -> None:
-                r = free.pop(tid)
-                track[slot], place[slot] = tid, (r.cx, r.cy)
-                out.append((r.match_id, frame, slot, len(taken), r.x1, r.y1, r.x2, r.y2))
+                _, _, cx, cy, *box = free.pop(tid)
+                track[slot], place[slot] = tid, (cx, cy)
+                out.append((frame, slot, len(taken), *box))
                 taken.append(slot)
 
+            def far(tid: int, x: int, y: int) -> float:
+                return ((free[tid][2] - x) ** 2 + (free[tid][3] - y) ** 2) ** 0.5
+
             for slot in ids:
                 if track[slot] in free:
                     give(slot, track[slot])
             empty = [s for s in ids if s not in taken]
             if len(empty) == p.n_players and not any(place.values()) and len(free) >= p.n_players:
-                for slot, tid in zip(ids, sorted(free, key=lambda t: (free[t].cy, free[t].cx))):
+                for slot, tid in zip(ids, sorted(free, key=lambda t: (free[t][3], free[t][2]))):
                     give(slot, tid)
                 continue
             for slot in empty:
@@ -76,12 +84,13 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
                     if free:
                         give(slot, min(free))
                     continue
-                x, y = place[slot]
-                near = min(free, key=lambda t: (free[t].cx - x) ** 2 + (free[t].cy - y) ** 2, default=None)
-                if near is not None and ((free[near].cx - x) ** 2 + (free[near].cy - y) ** 2) ** 0.5 < p.slot_accept:
+                near = min(free, key=lambda t: far(t, *place[slot]), default=None)
+                if near is not None and far(near, *place[slot]) < p.slot_accept:
                     give(slot, near)
                 else:
                     track[slot] = None
-        return pd.DataFrame(out, columns=["match_id", "frame_num", "player_id", "slot_ord", "x1", "y1", "x2", "y2"])
+        got = pd.DataFrame(out, columns=["frame_num", "player_id", "slot_ord", "x1", "y1", "x2", "y2"])
+        got.insert(0, "match_id", match["match_id"].iloc[0])
+        return got
 
     return inside.groupBy("match_id").applyInPandas(deal, PLAYER_SLOT)

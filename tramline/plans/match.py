@@ -96,5 +96,5 @@ class Analysis:
 
 def analyse(matches: DataFrame, keypoints: DataFrame, player_dets: DataFrame, ball_cands: DataFrame, frames: DataFrame, params: Params = DEFAULT) -> Analysis:
     """From raw detections: the two order-dependent steps (ball choice, slots) run first, a match at a time."""
-    slots = players.assign_slots(player_dets, players.court_bounds(keypoints, params), params)
-    return Analysis(matches, keypoints, slots, ball.select_ball(ball_cands, frames, params), frames, params)
+    slots = staged(players.assign_slots(player_dets, players.court_bounds(keypoints, params), params))
+    return Analysis(matches, keypoints, slots, staged(ball.select_ball(ball_cands, frames, params)), frames, params)
