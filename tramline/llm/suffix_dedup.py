@@ -35,9 +35,9 @@ from .common import checkpointed, slices
 LENGTH = 100
 LEVELS = ((32, 69), (85, 16), (100, 1))
 HOT = 32
-_ROW = "pk bigint, a bigint, r bigint, doc bigint, s int, e int, kind int"
+_ROW = "a bigint, r bigint, doc bigint, s int, e int, kind int"
 _SPAN = "doc bigint, s int, e int, kind int"
-OPEN, GONE, MARK, AMBIGUOUS = range(4)
+OPEN, GONE, MARK, AMBIGUOUS, SPLIT = range(5)
 _LEAST = np.iinfo(np.int64).min
 _NULL_ID = _LEAST
 _TABLES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
@@ -147,13 +147,12 @@ def _rows(texts: list[bytes], docs: np.ndarray, spans: list | None, gram: int, w
     n, k, m = len(stay), len(gone), len(marks)
     signed = lambda x: x.astype(np.uint64).view(np.int64)
     return {
-        "pk": np.concatenate([signed(np.where(hot, _mixed(a[stay] ^ r[stay]), a[stay])), doc[gone], signed(a[marks])]),
         "a": np.concatenate([signed(a[stay]), np.full(k, _LEAST), signed(a[marks])]),
-        "r": np.concatenate([signed(r[stay]), np.full(k, _LEAST), np.full(m, _LEAST)]),
+        "r": np.concatenate([signed(r[stay]), doc[gone], np.full(m, _LEAST)]),
         "doc": np.concatenate([doc[stay], doc[gone], np.full(m, _LEAST)]),
         "s": np.concatenate([s[stay], s[gone], np.zeros(m, np.int64)]),
         "e": np.concatenate([e[stay], e[gone], np.zeros(m, np.int64)]),
-        "kind": np.concatenate([np.where(twice[stay] | hot, AMBIGUOUS, OPEN), np.full(k, GONE), np.full(m, MARK)]),
+        "kind": np.concatenate([np.where(hot, SPLIT, np.where(twice[stay], AMBIGUOUS, OPEN)), np.full(k, GONE), np.full(m, MARK)]),
     }
 
 
@@ -166,7 +165,7 @@ def _deal(gram: int, window: int, with_spans: bool) -> Callable[[Iterator[pa.Rec
             spans = [[(x["s"], x["e"]) for x in v] for v in batch.column(2).to_pylist()] if with_spans else None
             for i, j in slices(texts):
                 got = _rows(texts[i:j], docs[i:j], spans[i:j] if spans else None, gram, window, powers)
-                types = [pa.int64()] * 4 + [pa.int32()] * 3
+                types = [pa.int64()] * 3 + [pa.int32()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got.values(), types, strict=True)], list(got))
 
     return run
@@ -186,7 +185,7 @@ def _settle(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         pending = None  # the only run so far of the current sample: (doc, s, e)
         open_sample = False  # whether the current sample is ambiguous
         for batch in batches:
-            a, r, doc, s, e, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 7))
+            a, r, doc, s, e, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
             passed = kind == GONE
             if passed.any():
                 yield spans(doc[passed], s[passed], e[passed], GONE)
@@ -205,7 +204,7 @@ def _settle(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if not last:
                 group = np.cumsum(new_a)  # 0 is the sample carried in
                 first = new_r & real
-                runs, marked = np.bincount(group, first), np.bincount(group, (kind == MARK) | (kind == AMBIGUOUS)) > 0
+                runs, marked = np.bincount(group, first), np.bincount(group, kind >= MARK) > 0
                 if not new_a[0]:
                     runs[0] += 2 if open_sample else (pending is not None)
                 ambiguous = marked | (runs > 1)
@@ -229,7 +228,8 @@ def _settle(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _level(texts: DataFrame, gram: int, window: int, last: bool) -> DataFrame:
     """(doc, s, e, kind) of the level, from (doc, text) or (doc, text, spans)."""
     dealt = texts.mapInArrow(_deal(gram, window, len(texts.columns) == 3), _ROW)
-    return dealt.repartition("pk").sortWithinPartitions("a", "r", "doc", "s").mapInArrow(_settle(last), _SPAN)
+    by = F.when(F.col("kind").isin(SPLIT, GONE), F.xxhash64("a", "r")).otherwise(F.xxhash64("a"))
+    return dealt.repartition(by).sortWithinPartitions("a", "r", "doc", "s").mapInArrow(_settle(last), _SPAN)
 
 
 def _within(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -237,13 +237,19 @@ def _within(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(per, "doc").select("doc", "text", "spans")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, s, e): starts s..e-1 of 100-byte strings of the document that also start earlier. A null id is the least integer here."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(doc, s, e) from (doc, text): starts s..e-1 of 100-byte strings of the document that also start earlier.
+
+    The first level, which sees all positions, is checkpointed. The others follow in one plan, in which the texts are shuffled by document once.
+    """
     first = checkpointed(_level(texts, *LEVELS[0], last=False))
     gone, level = first.where(F.col("kind") == GONE), first
     for k, (gram, window) in enumerate(LEVELS[1:], 2):
-        level = checkpointed(_level(_within(texts, level.where(F.col("kind") == OPEN)), gram, window, last=k == len(LEVELS)))
+        level = _level(_within(texts, level.where(F.col("kind") == OPEN)), gram, window, last=k == len(LEVELS))
         gone = gone.union(level.where(F.col("kind") == GONE))
     return gone.select("doc", "s", "e")
 
@@ -264,9 +270,10 @@ def covered(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary), one row per row of `docs`: its UTF-8 bytes without the repeated ones."""
-    gone = repeated_spans(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = texts.join(gone, "doc", "left").select("id", "text", "spans")
+    texts = _texts(docs, id_col, text_col)
+    gone = repeated_spans(texts).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    own_id = F.when(F.col("doc") != _NULL_ID, F.col("doc")).cast(docs.schema[id_col].dataType).alias("id")
+    both = texts.join(gone, "doc", "left").select(own_id, "text", "spans")
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
     def run(batches):
