@@ -31,7 +31,7 @@ ONE_LETTER, TWO_LETTERS = "sdmt", ("ll", "ve", "re")
 BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_GLUE, ONE_LEFT, TWO_LEFT = range(8)
 N_STATES = 8
 SHORT_PIECE = 64
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 
 @cache

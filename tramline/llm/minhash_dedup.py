@@ -7,9 +7,10 @@ shingle sequences matches L with L / (n + m - L) >= 0.8. Classes are the connect
 
 A pair at exactly 0.8 is missed by all sketches with a probability of about 4e-5.
 
-Candidates without all pairs: exact copies collapse first; then each member of a bucket is aligned with the bucket's least member only. Pairs of
-members that are still in different components after that are aligned too, without a cap, less those whose lengths rule a link out. A large group of near copies links to its least member in the first step and
-costs as many alignments as it has texts.
+Candidates without all pairs: exact copies collapse first; then each member of a bucket is aligned with the bucket's lead only, its most met
+member. Members of a bucket that are in different components after that are searched again, without a cap, by exact prefix filtering over all
+their shingles, which yields the pairs that can still be links. A large group of near copies links to its lead in the first step and costs as
+many alignments as it has texts.
 
 Null text is empty; empty texts are exact copies of one another. Texts of under five words have one shingle, all their words. Rows that
 share an id fall in one class; rows with a null id have a null class. Empty tables give empty results. Only ids, hashes and the texts of candidates are shuffled.
@@ -24,10 +25,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, slices
 
 WORDS = 5
 SAMPLED = 3
@@ -186,15 +187,46 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, n_words, sketch) of every row: what candidate search needs of a text, in one map."""
+    """(id, digest, sketch) of every row: what candidate search needs of a text, in one map."""
 
     def make():
         def work(texts: list[str]) -> dict[str, list]:
-            return {"digest": [hashlib.md5(t.encode()).digest() for t in texts], "n_words": [len(t.split()) for t in texts], "sketch": [sketches_of(t) for t in texts]}
+            return {"digest": [hashlib.md5(t.encode()).digest() for t in texts], "sketch": [sketches_of(t) for t in texts]}
 
         return work
 
-    return map_texts(docs, make, "digest binary, n_words bigint, sketch array<bigint>", id_col, text_col)
+    return map_texts(docs, make, "digest binary, sketch array<bigint>", id_col, text_col)
+
+
+def _plausible(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of members (id, c) with different c that could be similar by exact prefix filtering.
+
+    Shingles are ordered from rare to common. Two texts of n and m shingles that share `needed` of them share one among the first
+    n - needed + 1 of the one and the first m - needed + 1 of the other. A text whose own edits already fill that prefix has no partner, so the
+    pairs of a large group of unlike variants are not formed.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j in slices(texts := batch.column(1).to_pylist()):
+                hashed = [labelled_shingles(t) for t in texts[i:j]]
+                n = np.array([len(x) for x in hashed])
+                rows = np.repeat(np.arange(i, j), n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate(hashed).view(np.int64)), pa.array(np.repeat(n, n), pa.int32())], ["id", "token", "n"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(members.select("id"), "id", "left_semi")
+    tokens = checkpointed(texts.mapInArrow(run, f"id {kind}, token bigint, n int").distinct())
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    known = tokens.join(shared, "token").join(members, "id")
+    by_id = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("df", "token")) - 1  # tokens of no other text come first
+    prefix = known.withColumn("at", place).where(F.col("at") <= F.col("n") * (1 - SIMILARITY) + 1e-9).select("token", "id", "n", "c", "at")
+    x, y = (prefix.select("token", *(F.col(c).alias(c + k) for c in ("id", "n", "c", "at"))) for k in "12")
+    need = F.ceil(SIMILARITY * (F.col("n1") + F.col("n2")) / (1 + SIMILARITY) - 1e-9)
+    fits = (F.col("c1") < F.col("c2")) & (F.col("at1") <= F.col("n1") - need) & (F.col("at2") <= F.col("n2") - need)
+    return x.join(y, "token").where(fits).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,22 +234,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(sketched(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
     known = rows.where(F.col("id").isNotNull())
     # one row for each distinct text, under its least id
-    texts = known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_words").alias("n"))
-    buckets = texts.select("rep", "n", F.posexplode("sketch").alias("k", "v")).select(F.xxhash64("k", "v").alias("bucket"), "rep", "n")
-    leads = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = checkpointed(buckets.join(leads.select("bucket", "lead"), "bucket").select("bucket", "lead", "rep", "n"))
-    stars = checkpointed(members.where(F.col("lead") != F.col("rep")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    texts = known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+    buckets = texts.select("rep", F.posexplode("sketch").alias("k", "v")).select(F.xxhash64("k", "v").alias("bucket"), "rep")
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    members = checkpointed(buckets.join(sizes, "bucket"))
+    # the lead of a bucket is the member with the most companions in all its buckets: the likely original of a group of variants
+    companions = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    leads = members.join(companions, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("met"), -F.col("rep"))).alias("lead"))
+    placed = members.select("bucket", "rep").join(leads, "bucket")
+    stars = checkpointed(placed.where(F.col("lead") != F.col("rep")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
     links = checkpointed(_verified(stars, docs, id_col, text_col))
     labels = components(links)
     # members of a bucket that the stars left in different components
-    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("c"))
-    split = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("bucket")
-    left = checkpointed(placed.join(split, "bucket", "left_semi"))
-    x, y = (left.select("bucket", *(F.col(c).alias(c + s) for c in ("rep", "n", "c"))) for s in "12")
-    close = F.greatest("n1", "n2") - (WORDS - 1) <= (F.least("n1", "n2") - (WORDS - 1)) / SIMILARITY
-    rest = x.join(y, "bucket").where((F.col("c1") < F.col("c2")) & (close | (F.least("n1", "n2") < WORDS))).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
-    more = checkpointed(_verified(rest, docs, id_col, text_col))
+    at = members.select("bucket", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("c"))
+    split = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("bucket")
+    left = checkpointed(at.join(split, "bucket", "left_semi").select(F.col("rep").alias("id"), "c").distinct())
+    more = checkpointed(_verified(checkpointed(_plausible(left, docs, id_col, text_col).join(stars, ["a", "b"], "left_anti")), docs, id_col, text_col))
     if not more.isEmpty():
         labels = components(links.union(more))
     of_text = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))

@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP) -> DataF
     per = per.withColumns({"total": F.sum("source_size").over(everything), "capped": F.coalesce(F.sum("most").over(before), F.lit(0.0)), "weights": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
     # the sharing level if just the sources before this one are capped; the first under which this one stays below its cap holds
     per = per.withColumn("level", (budget * F.col("total") - F.col("capped")) / F.col("weights"))
-    per = per.withColumn("share", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything))
+    stays = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.row_number().over(order).alias("n"), "level"))
+    per = per.withColumn("stays", stays).withColumn("share", F.min("stays").over(everything)["level"])
     target = F.least(F.col("most"), F.coalesce(F.col("share") * F.col("weight"), F.col("most")))
     return per.select("source", "source_size", target.alias("target"))
 

@@ -102,7 +102,8 @@ p AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 q AS (SELECT *, 2.0::DOUBLE * source_size AS most, ([3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT])::DOUBLE AS weight FROM p),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, coalesce(sum(most) OVER before, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
   FROM q WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT *, min(CASE WHEN (budget - capped) / weights * weight <= most THEN (budget - capped) / weights END) OVER () AS share FROM o),
+u AS (SELECT *, (budget - capped) / weights AS level, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS n FROM o),
+v AS (SELECT *, arg_min(level, n) FILTER (level * weight <= most) OVER () AS share FROM u),
 g AS (SELECT source, source_size, least(most, coalesce(share * weight, most)) AS target FROM v),
 n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times FROM g),
 r AS (SELECT s.*, source_size, target, times, target - times * source_size AS rest,

@@ -34,6 +34,7 @@ WINDOW = 32
 STEPS_ALL, STEPS_MAX, RATE, DECAY = 30, 30, 4.0, 0.002
 THRESHOLD = 0.3
 TOXIC_SHARE = 0.2
+CALM = 4.0
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"\w+")
 
@@ -83,8 +84,8 @@ def windows_of(n_words: int) -> np.ndarray:
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax by gradient descent with momentum over the whole sample: first on all windows of a text, then on its most toxic one.
 
-    Steps are scaled by the largest gradient of each matrix, not of each entry: n-grams that many toxic texts share move far, and
-    those of a single text hardly, which keeps the sample from being learnt by heart.
+    The gradient of an n-gram is divided by the root of its count, so that it counts by its significance: neither frequent n-grams, whose
+    gradients vary by chance, nor those of a single text outweigh the n-grams that many toxic texts share. Steps are scaled by the largest entry.
     """
     table = np.zeros(1 << BUCKET_BITS, np.float32)
     texts, toxic = zip(*((w, y) for w, y in ((words_of(t), y) for t, y in zip(texts, toxic, strict=True)) if w), strict=True) if texts else ((), ())
@@ -110,6 +111,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     used, slot = np.unique(what, return_inverse=True)
     counts = np.bincount(who, minlength=len(vocab))
     gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    seen = np.bincount(slot, np.bincount(tokens, minlength=len(vocab))[who], len(used))
+    calm = (1 / np.sqrt(seen + CALM))[:, None].astype(np.float32)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     moments = [np.zeros_like(p) for p in params]
@@ -134,7 +137,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         to_words = np.stack([np.bincount(tokens, to_tokens[:, d], len(vocab)) for d in range(DIM)], 1) / counts[:, None]
         grads = [np.stack([np.bincount(slot, to_words[who, d], len(used)) for d in range(DIM)], 1), means.T @ g2, g2.sum(0)]
         for p, m, g, rate in zip(params, moments, grads, (RATE, 0.1, 0.1), strict=True):
-            g = g.astype(np.float32)
+            g = g.astype(np.float32) * (calm if p is e else 1)
             m *= 0.9
             m += 0.1 * g
             p *= 1 - DECAY
