@@ -18,10 +18,12 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import MAP_BYTES, give_back, map_texts, ranges
 
 LETTER, NUMBER, OTHER, SPACES, GLUE, LONE, SHORT, LONG, CUT = range(9)
 #: Code points of white space (fixed values).
@@ -31,7 +33,9 @@ ONE_LETTER, TWO_LETTERS = "sdmt", ("ll", "ve", "re")
 BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_GLUE, ONE_LEFT, TWO_LEFT = range(8)
 N_STATES = 8
 SHORT_PIECE = 64
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
+#: Pieces that are merged side by side.
+GRID_PIECES = 4_000
 
 
 @cache
@@ -128,8 +132,8 @@ def _scan(functions: np.ndarray) -> np.ndarray:
     return np.concatenate([[BEGIN], f[:-1, BEGIN]]).astype(np.uint8)
 
 
-class Vocabulary:
-    """Ranks, and the pairs of tokens whose joined bytes are a token, in a hash table for array look-up."""
+class Tokens:
+    """The bytes of every token, end to end: all that decoding needs."""
 
     def __init__(self, data: bytes):
         self.tokens: dict[int, bytes] = {}
@@ -137,6 +141,29 @@ class Vocabulary:
             if line:
                 token, rank = line.split()
                 self.tokens[int(rank)] = base64.b64decode(token)
+        size = max(self.tokens) + 1
+        lengths = np.zeros(size, np.int64)
+        for r, t in self.tokens.items():
+            lengths[r] = len(t)
+        self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes, offset of each token in them)."""
+        ids = ids.astype(np.int64)
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        at = ends - n
+        if not len(ids):
+            return b"", at
+        return self.bytes[np.repeat(self.offsets[ids] - at, n) + np.arange(int(ends[-1]))].tobytes(), at
+
+
+class Vocabulary(Tokens):
+    """Ranks, and the pairs of tokens whose joined bytes are a token, in a hash table for array look-up."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
         self.ranks = {t: r for r, t in self.tokens.items()}
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
@@ -158,12 +185,6 @@ class Vocabulary:
             rest[chosen] = False
             k, v, at = k[rest], v[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
-        size = max(self.tokens) + 1
-        lengths = np.zeros(size, np.int64)
-        for r, t in self.tokens.items():
-            lengths[r] = len(t)
-        self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -188,8 +209,8 @@ class Vocabulary:
         """Ids, as packed little-endian unsigned 32-bit integers, of short pieces; each round merges one pair in every piece that still has one."""
         out: list[bytes] = [b""] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for a in range(0, len(order), 20_000):
-            part = order[a : a + 20_000]
+        for a in range(0, len(order), GRID_PIECES):
+            part = order[a : a + GRID_PIECES]
             for i, ids in zip(part, self._merge_grid([pieces[i] for i in part]), strict=True):
                 out[i] = ids
         return out
@@ -257,16 +278,6 @@ class Vocabulary:
                 heapq.heappush(heap, (x, left[i], e))
         return np.array([t for t, a in zip(token, alive, strict=True) if a], "<u4").tobytes()
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(bytes, offset of each token in them)."""
-        ids = ids.astype(np.int64)
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = ends - n
-        if not len(ids):
-            return b"", at
-        return self.bytes[np.repeat(self.offsets[ids] - at, n) + np.arange(int(ends[-1]))].tobytes(), at
-
 
 def split_pieces(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(UTF-8 of all texts joined, byte at which each piece begins, number of pieces of each text)."""
@@ -341,17 +352,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """`encoded` (id, n_tokens, ids) with decoded (binary) added; a row's token offsets come from Vocabulary.decode."""
-    import pyarrow as pa
-
+    """`encoded` (id, n_tokens, ids) with decoded (binary) added; a row's token offsets come from Tokens.decode."""
     shared = _vocabulary(encoded.sparkSession, path)
     schema = f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids binary, decoded binary"
 
     def run(batches):
-        vocabulary = Vocabulary(shared.value)
+        tokens = Tokens(shared.value)
         for batch in batches:
-            ids = batch.column(2).to_pylist()
-            decoded = [vocabulary.decode(np.frombuffer(x or b"", "<u4"))[0] for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for a, b in ranges(sizes, MAP_BYTES):
+                part = batch.slice(a, b - a)
+                decoded = [tokens.decode(np.frombuffer(x or b"", "<u4"))[0] for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
+        give_back()
 
     return encoded.select(F.col(id_col), "n_tokens", "ids").mapInArrow(run, schema)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Python handles the texts of one Arrow batch in slices of about this many characters.
 SLICE_CHARS = 1_000_000
+#: A map over texts turns a column into Python strings by ranges of about this many bytes.
+MAP_BYTES = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,16 +35,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about `limit` characters each; one very long text is a range of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to about `limit`; a row beyond the limit is a range of its own."""
+    start = size = end = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+        end = i + 1
+    if start < end:
+        yield start, end
+
+
+def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about `limit` characters each; one very long text is a range of its own."""
+    return ranges(map(len, texts), limit)
+
+
+def text_slices(column: pa.Array, limit: int = MAP_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of ranges of a column; only one range at a time becomes Python strings, nulls as empty ones."""
+    for a, b in ranges(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
+def give_back() -> None:
+    """Python workers outlive their tasks; what a task has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,10 +78,11 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                got = work(texts[a:b])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(got[n]) if got[n] else pa.nulls(0) for n in names)], [id_col, *names]).cast(target)
+            for at, texts in text_slices(batch.column(1)):
+                got = work(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(got[n]) if got[n] else pa.nulls(0) for n in names)], [id_col, *names]).cast(target)
+        work = None
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

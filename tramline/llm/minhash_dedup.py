@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, slices
+from .common import checkpointed, map_texts, text_slices
 
 WORDS = 5
 SAMPLED = 3
@@ -209,10 +209,10 @@ def _plausible(members: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for i, j in slices(texts := batch.column(1).to_pylist()):
-                hashed = [labelled_shingles(t) for t in texts[i:j]]
+            for i, texts in text_slices(batch.column(1)):
+                hashed = [labelled_shingles(t) for t in texts]
                 n = np.array([len(x) for x in hashed])
-                rows = np.repeat(np.arange(i, j), n)
+                rows = np.repeat(np.arange(i, i + len(texts)), n)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate(hashed).view(np.int64)), pa.array(np.repeat(n, n), pa.int32())], ["id", "token", "n"])
 
     kind = members.schema["id"].dataType.simpleString()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import give_back, map_texts, text_slices
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1000, 20_000
 BUCKET_BITS = 18
@@ -35,7 +35,8 @@ STEPS_ALL, STEPS_MAX, RATE, DECAY = 30, 30, 4.0, 0.002
 THRESHOLD = 0.3
 TOXIC_SHARE = 0.2
 CALM = 4.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+LEARN_WORDS = 20_000
 _WORD = re.compile(r"\w+")
 
 
@@ -170,8 +171,8 @@ def scorer(model: Model) -> Callable[[list[str]], list[float]]:
     def learn(words: list[str]) -> None:
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
+        for i in range(0, len(words), LEARN_WORDS):
+            part = words[i : i + LEARN_WORDS]
             who, what = grams_of(part)
             total = np.bincount(who, model.weights[what], len(part)) / np.maximum(np.bincount(who, minlength=len(part)), 1)
             known.update(zip(part, total.tolist(), strict=True))
@@ -229,7 +230,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def run(batches):
         score = scorer(shared.value)
         for batch in batches:
-            keep = [s < threshold for s in score([t or "" for t in batch.column(at).to_pylist()])]
+            keep = [s < threshold for _, texts in text_slices(batch.column(at)) for s in score(texts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        score = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
