@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import groupby
 from operator import itemgetter
 
@@ -30,6 +31,35 @@ def most_confident(cands: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return best.select("match_id", "frame_num", "conf", "b.*")
 
 
+class Anchor:
+    """The choice of a frame's ball, given the frames before: `at` is the last place, None before the first hit and after too many misses."""
+
+    def __init__(self, p: Params, at: tuple[float, float] | None = None, misses: int = 0):
+        self.p, self.at, self.misses = p, at, misses
+
+    def choose(self, seen: Iterable[tuple[float | None, list[float]]]) -> list[float] | None:
+        """Box of the frame from its plausible candidates (conf, box) in order: the most confident one in reach, else the most confident one."""
+        best = fallback = None
+        for conf, box in seen:
+            if conf is None or conf != conf:
+                continue
+            if fallback is None or conf > fallback[0]:
+                fallback = (conf, box)
+            if best is None or conf > best[0]:
+                cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+                if self.at is None or ((cx - self.at[0]) ** 2 + (cy - self.at[1]) ** 2) ** 0.5 <= self.p.ball_max_jump:
+                    best = (conf, box)
+        if best is None:
+            self.misses += 1
+            if self.misses >= self.p.ball_lost_reset:
+                self.at = None
+        else:
+            x1, y1, x2, y2 = best[1]
+            self.at, self.misses = ((x1 + x2) / 2, (y1 + y2) / 2), 0
+        got = best or fallback
+        return got[1] if got else None
+
+
 def select_ball(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Ball of each frame with an anchor: candidates far from the last position are passed over, until `ball_lost_reset` misses in a row.
 
@@ -41,28 +71,10 @@ def select_ball(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> Dat
     def follow(match: pd.DataFrame) -> pd.DataFrame:
         match = match.sort_values(["frame_num", "cand_idx"])
         rows = zip(*(match[c].tolist() for c in ("frame_num", "conf", "x1", "y1", "x2", "y2")))
-        anchor, misses, out = None, 0, []
+        anchor, out = Anchor(p), []
         for frame, seen in groupby(rows, key=itemgetter(0)):
-            best = fallback = None
-            for _, conf, *box in seen:
-                if conf is None or conf != conf:
-                    continue
-                if fallback is None or conf > fallback[0]:
-                    fallback = (conf, box)
-                if best is not None and conf <= best[0]:
-                    continue
-                cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-                if anchor is None or ((cx - anchor[0]) ** 2 + (cy - anchor[1]) ** 2) ** 0.5 <= p.ball_max_jump:
-                    best = (conf, box)
-            if best is None:
-                misses += 1
-                if misses >= p.ball_lost_reset:
-                    anchor = None
-            else:
-                x1, y1, x2, y2 = best[1]
-                anchor, misses = ((x1 + x2) / 2, (y1 + y2) / 2), 0
-            got = best or fallback
-            out.append((frame, *(got[1] if got else (None,) * 4)))
+            box = anchor.choose((conf, box) for _, conf, *box in seen)
+            out.append((frame, *(box or (None,) * 4)))
         boxes = pd.DataFrame(out, columns=["frame_num", "x1", "y1", "x2", "y2"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
         boxes.insert(0, "match_id", match["match_id"].iloc[0])
         return boxes
