@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source leave the texts; every document stays."""
-    out = line_dedup.drop_boilerplate_lines(docs)
+    out = line_dedup.drop_boilerplate_lines(docs, max_ratio=line_dedup.SITE_RATIO, copies_once=True)
     columns = {"text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)

@@ -220,6 +220,20 @@ def test_line_dedup(spark):
     assert got[30].kept_text == rows[30][1] and got[25].n_dropped == 0
 
 
+def test_pipeline_drops_rare_lines_of_large_hosts(spark):
+    import corpus_pipeline as P
+
+    share = lambda i: [f"on {k} %" for k in (1, 2, 4) if i % 300 < 3 * k + 1]
+    rows = [(i, "\n".join([f"page {i}", *share(i), *(["on three pages"] if i < 3 else [])]), "a") for i in range(300)]
+    rows += [(1000 + i, "copied line\nits page", "a") for i in range(20)]
+    rows += [(2000 + i, f"own {i}\nsmall", "b") for i in range(4)] + [(3000 + i, f"own {i}\nsmall", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in P.drop_lines(spark, docs, "").collect()}
+    assert got[0] == "page 0\non three pages" and [got[i] for i in (3, 5, 12, 13)] == ["page 3", "page 5", "page 12", "page 13"]
+    assert got[1000] == got[1019] == "copied line\nits page"  # twenty copies are one page
+    assert got[2000] == "own 0" and got[3000] == "own 0\nsmall"  # three pages are too few
+
+
 # 6. toxicity
 
 

@@ -1,7 +1,12 @@
 """Line dedup by site-relative frequency.
 
 For each host: pages that hold a line / pages of the host. A line whose share exceeds `max_ratio` on at least
-`min_pages` pages is boilerplate there and leaves every page of that host; other hosts keep it.
+`min_pages` pages is boilerplate there and leaves every page of that host; other hosts keep it. With `copies_once`, pages
+of a host with the same whole text count as one (by 64 bits of hash), on both sides of the share, so that copies don't turn
+their own lines into boilerplate; they lose lines as any page does.
+
+The registered query takes MAX_RATIO, which its SQL shares; the corpus pipeline takes SITE_RATIO and `copies_once`, since
+repeated lines of a large host stand on 1 to 5 % of its pages.
 
 Lines are the `\\n`-separated parts of the text, compared exactly, by 128 bits of hash; a line without a word (only white
 space) is never counted or dropped. A page counts once for a line, however often it repeats it; repeated rows are pages of
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 
 MAX_RATIO = 0.05
 MIN_PAGES = 4
+SITE_RATIO = 0.01
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -36,7 +42,7 @@ def _kept(lines: Column, drop: Column) -> Column:
     return F.element_at(F.transform(F.array(edges), runs), 1)
 
 
-def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`pages` with kept_text, n_lines and n_dropped (long) added; input columns are kept as they are.
 
     Columns of `pages` named like these three are replaced.
@@ -45,9 +51,12 @@ def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: s
     row = [F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.xxhash64(text).alias("_t")]
     lines = pages.select(*row, F.posexplode(F.split(text, "\n")).alias("_pos", "_line")).where(F.translate("_line", _SPACES, "") != "")
     lines = lines.select("_id", "_host", "_t", "_pos", *_keys(F.col("_line")))
-    per_page = pages.select(F.col(host_col).alias("_host"), F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != ""))).alias("_line"))
-    counts = per_page.select("_host", *_keys(F.col("_line"))).groupBy("_host", "_l1", "_l2").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
-    totals = pages.groupBy(F.col(host_col).alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
+    per_page = pages.select(*row[1:], F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != ""))).alias("_line"))
+    per_page, counted = per_page.select("_host", "_t", *_keys(F.col("_line"))), pages.select(*row[1:])
+    if copies_once:
+        per_page, counted = per_page.distinct(), counted.distinct()
+    counts = per_page.groupBy("_host", "_l1", "_l2").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= min_pages)
+    totals = counted.groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
     boilerplate = counts.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("_pages") > max_ratio * F.col("_all"))
     boilerplate = boilerplate.select(F.col("_host").alias("_bh"), F.col("_l1").alias("_b1"), F.col("_l2").alias("_b2"))
     hits = lines.join(boilerplate, (F.col("_l1") == F.col("_b1")) & (F.col("_l2") == F.col("_b2")) & F.col("_host").eqNullSafe(F.col("_bh")))
