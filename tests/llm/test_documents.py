@@ -110,6 +110,26 @@ def test_confirmed_secrets():
     assert [s[2] for s in secret_scan.scan(base64.b64encode(ssh).decode())] == ["openssh"]
 
 
+def test_wrapped_keys_in_prose():
+    rng = random.Random(6)
+    field = lambda b: len(b).to_bytes(4) + b
+    size = lambda n: bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2)
+    tlv = lambda tag, b: bytes([tag]) + size(len(b)) + b
+    algorithm = tlv(0x30, tlv(6, bytes(7)))
+    made = [("der", tlv(0x30, tlv(2, b"\0") + algorithm + tlv(4, tlv(4, rng.randbytes(n))))) for n in range(100, 250)]
+    made += [("der", tlv(0x30, tlv(2, b"\1") + tlv(4, rng.randbytes(32))))]  # 39 bytes
+    made += [("openssh", b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4) + field(b"p" * 51) + field(rng.randbytes(n))) for n in range(130, 190)]
+    for kind, buf in made:
+        for width in (64, 70):
+            for encode in (base64.b64encode, base64.urlsafe_b64encode):
+                for strip, newline in (("", "\n"), ("=", "\r\n")):
+                    flat = encode(buf).decode().rstrip(strip)
+                    key = newline.join(flat[i : i + width] for i in range(0, len(flat), width))
+                    for before, after in (("here is my key" + newline, newline + "regards"), ("é key: ", " end"), ("-----BEGIN KEY-----" + newline, newline + "-----END KEY-----"), ("", "")):
+                        found = [s for s in secret_scan.scan(before + key + after) if s[2] in ("der", "openssh")]
+                        assert found == [(len(before), len(before) + len(key), kind)]
+
+
 # 2. quality
 
 

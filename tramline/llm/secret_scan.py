@@ -3,12 +3,16 @@
 Pattern kinds (`assign`, `access`, `hex`) are reported as they match. Further kinds are reported only when the
 bytes behind the candidate parse:
 
-* `der`: a base64 or hex run that decodes to one ASN.1 SEQUENCE filling the buffer, whose nested lengths all
-  fit and whose leading fields are those of an RSA, EC or PKCS#8 private key;
-* `openssh`: a base64 run that decodes to the OpenSSH key container with consistent length-prefixed fields;
+* `der`: base64 lines or a hex run that decode to one ASN.1 SEQUENCE, whose nested lengths all fit and whose
+  leading fields are those of an RSA, EC or PKCS#8 private key;
+* `openssh`: base64 lines that decode to the OpenSSH key container with consistent length-prefixed fields;
 * `jwt`: three dot-separated base64url parts whose first decodes to a JSON object with a string `alg`, and
   whose second decodes to a JSON object.
 
+Base64, standard or URL-safe, is parsed from every place where a key can start, be it in a line or at its start, over
+lines of any length; the lengths inside the key say where it ends, so prose in the lines around it doesn't matter. More
+base64 in the last line of a DER key is none of it, and such a candidate doesn't count.
+
 Spans count code points, end exclusive. Null or empty text has no span. Rows are independent: repeated rows and ties
 give repeated results.
 """
@@ -20,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -31,8 +36,17 @@ _ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of 32 or more is the same match as `[0-9a-f]+` kept when it is that long.
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_B64 = re.compile(r"[A-Za-z0-9+/](?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/]{16})){62,}={0,2}")
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Base64 of a SEQUENCE header with a length of up to 4 bytes, and of the OpenSSH magic.
+_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
+_BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+_TAIL = re.compile(r"[A-Za-z0-9+/]*")
+_PADDING = re.compile(r"={0,2}")
+_WRAPPED_PADDING = re.compile(r"[ \t]*\r?\n[ \t]*={1,2}(?!=)")
+#: An EC key of the smallest named curve (112 bits) has 21 bytes.
+_LEAST_DER = 21
+_HEX_ANY = re.compile(r"[0-9A-Fa-f]{42,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _INTEGER, _BITS, _OCTETS, _NULL, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x05, 0x06, 0x30
 
@@ -84,25 +98,98 @@ def is_private_key_der(buf: bytes) -> bool:
     return False
 
 
-def is_openssh_key(buf: bytes) -> bool:
+def openssh_end(buf: bytes) -> int | None:
+    """Where the OpenSSH key container at the start of `buf` ends, if its fields fit."""
     magic = b"openssh-key-v1\0"
     if not buf.startswith(magic):
-        return False
+        return None
     at = len(magic)
     for _ in range(3):  # cipher, key derivation, its options
         if at + 4 > len(buf):
-            return False
+            return None
         at += 4 + int.from_bytes(buf[at : at + 4])
     if at + 4 > len(buf):
-        return False
+        return None
     keys, at = int.from_bytes(buf[at : at + 4]), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):  # public keys, then the private section
         if at + 4 > len(buf):
-            return False
+            return None
         at += 4 + int.from_bytes(buf[at : at + 4])
-    return at <= len(buf)
+    return at if at <= len(buf) else None
+
+
+def is_openssh_key(buf: bytes) -> bool:
+    return openssh_end(buf) is not None
+
+
+class Run:
+    """Base64 characters from `start` on, over line breaks, until something else."""
+
+    def __init__(self, text: str, start: int):
+        parts, self.at, self.first, n, at = [], [], [], 0, start  # lines, their places in the text and in `chars`
+        while m := _LINE.match(text, at):
+            parts.append(m[0])
+            self.at.append(at)
+            self.first.append(n)
+            n, self.end = n + len(m[0]), m.end()
+            gap = _BREAK.match(text, self.end)
+            if not gap:
+                break
+            at = gap.end()
+        self.chars = "".join(parts).replace("-", "+").replace("_", "/")
+
+    def index(self, place: int) -> int:
+        k = bisect_right(self.at, place) - 1
+        return self.first[k] + place - self.at[k]
+
+    def after(self, index: int) -> int:
+        """Place in the text right after the character before `index`."""
+        k = bisect_left(self.first, index) - 1
+        return self.at[k] + index - self.first[k]
+
+    def decoded(self, start: int, n: int) -> bytes:
+        """At most `n` bytes of what stands from `start` on."""
+        raw = self.chars[start : start + (4 * n + 2) // 3]
+        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+        return base64.b64decode(raw + "=" * (-len(raw) % 4))[:n]
+
+
+def _padded(text: str, at: int, n: int) -> int:
+    """End of the padding of `n` bytes at `at`, which may stand in a line of its own."""
+    end = _PADDING.match(text, at).end()
+    missing = -n % 3 - (end - at)
+    m = _WRAPPED_PADDING.match(text, end) if missing > 0 else None
+    return m.end() if m and m[0].count("=") == missing else end
+
+
+def base64_keys(text: str) -> list[tuple[int, int, str]]:
+    out, run, done = [], None, 0
+    for m in _START.finditer(text):
+        place = m.start()
+        if place < done or place and text[place - 1] in _BASE64:
+            continue
+        if run is None or place >= run.end:
+            run = Run(text, place)
+        start = run.index(place)
+        if m[0][0] == "M":
+            head = run.decoded(start, 6)
+            k = head[1] & 0x7F if len(head) == 6 and head[1] >= 0x80 else 0
+            n = 2 + k + int.from_bytes(head[2 : 2 + k]) if k else 2 + head[1] if len(head) == 6 else 0
+            if k > 4 or n < _LEAST_DER or start + (4 * n + 2) // 3 > len(run.chars) or not is_private_key_der(run.decoded(start, n)):
+                continue
+            kind, end = "der", run.after(start + (4 * n + 2) // 3)
+            if text[end : end + 1] in _BASE64:
+                continue
+        else:
+            n = openssh_end(run.decoded(start, len(run.chars)))
+            if n is None:
+                continue
+            kind, end = "openssh", _TAIL.match(text, run.after(start + (4 * n + 2) // 3)).end()
+        done = _padded(text, end, n)
+        out.append((place, done, kind))
+    return out
 
 
 def _json_part(part: str) -> object:
@@ -119,17 +206,7 @@ def is_signed_token(text: str) -> bool:
 
 
 def confirmed(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in _B64.finditer(text):
-        raw = re.sub(r"\s", "", m[0]).rstrip("=")
-        try:
-            buf = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        except binascii.Error:
-            continue
-        if is_private_key_der(buf):
-            out.append((m.start(), m.end(), "der"))
-        elif is_openssh_key(buf):
-            out.append((m.start(), m.end(), "openssh"))
+    out = base64_keys(text)
     out += [(m.start(), m.end(), "der") for m in _HEX_ANY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key_der(bytes.fromhex(m[0]))]
     return out + [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
 
