@@ -173,6 +173,22 @@ def test_repeats_match_brute_force(spark):
         assert bytes(r.kept) == bytes(np.frombuffer(raw[r.doc_id], np.uint8)[keep])
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_repeats_stay_in_their_text(spark, repeated):
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, clean, other = fresh(500), fresh(900), fresh(700)
+    key = 7 if repeated else None
+    rows = [(-5, passage)] if repeated else []
+    rows += [(key, passage + fresh(60)), (key, clean), (key, clean), (key, other + passage), (9, fresh(300)), (10, fresh(40) + clean[:200])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    kept = [bytes(r.kept).decode() for r in got if r.doc_id == key]
+    assert kept.count(clean) == 2  # not cut at the places of its neighbours, nor by its own copy
+    assert sorted(r.n_removed for r in got if r.doc_id == key) == ([0, 0, 500, 500] if repeated else [0, 0, 0, 500])
+    assert [(r.n_removed, r.n_bytes) for r in got if r.doc_id in (9, 10)].count((200, 240)) == 1
+
+
 # 4. media
 
 

@@ -16,8 +16,11 @@ repeated throughout, and runs whose sample occurs in no other run are settled as
 Each task first settles equal runs among its own rows, so a passage that stands in a third of all documents sends one row a task. A sample
 that has many different runs in one task is dealt by run name, and a marker row tells the others that it is ambiguous. State in a task is one row.
 
-Null text is empty. Documents under 100 bytes have nothing to remove. Rows that share an id are one document: they don't remove each other's bytes, and what is
-marked in one is removed in all. Null ids come before all others. Empty tables give empty results. Ids are integers.
+Null text is empty. Documents under 100 bytes have nothing to remove. Null ids come before all others. Empty tables give empty results. Ids are integers.
+
+A document is keyed by its id and a hash of its text. Rows of equal key are one document: they don't remove each other's bytes, and what is marked in one is
+removed in all. Different texts under one id, or without any, are documents of their own, in the order of their hashes, and no span reaches another text. Where
+ids tell texts apart the hash is 0, which costs nothing to shuffle: without null ids it is needed only if some id repeats.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ from .common import checkpointed, slices
 LENGTH = 100
 LEVELS = ((32, 69), (85, 16), (100, 1))
 HOT = 32
-_ROW = "a bigint, r bigint, doc bigint, s int, e int, kind int"
-_SPAN = "doc bigint, s int, e int, kind int"
+_ROW = "a bigint, r bigint, doc bigint, h bigint, s int, e int, kind int"
+_SPAN = "doc bigint, h bigint, s int, e int, kind int"
 OPEN, GONE, MARK, AMBIGUOUS, SPLIT = range(5)
 _LEAST = np.iinfo(np.int64).min
 _NULL_ID = _LEAST
@@ -127,18 +130,18 @@ def runs_of(raw: bytes, gram: int, window: int, spans: list[tuple[int, int]] | N
     return a, names.spans(start, end + LENGTH - 1), start, end, twice
 
 
-def _rows(texts: list[bytes], docs: np.ndarray, spans: list | None, gram: int, window: int, powers: Powers) -> dict[str, np.ndarray]:
+def _rows(texts: list[bytes], docs: np.ndarray, hashes: np.ndarray, spans: list | None, gram: int, window: int, powers: Powers) -> dict[str, np.ndarray]:
     """Rows to deal, with equal runs among these texts settled."""
     parts = [runs_of(t, gram, window, None if spans is None else spans[i], powers) for i, t in enumerate(texts)]
     a, r, s, e, twice = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    doc = np.repeat(docs, [len(p[0]) for p in parts])
-    order = np.lexsort((s, doc, r, a))
-    a, r, s, e, twice, doc = a[order], r[order], s[order], e[order], twice[order], doc[order]
+    doc, h = (np.repeat(x, [len(p[0]) for p in parts]) for x in (docs, hashes))
+    order = np.lexsort((s, h, doc, r, a))
+    a, r, s, e, twice, doc, h = (x[order] for x in (a, r, s, e, twice, doc, h))
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-    # of equal runs in one place (rows that share an id) none is earlier
+    # of equal runs in one place (rows of equal key) none is earlier
     lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-    later = ~first & ((doc != doc[lead]) | (s != s[lead]))
+    later = ~first & ((doc != doc[lead]) | (h != h[lead]) | (s != s[lead]))
     stay = np.flatnonzero(first)
     group = np.cumsum(np.concatenate([[0], (a[stay][1:] != a[stay][:-1]).astype(np.int64)])) if len(stay) else np.zeros(0, np.int64)
     hot = np.bincount(group)[group] >= HOT if len(stay) else np.zeros(0, bool)
@@ -150,6 +153,7 @@ def _rows(texts: list[bytes], docs: np.ndarray, spans: list | None, gram: int, w
         "a": np.concatenate([signed(a[stay]), np.full(k, _LEAST), signed(a[marks])]),
         "r": np.concatenate([signed(r[stay]), doc[gone], np.full(m, _LEAST)]),
         "doc": np.concatenate([doc[stay], doc[gone], np.full(m, _LEAST)]),
+        "h": np.concatenate([h[stay], h[gone], np.zeros(m, np.int64)]),
         "s": np.concatenate([s[stay], s[gone], np.zeros(m, np.int64)]),
         "e": np.concatenate([e[stay], e[gone], np.zeros(m, np.int64)]),
         "kind": np.concatenate([np.where(hot, SPLIT, np.where(twice[stay], AMBIGUOUS, OPEN)), np.full(k, GONE), np.full(m, MARK)]),
@@ -160,47 +164,47 @@ def _deal(gram: int, window: int, with_spans: bool) -> Callable[[Iterator[pa.Rec
     def run(batches):
         powers = Powers()
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            spans = [[(x["s"], x["e"]) for x in v] for v in batch.column(2).to_pylist()] if with_spans else None
+            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            docs, hashes = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2))
+            spans = [unpacked(v) for v in batch.column(3).to_pylist()] if with_spans else None
             for i, j in slices(texts):
-                got = _rows(texts[i:j], docs[i:j], spans[i:j] if spans else None, gram, window, powers)
-                types = [pa.int64()] * 3 + [pa.int32()] * 3
+                got = _rows(texts[i:j], docs[i:j], hashes[i:j], spans[i:j] if spans else None, gram, window, powers)
+                types = [pa.int64()] * 4 + [pa.int32()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(got.values(), types, strict=True)], list(got))
 
     return run
 
 
 def _settle(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compare neighbours in rows sorted by (a, r, doc, s): GONE for later equal runs, OPEN for the first of each run of an ambiguous sample.
+    """Compare neighbours in rows sorted by (a, r, doc, h, s): GONE for later equal runs, OPEN for the first of each run of an ambiguous sample.
 
     The first run of a sample waits until a second run, or the end of the sample, is seen; `last` has no further level.
     """
 
-    def spans(doc, s, e, kind):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(np.full(len(doc), kind), pa.int32())], ["doc", "s", "e", "kind"])
+    def spans(doc, h, s, e, kind):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(np.full(len(doc), kind), pa.int32())], ["doc", "h", "s", "e", "kind"])
 
     def run(batches):
-        at = None  # (a, r, doc, s) of the first row of the current run
-        pending = None  # the only run so far of the current sample: (doc, s, e)
+        at = None  # (a, r, doc, h, s) of the first row of the current run
+        pending = None  # the only run so far of the current sample: (doc, h, s, e)
         open_sample = False  # whether the current sample is ambiguous
         for batch in batches:
-            a, r, doc, s, e, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            a, r, doc, h, s, e, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             passed = kind == GONE
             if passed.any():
-                yield spans(doc[passed], s[passed], e[passed], GONE)
-                a, r, doc, s, e, kind = (x[~passed] for x in (a, r, doc, s, e, kind))
+                yield spans(doc[passed], h[passed], s[passed], e[passed], GONE)
+                a, r, doc, h, s, e, kind = (x[~passed] for x in (a, r, doc, h, s, e, kind))
             if not len(a):
                 continue
             new_a = np.concatenate([[at is None or a[0] != at[0]], a[1:] != a[:-1]])
             new_r = np.concatenate([[new_a[0] or r[0] != at[1]], new_a[1:] | (r[1:] != r[:-1])])
             i = np.maximum.accumulate(np.where(new_r, np.arange(len(a)), -1))
-            lead_doc, lead_s = doc[np.maximum(i, 0)], s[np.maximum(i, 0)]
+            lead = [x[np.maximum(i, 0)] for x in (doc, h, s)]
             if i[0] < 0:
-                lead_doc, lead_s = np.where(i < 0, at[2], lead_doc), np.where(i < 0, at[3], lead_s)
+                lead = [np.where(i < 0, was, x) for was, x in zip(at[2:], lead, strict=True)]
             real = kind != MARK
-            later = ~new_r & real & ((doc != lead_doc) | (s != lead_s))
-            yield spans(doc[later], s[later], e[later], GONE)
+            later = ~new_r & real & ((doc != lead[0]) | (h != lead[1]) | (s != lead[2]))
+            yield spans(doc[later], h[later], s[later], e[later], GONE)
             if not last:
                 group = np.cumsum(new_a)  # 0 is the sample carried in
                 first = new_r & real
@@ -209,40 +213,52 @@ def _settle(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     runs[0] += 2 if open_sample else (pending is not None)
                 ambiguous = marked | (runs > 1)
                 if pending is not None and not new_a[0] and ambiguous[0]:
-                    yield spans([pending[0]], [pending[1]], [pending[2]], OPEN)
+                    yield spans(*([x] for x in pending), OPEN)
                     pending = None
                 go = first & ambiguous[group]
-                yield spans(doc[go], s[go], e[go], OPEN)
+                yield spans(doc[go], h[go], s[go], e[go], OPEN)
                 g = group[-1]
                 if g != 0 or new_a[0]:
                     pending = None
                 open_sample = bool(ambiguous[g])
                 alone = np.flatnonzero(first & (group == g))
                 if not open_sample and len(alone):
-                    pending = (doc[alone[0]], s[alone[0]], e[alone[0]])
-            at = (a[-1], r[-1], lead_doc[-1], lead_s[-1])
+                    pending = tuple(x[alone[0]] for x in (doc, h, s, e))
+            at = (a[-1], r[-1], *(x[-1] for x in lead))
 
     return run
 
 
 def _level(texts: DataFrame, gram: int, window: int, last: bool) -> DataFrame:
-    """(doc, s, e, kind) of the level, from (doc, text) or (doc, text, spans)."""
-    dealt = texts.mapInArrow(_deal(gram, window, len(texts.columns) == 3), _ROW)
+    """(doc, h, s, e, kind) of the level, from (doc, h, text) or (doc, h, text, spans)."""
+    dealt = texts.mapInArrow(_deal(gram, window, len(texts.columns) == 4), _ROW)
     by = F.when(F.col("kind").isin(SPLIT, GONE), F.xxhash64("a", "r")).otherwise(F.xxhash64("a"))
-    return dealt.repartition(by).sortWithinPartitions("a", "r", "doc", "s").mapInArrow(_settle(last), _SPAN)
+    return dealt.repartition(by).sortWithinPartitions("a", "r", "doc", "h", "s").mapInArrow(_settle(last), _SPAN)
+
+
+def _packed(spans: DataFrame) -> DataFrame:
+    """(doc, h, spans): the different spans of each text, each as one number: length, then start, since Java hashes a long by the xor of its halves."""
+    return spans.groupBy("doc", "h").agg(F.collect_set(F.shiftleft((F.col("e") - F.col("s")).cast("bigint"), 32) + F.col("s")).alias("spans"))
+
+
+def unpacked(spans: list[int] | None) -> list[tuple[int, int]]:
+    return [(x & 0xFFFFFFFF, (x & 0xFFFFFFFF) + (x >> 32)) for x in spans or ()]
 
 
 def _within(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    per = spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts.join(per, "doc").select("doc", "text", "spans")
+    return texts.join(_packed(spans), ["doc", "h"]).select("doc", "h", "text", "spans")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
+    repeat = not ids.groupBy("id").count().where(F.col("count") > 1).isEmpty()
+    doc, text = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)), F.coalesce(F.col(text_col), F.lit(""))
+    h = F.xxhash64(text) if repeat else F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    return docs.select(doc.alias("doc"), h.cast("bigint").alias("h"), text.alias("text"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc, s, e) from (doc, text): starts s..e-1 of 100-byte strings of the document that also start earlier.
+    """(doc, h, s, e) from (doc, h, text): starts s..e-1 of 100-byte strings of the document that also start earlier.
 
     The first level, which sees all positions, is checkpointed. The others follow in one plan, in which the texts are shuffled by document once.
     """
@@ -251,7 +267,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     for k, (gram, window) in enumerate(LEVELS[1:], 2):
         level = _level(_within(texts, level.where(F.col("kind") == OPEN)), gram, window, last=k == len(LEVELS))
         gone = gone.union(level.where(F.col("kind") == GONE))
-    return gone.select("doc", "s", "e")
+    return gone.select("doc", "h", "s", "e")
 
 
 def covered(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -271,9 +287,8 @@ def covered(n: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary), one row per row of `docs`: its UTF-8 bytes without the repeated ones."""
     texts = _texts(docs, id_col, text_col)
-    gone = repeated_spans(texts).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     own_id = F.when(F.col("doc") != _NULL_ID, F.col("doc")).cast(docs.schema[id_col].dataType).alias("id")
-    both = texts.join(gone, "doc", "left").select(own_id, "text", "spans")
+    both = texts.join(_packed(repeated_spans(texts)), ["doc", "h"], "left").select(own_id, "text", "spans")
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
     def run(batches):
@@ -281,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             n_removed, n_spans, kept = [], [], []
             for raw, spans in zip(texts, batch.column(2).to_pylist(), strict=True):
-                ranges = covered(len(raw), [(x["s"], x["e"]) for x in spans or ()])
+                ranges = covered(len(raw), unpacked(spans))
                 n_removed.append(sum(b - a for a, b in ranges))
                 n_spans.append(len(ranges))
                 edges = [0, *(x for ab in ranges for x in ab), len(raw)]
