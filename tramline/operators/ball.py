@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..schemas import BALL_DET, DEFAULT, Params
+from .sequential import in_order
 
 
 def in_match() -> WindowSpec:
@@ -63,23 +63,18 @@ class Anchor:
 def select_ball(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Ball of each frame with an anchor: candidates far from the last position are passed over, until `ball_lost_reset` misses in a row.
 
-    A missed frame takes the most confident candidate after all, so only the anchored choice needs state: one match at a time, in frame
-    order. `frames` (match_id, frame_num) gives the frames; those without a candidate come back with a null box.
+    A missed frame takes the most confident candidate after all, so only the anchored choice needs state: frames pass in order, and the
+    state of a match is one position and a counter. `frames` (match_id, frame_num) gives the frames; those without a candidate come back with a null box.
     """
     ordered = frames.select("match_id", "frame_num").join(plausible(cands, p), ["match_id", "frame_num"], "left")
 
-    def follow(match: pd.DataFrame) -> pd.DataFrame:
-        match = match.sort_values(["frame_num", "cand_idx"])
-        rows = zip(*(match[c].tolist() for c in ("frame_num", "conf", "x1", "y1", "x2", "y2")))
-        anchor, out = Anchor(p), []
+    def follow(match: object, rows: Iterator[tuple]) -> Iterator[tuple]:
+        anchor = Anchor(p)
         for frame, seen in groupby(rows, key=itemgetter(0)):
             box = anchor.choose((conf, box) for _, conf, *box in seen)
-            out.append((frame, *(box or (None,) * 4)))
-        boxes = pd.DataFrame(out, columns=["frame_num", "x1", "y1", "x2", "y2"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
-        boxes.insert(0, "match_id", match["match_id"].iloc[0])
-        return boxes
+            yield (match, frame, *(box or (None,) * 4))
 
-    out = ordered.groupBy("match_id").applyInPandas(follow, BALL_DET)
+    out = in_order(ordered, ["frame_num", "cand_idx"], ["frame_num", "conf", "x1", "y1", "x2", "y2"], follow, BALL_DET)
     return out.select("match_id", "frame_num", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
@@ -91,12 +86,14 @@ def dense(frames: DataFrame, dets: DataFrame) -> DataFrame:
 def fill_gaps(track: DataFrame, columns: list[str], limit: int = DEFAULT.gap_limit) -> DataFrame:
     """Dense `track` with gaps filled: up to `limit` frames after a value linearly (held after the last one), up to `limit` frames before a value by that value.
 
-    All columns share one pattern of nulls. `filled` tells filled frames from seen ones.
+    All columns share one pattern of nulls. `filled` tells filled frames from seen ones. The value after a gap is the last one seen in
+    descending order: a running window, where one that looks ahead without bound would be computed anew for every row.
     """
     seen = F.col(columns[0]).isNotNull()
     at = F.when(seen, F.struct(F.col("frame_num").alias("f"), *(F.col(c) for c in columns)))
     before = F.last(at, ignorenulls=True).over(in_match().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, ignorenulls=True).over(in_match().rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy("match_id").orderBy(F.col("frame_num").desc())
+    after = F.last(at, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     f, since, until = F.col("frame_num"), F.col("_p.f"), F.col("_n.f")
 
     def value(c: str) -> Column:

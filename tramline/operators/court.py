@@ -17,23 +17,29 @@ def corners_of(points: list[tuple[float, float]], p: Params = DEFAULT) -> list[t
         return None
     if len(points) > 4:
         sums, diffs = [x + y for x, y in points], [x - y for x, y in points]
-        extreme = [sums.index(min(sums)), diffs.index(max(diffs)), sums.index(max(sums)), diffs.index(min(diffs))]
-        chosen = list(dict.fromkeys(extreme))
-        points = [points[i] for i in chosen] if len(chosen) == 4 else points[:4]
+        extreme = {sums.index(min(sums)), diffs.index(max(diffs)), sums.index(max(sums)), diffs.index(min(diffs))}
+        points = [points[i] for i in sorted(extreme)] if len(extreme) == 4 else points[:4]
     by_y = sorted(points, key=lambda q: q[1])
-    top, bottom = sorted(by_y[:2]), sorted(by_y[2:])
-    corners = [top[0], top[1], bottom[1], bottom[0]]
+    (tl, tr), (bl, br) = (sorted(half, key=lambda q: q[0]) for half in (by_y[:2], by_y[2:]))
+    corners = [tl, tr, br, bl]
     xs, ys = [q[0] for q in corners], [q[1] for q in corners]
     return None if max(xs) - min(xs) < p.min_court_w or max(ys) - min(ys) < p.min_court_h else corners
 
 
-def solve_homography(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> list[float]:
-    """The 9 numbers of the projective map that takes four points to four points."""
+def solve_homography(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> list[float] | None:
+    """The 9 numbers of the projective map that takes four points to four points; None if there is none, as with three points in a line."""
     rows, right = [], []
     for (x, y), (u, v) in zip(src, dst, strict=True):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
         right += [u, v]
-    return [*np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist(), 1.0]
+    try:
+        h = np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0)
+    except np.linalg.LinAlgError:
+        return None
+    at = h.reshape(3, 3) @ np.column_stack([np.array(src, float), np.ones(4)]).T
+    if not np.isfinite(h).all() or (at[2] * np.sign(at[2, 0]) <= 1e-9).any() or np.abs(at[:2] / at[2] - np.array(dst, float).T).max() > 1e-3:
+        return None
+    return h.tolist()
 
 
 def class_points(keypoints: DataFrame) -> DataFrame:
@@ -46,34 +52,51 @@ def class_points(keypoints: DataFrame) -> DataFrame:
     return out.select("match_id", F.when(F.col("found").isNotNull(), F.col("first")).otherwise(F.col("every")).alias("points"))
 
 
+def corners(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, corners): x and y of the four corners in order, null where the key points don't look like a court."""
+
+    @F.pandas_udf("array<double>")
+    def find(points: pd.Series) -> pd.Series:
+        found = (corners_of([(q["x"], q["y"]) for q in pts], p) for pts in points)
+        return pd.Series([None if c is None else [v for q in c for v in q] for c in found], dtype=object)
+
+    return class_points(keypoints).select("match_id", find("points").alias("corners"))
+
+
+def with_layout(matches: DataFrame) -> DataFrame:
+    """`matches` with `court`, the layout struct of the plan."""
+    return matches.withColumn("court", G.layout())
+
+
 def homographies(matches: DataFrame, keypoints: DataFrame, feet: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """`matches` with `court` (layout struct) and `h` (array<double> of 9): one small solve for each match row.
 
-    Without usable key points the box of all feet takes their place; under four feet the map is the identity.
+    Where the key points are missing, don't look like a court or lie in a line, the box of all feet takes their place; only feet of such matches are
+    aggregated. Under four feet, or with all feet in a line along an axis, the map is the identity.
     """
     from .players import court_from_feet
 
-    m = matches.withColumn("court", G.layout()).join(class_points(keypoints), "match_id", "left")
-    if feet is not None:
-        m = m.join(court_from_feet(feet, p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box")), "match_id", "left")
-    else:
-        m = m.withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
-
     @F.pandas_udf("array<double>")
-    def solve(points: pd.Series, box: pd.DataFrame, court: pd.DataFrame) -> pd.Series:
+    def solve(points: pd.Series, court: pd.DataFrame) -> pd.Series:
         out = []
-        for i, pts in enumerate(points):
-            corners = corners_of([(q["x"], q["y"]) for q in pts], p) if pts is not None else None
-            b, c = box.iloc[i], court.iloc[i]
-            if corners is None and not pd.isna(b["x0"]):
-                corners = [(b.x0, b.y0), (b.x1, b.y0), (b.x1, b.y1), (b.x0, b.y1)]
-            if corners is None:
-                out.append([1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0])
-            else:
-                out.append(solve_homography(corners, [(c.x0, c.y0), (c.x1, c.y0), (c.x1, c.y1), (c.x0, c.y1)]))
-        return pd.Series(out)
-
-    return m.withColumn("h", solve("points", "box", "court")).drop("points", "box")
+        for pts, c in zip(points, court.itertuples(index=False), strict=True):
+            found = corners_of([(q["x"], q["y"]) for q in pts], p) if pts is not None else None
+            out.append(solve_homography(found, [(c.x0, c.y0), (c.x1, c.y0), (c.x1, c.y1), (c.x0, c.y1)]) if found else None)
+        return pd.Series(out, dtype=object)
+
+    m = with_layout(matches).join(class_points(keypoints), "match_id", "left").withColumn("h", solve("points", "court")).drop("points")
+    identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
+    if feet is None:
+        return m.withColumn("h", F.coalesce("h", identity))
+    lost = m.where(F.col("h").isNull()).select("match_id")
+    box = court_from_feet(feet.join(lost, "match_id", "left_semi"), p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    # from box to box: a scale and a shift along each axis
+    scale = lambda axis: F.try_divide(F.col(f"court.{axis}1") - F.col(f"court.{axis}0"), F.col(f"box.{axis}1") - F.col(f"box.{axis}0"))
+    shift = lambda axis: F.col(f"court.{axis}0") - F.col(f"box.{axis}0") * scale(axis)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    from_feet = F.array(scale("x"), zero, shift("x"), zero, scale("y"), shift("y"), zero, zero, one)
+    usable = scale("x").isNotNull() & scale("y").isNotNull()
+    return m.join(box, "match_id", "left").withColumn("h", F.coalesce("h", F.when(usable, from_feet), identity)).drop("box")
 
 
 def positions(matches: DataFrame, slots: DataFrame, ball: DataFrame) -> DataFrame:

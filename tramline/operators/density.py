@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -38,22 +41,53 @@ def kernel(p: Params = DEFAULT) -> list[float]:
     return [x / math.fsum(w) for x in w]
 
 
-def _spread(cells: DataFrame, axis: str, weights: list[float], size: int) -> DataFrame:
-    """Convolve along one axis, reflecting at the edges; cells stay sparse."""
-    r = len(weights) // 2
-    moved = cells.select("*", F.posexplode(F.array(*map(F.lit, weights))).alias("o", "w")).withColumn("t", F.col(axis) + F.col("o") - r)
-    folded = F.when(F.col("t") < 0, -F.col("t") - 1).when(F.col("t") >= size, 2 * size - 1 - F.col("t")).otherwise(F.col("t")).cast("int")
-    keys = ["match_id", "player_id", *(c for c in ("bx", "by") if c != axis)]
-    return moved.groupBy(*keys, folded.alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+def folded(p: Params = DEFAULT) -> np.ndarray:
+    """The kernel as a matrix over the cells of one axis; what falls outside is reflected back in."""
+    w, n = kernel(p), p.grid
+    out, r = np.zeros((n, n)), len(w) // 2
+    for i in range(n):
+        for o, x in enumerate(w):
+            t = (i + o - r) % (2 * n)
+            out[min(t, 2 * n - 1 - t), i] += x
+    return out
 
 
 def smoothed(counts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(match_id, player_id, bx, by, density): counts smoothed along both axes, as shares of each grid's maximum."""
-    cells = counts.withColumn("v", F.col("n").cast("double"))
-    for axis in ("bx", "by"):
-        cells = _spread(cells, axis, kernel(p), p.grid)
-    top: Column = F.max("v").over(Window.partitionBy("match_id", "player_id"))
-    return cells.select("match_id", "player_id", "bx", "by", (F.col("v") / (top + 1e-8)).alias("density"))
+    """(match_id, player_id, bx, by, density): counts smoothed along both axes, as shares of each grid's maximum. Cells that nothing reaches are left out.
+
+    A grid is one row of at most grid x grid cells, whatever the length of the match; both axes are smoothed in one map.
+    """
+    grids = counts.groupBy("match_id", "player_id").agg(F.collect_list(F.struct("bx", "by", "n")).alias("cells"))
+    schema = f"match_id {counts.schema['match_id'].dataType.simpleString()}, player_id int, bx int, by int, density double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = folded(p)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = batch.column(2).slice(i, 1).flatten()
+                bx, by, n = (cells.field(k).to_numpy() for k in range(3))
+                grid = np.zeros((p.grid, p.grid))
+                grid[bx, by] = n
+                v = m @ grid @ m.T
+                x, y = np.nonzero(v)
+                ids = [batch.column(k).take(pa.array(np.full(len(x), i))) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(v[x, y] / (v.max() + 1e-8))], ["match_id", "player_id", "bx", "by", "density"])
+
+    return grids.select("match_id", F.col("player_id").cast("int"), "cells").mapInArrow(run, schema)
+
+
+def extents(pos: DataFrame) -> DataFrame:
+    """(match_id, entity, player_id, n, min_x, max_x, min_y, max_y): raw extents of the plan positions, in pixels."""
+    return pos.groupBy("match_id", "entity", "player_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mx").alias("min_x"), F.max("mx").alias("max_x"), F.min("my").alias("min_y"), F.max("my").alias("max_y")
+    )
+
+
+def position_coverage(frames: DataFrame, pos: DataFrame) -> DataFrame:
+    """(match_id, frames, with_players, with_ball): frames of a match, and those with a position of any player, and of the ball."""
+    one = pos.groupBy("match_id", "frame_num").agg(F.max((F.col("entity") == "player").cast("int")).alias("p"), F.max((F.col("entity") == "ball").cast("int")).alias("b"))
+    every = frames.select("match_id", "frame_num").join(one, ["match_id", "frame_num"], "left")
+    return every.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("p"), F.lit(0)).alias("with_players"), F.coalesce(F.sum("b"), F.lit(0)).alias("with_ball"))
 
 
 def trajectory(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:

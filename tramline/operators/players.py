@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schemas import DEFAULT, PLAYER_SLOT, Params
+from .sequential import in_order
 
 
 def court_bounds(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -47,26 +48,25 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
     """(match_id, frame_num, player_id, slot_ord, box): four identities kept over track losses.
 
     A slot keeps its track while that is visible; the first four tracks are dealt by (cy, cx); afterwards an empty slot takes the nearest free track within `slot_accept`
-    pixels of its last place, and a slot that never had one the free track of least id. State runs through the frames of a match, so a match is one group.
+    pixels of its last place, and a slot that never had one the free track of least id. A frame without any detection in court loses all tracks, not the places.
+    Frames pass in order; the state of a match is four tracks and four places.
     """
-    inside = in_court(dets, bounds)
     ids = range(1, p.n_players + 1)
 
-    def deal(match: pd.DataFrame) -> pd.DataFrame:
-        match = match.sort_values(["frame_num", "track_id"])
-        rows = zip(*(match[c].tolist() for c in ("frame_num", "track_id", "cx", "cy", "x1", "y1", "x2", "y2")))
+    def deal(match: object, rows: Iterator[tuple]) -> Iterator[tuple]:
         track: dict[int, int | None] = dict.fromkeys(ids)
         place: dict[int, tuple[int, int] | None] = dict.fromkeys(ids)
-        out = []
+        last = None
         for frame, seen in groupby(rows, key=itemgetter(0)):
+            if last is not None and frame > last + 1:
+                track = dict.fromkeys(ids)
+            last = frame
             free = {r[1]: r for r in seen}
-            taken: list[int] = []
+            taken: dict[int, list[float]] = {}
 
             def give(slot: int, tid: int) -> None:
                 _, _, cx, cy, *box = free.pop(tid)
-                track[slot], place[slot] = tid, (cx, cy)
-                out.append((frame, slot, len(taken), *box))
-                taken.append(slot)
+                track[slot], place[slot], taken[slot] = tid, (cx, cy), box
 
             def far(tid: int, x: int, y: int) -> float:
                 return ((free[tid][2] - x) ** 2 + (free[tid][3] - y) ** 2) ** 0.5
@@ -78,7 +78,7 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
             if len(empty) == p.n_players and not any(place.values()) and len(free) >= p.n_players:
                 for slot, tid in zip(ids, sorted(free, key=lambda t: (free[t][3], free[t][2]))):
                     give(slot, tid)
-                continue
+                empty = []
             for slot in empty:
                 if place[slot] is None:
                     if free:
@@ -89,8 +89,7 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
                     give(slot, near)
                 else:
                     track[slot] = None
-        got = pd.DataFrame(out, columns=["frame_num", "player_id", "slot_ord", "x1", "y1", "x2", "y2"])
-        got.insert(0, "match_id", match["match_id"].iloc[0])
-        return got
+            for k, (slot, box) in enumerate(taken.items()):
+                yield (match, frame, slot, k, *box)
 
-    return inside.groupBy("match_id").applyInPandas(deal, PLAYER_SLOT)
+    return in_order(in_court(dets, bounds), ["frame_num", "track_id"], ["frame_num", "track_id", "cx", "cy", "x1", "y1", "x2", "y2"], deal, PLAYER_SLOT)

@@ -1,7 +1,7 @@
 """The analysis of matches: detections in, tables out.
 
-Tables that several stages read (courts, positions, shots, segments) are staged once when first asked for; the rest is declared and left to Spark. Windows and grouped state all partition by match_id; the matches dimension (a row each) is left
-to Spark to broadcast while it is small. A match is a unit of work, and matches are many.
+Positions, which most branches read, and segments, which cost a chain of windows and joins, are staged once when first asked for; the rest is declared and left
+to Spark. Windows and ordered steps all partition by match_id; the matches dimension (a row each) is left to Spark to broadcast while it is small.
 """
 
 from __future__ import annotations
@@ -31,7 +31,12 @@ class Analysis:
     @cached_property
     def courts(self) -> DataFrame:
         feet = self.slots.select("match_id", F.expr("(x1 + x2) / 2").alias("foot_x"), F.col("y2").alias("foot_y"))
-        return staged(court.homographies(self.matches, self.keypoints, feet, self.params))
+        return court.homographies(self.matches, self.keypoints, feet, self.params)
+
+    @cached_property
+    def dims(self) -> DataFrame:
+        """Matches with the layout of their plan: what all but the projection need of them."""
+        return court.with_layout(self.matches)
 
     @cached_property
     def ball(self) -> DataFrame:
@@ -39,7 +44,7 @@ class Analysis:
 
     @cached_property
     def shots(self) -> DataFrame:
-        return staged(ball.shots(self.ball.withColumn("cy", F.expr("(y1 + y2) / 2")), "cy", self.params))
+        return ball.shots(self.ball.withColumn("cy", F.expr("(y1 + y2) / 2")), "cy", self.params)
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -47,7 +52,7 @@ class Analysis:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return staged(stats.segments(self.shots, self.positions, self.courts, self.params))
+        return staged(stats.segments(self.shots, self.positions, self.dims, self.params))
 
     @cached_property
     def attribution(self) -> DataFrame:
@@ -63,11 +68,11 @@ class Analysis:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return stats.summary(self.courts, self.positions, self.shot_events, self.params)
+        return stats.summary(self.dims, self.positions, self.shot_events, self.params)
 
     @cached_property
     def highlight_parts(self) -> DataFrame:
-        return highlights.smashes(self.segments, self.courts, self.params).unionByName(highlights.rallies(self.shots, self.courts, self.params))
+        return highlights.smashes(self.segments, self.dims, self.params).unionByName(highlights.rallies(self.shots, self.dims, self.params))
 
     @cached_property
     def highlights(self) -> DataFrame:
@@ -75,11 +80,11 @@ class Analysis:
 
     @cached_property
     def reel(self) -> DataFrame:
-        return highlights.reel(self.highlights, self.courts, self.params)
+        return highlights.reel(self.highlights, self.dims, self.params)
 
     @cached_property
     def court_positions(self) -> DataFrame:
-        return density.court_positions(self.positions, self.courts, self.params)
+        return density.court_positions(self.positions, self.dims, self.params)
 
     @cached_property
     def heatmap(self) -> DataFrame:
@@ -87,11 +92,11 @@ class Analysis:
 
     @cached_property
     def trajectory(self) -> DataFrame:
-        return density.trajectory(self.positions, self.courts, self.params)
+        return density.trajectory(self.positions, self.dims, self.params)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return reports.documents(self.courts, self.summary, self.highlights)
+        return reports.documents(self.dims, self.summary, self.highlights)
 
 
 def analyse(matches: DataFrame, keypoints: DataFrame, player_dets: DataFrame, ball_cands: DataFrame, frames: DataFrame, params: Params = DEFAULT) -> Analysis:

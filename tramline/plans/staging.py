@@ -1,15 +1,43 @@
-"""Stages that several branches of a plan read are computed once, into the cluster's shared checkpoint folder."""
+"""Stages that several branches of a plan read are computed once, into Parquet in the cluster's shared checkpoint folder.
+
+Later reads keep column pruning and pushed filters, and a lost executor costs no recomputation. `release` deletes what a session has staged.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_staged: dict[str, list[str]] = {}
 
-from pyspark.sql import DataFrame
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a local session without one (a bare test) gets a folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="tramline-stages-")
+    sc.setCheckpointDir(own)
+    return own
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """`df` checkpointed. The folder is the session's spark.checkpoint.dir; only where none is set (a bare test) is it a local one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tramline-stages-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tramline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the stages of this session; frames that read them can't be used any more. Returns how many there were."""
+    paths, sc = _staged.pop(spark.sparkContext.applicationId, []), spark.sparkContext
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
