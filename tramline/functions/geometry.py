@@ -33,6 +33,11 @@ def foot_y(y2: C = "y2") -> Column:
     return whole(y2)
 
 
+def foot_point(x1: C = "x1", x2: C = "x2", y2: C = "y2") -> Column:
+    """struct(x, y) of the feet; the height keeps its fraction."""
+    return F.struct(foot_x(x1, x2).alias("x"), _c(y2).alias("y"))
+
+
 def height(y1: C = "y1", y2: C = "y2") -> Column:
     return _c(y2) - _c(y1)
 
@@ -130,6 +135,13 @@ def court_points(court: C = "court") -> Column:
     return F.create_map(*(x for name, (u, v) in COURT_POINTS.items() for x in (F.lit(name), at(u, v))))
 
 
+def court_lines(court: C = "court") -> Column:
+    """Array of struct(name, ax, ay, bx, by): the lines of the court, in pixels."""
+    at = lambda points, name, axis: points[name][axis]
+    points = court_points(court)
+    return F.array(*(F.struct(F.lit(f"{a}-{b}").alias("name"), at(points, a, "x").alias("ax"), at(points, a, "y").alias("ay"), at(points, b, "x").alias("bx"), at(points, b, "y").alias("by")) for a, b in COURT_LINES))
+
+
 def project(x: C, y: C, h: C, court: C) -> Column:
     """struct(mx, my): the point on the court plan by homography `h` (9 numbers, row by row), clamped to the court and truncated.
 

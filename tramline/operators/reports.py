@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import jobs
 
 METRICS = ("total_shots", "avg_shot_speed", "max_shot_speed", "avg_player_speed", "distance_covered")
 
@@ -60,11 +61,25 @@ def highlights_type() -> str:
     return f"array<struct<{HIGHLIGHT}>>"
 
 
+def document_type() -> str:
+    player = "struct<total_shots: bigint, avg_shot_speed: double, max_shot_speed: double, avg_player_speed: double, distance_covered: double>"
+    return "struct<" + ", ".join(f"player_{i}: {player}" for i in range(1, 5)) + f", highlights: {highlights_type()}, total_frames: bigint, fps: double>"
+
+
+def parsed(documents: DataFrame, column: str = "document") -> DataFrame:
+    """`documents` with its JSON column read back into columns: player_1..4, highlights, total_frames, fps. Text that isn't JSON gives nulls."""
+    return documents.withColumn("_doc", F.from_json(column, document_type())).select(*(c for c in documents.columns if c != column), "_doc.*")
+
+
+def summary_of(documents: DataFrame) -> DataFrame:
+    """(match_id, player_id, metrics, total_frames, fps, n_highlights) from parsed documents."""
+    players = F.explode(F.array(*(F.struct(F.lit(i).alias("player_id"), f"player_{i}.*") for i in range(1, 5)))).alias("p")
+    return documents.select("match_id", "total_frames", "fps", F.size("highlights").alias("n_highlights"), players).select("match_id", "p.*", "total_frames", "fps", "n_highlights")
+
+
 def job_status(events: DataFrame) -> DataFrame:
-    """(job_id, status, stage, progress, error, created_at, updated_at): the latest state of each job from an append-only log of (job_id, seq, ...)."""
-    last = F.max_by(F.struct("status", "stage", "progress", "result", "error"), "seq").alias("s")
-    out = events.groupBy("job_id").agg(last, F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
-    return out.select("job_id", "s.*", "created_at", "updated_at")
+    """(job_id, status, stage, progress, result, error, created_at, updated_at): the state of each job from an append-only log of (job_id, seq, ...)."""
+    return jobs.state(events)
 
 
 def job_results(status: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
-from .operators import ball, court, density, highlights, players, reports, stats
+from .operators import ball, court, density, highlights, jobs, players, reports, stats
 from .plans.match import Analysis, analyse
 from .schemas import DEFAULT
 from .sources import tracking as T
@@ -41,9 +39,39 @@ def foot_points(spark, sf):
 
 
 def court_layout(spark, sf):
-    sizes = spark.range(3).select(F.element_at(F.array(F.lit(1280), F.lit(1920), F.lit(640)), (F.col("id") + 1).cast("int")).alias("frame_w"), F.element_at(F.array(F.lit(720), F.lit(1080), F.lit(360)), (F.col("id") + 1).cast("int")).alias("frame_h"))
-    c = sizes.withColumn("court", G.layout())
-    return c.select(*(F.col(x).cast("bigint").alias(x.split(".")[-1]) for x in ("frame_w", "frame_h", "court.width", "court.height", "court.x0", "court.y0", "court.x1", "court.y1")))
+    c = court.with_layout(T.match_rows(_frames(spark, sf)))
+    return c.select("match_id", *(F.col(x).cast("bigint").alias(x.split(".")[-1]) for x in ("frame_w", "frame_h", "court.width", "court.height", "court.x0", "court.y0", "court.x1", "court.y1")))
+
+
+def court_corners(spark, sf):
+    c = court.corners(T.keypoint_rows(T.match_rows(_frames(spark, sf))))
+    return c.select("match_id", F.array_join(F.transform("corners", lambda x: x.cast("string")), ",").alias("corners"))
+
+
+def court_lines(spark, sf):
+    c = court.with_layout(T.match_rows(_frames(spark, sf)))
+    return c.select("match_id", F.explode(G.court_lines()).alias("line")).select("match_id", "line.*")
+
+
+def court_keypoint_rows(spark, sf):
+    k = T.keypoints_from(T.keypoint_answers(_frames(spark, sf)))
+    return k.select("match_id", F.col("class_idx").cast("bigint").alias("class_idx"), "class_name", F.col("kp_idx").cast("bigint").alias("kp_idx"), "x", "y")
+
+
+def point_helpers(spark, sf):
+    c = T.ball_candidates(_frames(spark, sf))
+    c = c.withColumns({"foot": G.foot_point(), "d": G.axis_distances(G.center_x(), G.center_y(), F.lit(640), F.lit(360)), "px": G.m_to_px(F.col("frame_num") / 10, F.lit(1200), 100.0), "clock": G.clock(F.col("frame_num") / 24)})
+    return c.select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), F.col("foot.x").cast("bigint").alias("foot_x"), F.col("foot.y").alias("foot_y"), G.height().alias("h"), "d.dx", "d.dy", _r("px"), "clock")
+
+
+def raw_extents(spark, sf):
+    e = density.extents(_analysis(spark, sf).positions)
+    return e.select("match_id", "entity", F.coalesce("player_id", F.lit(0)).cast("bigint").alias("player_id"), "n", *(F.col(c).cast("bigint").alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
+
+
+def position_coverage(spark, sf):
+    a = _analysis(spark, sf)
+    return density.position_coverage(a.frames, a.positions)
 
 
 def project_positions(spark, sf):
@@ -202,13 +230,27 @@ def job_status(spark, sf):
 
 
 def job_results(spark, sf):
-    return reports.job_results(reports.job_status(_jobs(spark, sf))).select("job_id", "status", "result", "video_url", "highlights_video_url", "shot_map_url", "error")
+    return reports.job_results(reports.job_status(_jobs(spark, sf))).select("job_id", "status", "result", "video_url", *(f"heatmap_p{i}_url" for i in range(1, 5)), "highlights_video_url", "shot_map_url", "error")
+
+
+def job_log_replay(spark, sf):
+    """The log as commands: signups insert, purchases complete, errors fail, all else updates."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    command = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in {"signup": "insert", "purchase": "complete", "error": "fail"}.items()), F.lit("update"))
+    commands = e.select(F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("seq"), command.alias("command"), F.lit("processing").alias("status"), F.col("event_type").alias("stage"), F.get_json_object("props", "$.k").cast("int").alias("progress"), F.col("props").alias("result"), F.lit("failed").alias("error"), F.col("ts").alias("at"))
+    return jobs.state(jobs.events_of(commands)).select("job_id", "status", "stage", F.col("progress").cast("bigint").alias("progress"), "result", "error")
 
 
 def analysis_document(spark, sf):
     return _analysis(spark, sf).documents
 
 
+def analysis_readback(spark, sf):
+    """The stored documents, parsed again."""
+    s = reports.summary_of(reports.parsed(_analysis(spark, sf).documents))
+    return s.withColumns({c: F.col(c).cast("bigint") for c in ("player_id", "n_highlights")})
+
+
 def ball_select_stateful(spark, sf):
     fr = _frames(spark, sf)
     return ball.select_ball(T.ball_candidates(fr), fr.select("match_id", "frame_num"))
@@ -216,21 +258,23 @@ def ball_select_stateful(spark, sf):
 
 def player_slots(spark, sf):
     fr = _frames(spark, sf)
-    return players.assign_slots(T.player_boxes(fr), players.court_bounds(T.keypoint_rows(T.match_rows(fr))))
+    slots = players.assign_slots(T.player_boxes(fr), players.court_bounds(T.keypoint_rows(T.match_rows(fr))))
+    return slots.withColumns({c: F.col(c).cast("bigint") for c in ("player_id", "slot_ord")})
 
 
 def match_analysis(spark, sf):
     """From raw detections to the summary, with both stateful steps."""
     fr = _frames(spark, sf)
     m = T.match_rows(fr)
-    return reports.rounded(analyse(m, T.keypoint_rows(m), T.player_boxes(fr), T.ball_candidates(fr), fr.select("match_id", "frame_num"), replace(DEFAULT)).summary)
+    summary = analyse(m, T.keypoint_rows(m), T.player_boxes(fr), T.ball_candidates(fr), fr.select("match_id", "frame_num")).summary
+    return reports.rounded(summary).withColumn("player_id", F.col("player_id").cast("bigint"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        bbox_centers, foot_points, court_layout, project_positions, ball_candidates_filter, ball_argmax, court_bounds, players_in_court, court_estimate, ball_gapfill, ball_gapfill_short, ball_coverage, ball_velocity,
+        bbox_centers, foot_points, court_layout, court_corners, court_lines, court_keypoint_rows, point_helpers, raw_extents, position_coverage, project_positions, ball_candidates_filter, ball_argmax, court_bounds, players_in_court, court_estimate, ball_gapfill, ball_gapfill_short, ball_coverage, ball_velocity,
         shot_frames, shot_segments, shot_attribution, player_distance, frame_stats, hud_team_stats, match_player_summary, team_totals, head_to_head, fast_smashes, long_rallies, long_rallies_slow, highlights_merged, highlight_reel,
-        heatmap_bins, heatmap_gate, heatmap_smoothed, ball_trajectory, zone_occupancy, track_census, job_status, job_results, analysis_document, ball_select_stateful, player_slots, match_analysis,
+        heatmap_bins, heatmap_gate, heatmap_smoothed, ball_trajectory, zone_occupancy, track_census, job_status, job_results, job_log_replay, analysis_document, analysis_readback, ball_select_stateful, player_slots, match_analysis,
     )
 }

@@ -7,13 +7,30 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import geometry as G
-from ..schemas import BALL_CAND, DEFAULT, PLAYER_DET, Params
+from ..operators import reports
+from ..schemas import BALL_CAND, PLAYER_DET
 
 #: Court corners of the derived tables, in image pixels.
 KEYPOINTS = ((300.0, 200.0), (980.0, 210.0), (1200.0, 690.0), (80.0, 680.0))
 FRAME_W, FRAME_H = 1280, 720
+LARGE_W, LARGE_H = 1920, 1080
+_TL, _TR, _BR, _BL = KEYPOINTS
+#: Key points of the derived matches, by match_id modulo their number, as (class_idx, class_name, kp_idx, x, y).
+KEYPOINT_CASES = (
+    [(0, "court", i, *p) for i, p in enumerate(KEYPOINTS)],
+    # the first class has too few points, and a point at the origin is none
+    [(0, "net", 0, 640.0, 400.0), (0, "net", 1, 650.0, 410.0), (1, "court", 0, *_BL), (1, "court", 1, *_TR), (1, "court", 2, 0.0, 0.0), (1, "court", 3, *_TL), (1, "court", 4, *_BR)],
+    # more than four: the extreme ones
+    [(0, "court", 0, 640.0, 400.0), (0, "court", 1, *_BR), (0, "court", 2, *_TR), (0, "court", 3, 600.0, 300.0), (0, "court", 4, *_TL), (0, "court", 5, *_BL)],
+    # none: feet
+    [],
+    # no class alone has four
+    [(0, "left", 0, *_TL), (0, "left", 1, *_BL), (1, "right", 0, *_TR), (1, "right", 1, *_BR)],
+    # all in a line: feet
+    [(0, "court", i, *p) for i, p in enumerate([(100.0, 100.0), (600.0, 350.0), (1100.0, 600.0), (1200.0, 650.0)])],
+)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, max_frames: int | None = None) -> DataFrame:
@@ -27,8 +44,43 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """Analysis documents as JSON text, one match a line."""
-    docs.select("document").write.mode("overwrite").text(path)
+    """Analysis documents as JSON text, one match a line, in a folder for each match."""
+    docs.select("match_id", "document").write.mode("overwrite").partitionBy("match_id").text(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Stored analysis documents, read back into columns; a match's folder alone is read where match_id is filtered."""
+    lines = spark.read.schema("value string, match_id bigint").text(path)
+    return reports.parsed(lines.withColumnRenamed("value", "document"))
+
+
+def read_or_detect(spark: SparkSession, path: str | None, schema: str, detect: Callable[[], DataFrame], read: bool = True, max_frames: int | None = None) -> DataFrame:
+    """Cached detections at `path`, or those of `detect`, which are then stored there.
+
+    A cache whose columns or types aren't those of `schema` is an error, not a reason to detect anew.
+    """
+    if path is not None and read:
+        found = cached(spark, path)
+        if found is not None:
+            wanted = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+            if {f.name: f.dataType for f in found.schema.fields if f.name in wanted} != wanted:
+                raise ValueError(f"{path} holds {found.schema.simpleString()}, not {schema}")
+            return read_table(spark, path, schema, max_frames)
+    dets = detect()
+    if path is None:
+        return dets if max_frames is None else dets.where(F.col("frame_num") < max_frames)
+    write_table(dets.select(*StructType.fromDDL(schema).fieldNames()), path)
+    return read_table(spark, path, schema, max_frames)
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, if there is one."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place):
+        return None
+    df = spark.read.parquet(path)
+    return df.withColumn("match_id", F.col("match_id").cast("bigint")) if "match_id" in df.columns else df
 
 
 def videos(spark: SparkSession, path: str) -> DataFrame:
@@ -36,9 +88,20 @@ def videos(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def detect_players(frames: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Tracks from a stateful detector: it sees a match's frames together, in order, and returns rows of PLAYER_DET plus class_name. Persons with a track id stay."""
-    found = frames.groupBy("match_id").applyInPandas(lambda m: detect(m.sort_values("frame_num")), PLAYER_DET + ", class_name string")
+def detect_players(frames: DataFrame, detector: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """Tracks from a stateful detector: `detector()` makes one for each match; it is given the match's frames in order, a batch at a time, and returns
+    rows of PLAYER_DET plus class_name. Persons with a track id stay. No task holds all frames of a match.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        match = detect = None
+        for batch in batches:
+            for m, part in batch.groupby("match_id", sort=False):
+                if detect is None or m != match:
+                    match, detect = m, detector()
+                yield detect(part)
+
+    found = frames.repartition("match_id").sortWithinPartitions("match_id", "frame_num").mapInPandas(run, PLAYER_DET + ", class_name string")
     return found.where((F.col("class_name") == "person") & F.col("track_id").isNotNull()).drop("class_name")
 
 
@@ -57,6 +120,21 @@ def first_frames(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("frame_num") == 0)
 
 
+def keypoints_from(dets: DataFrame) -> DataFrame:
+    """COURT_KEYPOINTS from a key-point detector's answer to the first frame of each match: (match_id, frame_num, boxes array<struct<class_name>>, points array<array<struct<x, y>>>).
+
+    The n-th box goes with the n-th list of points; a box or a list without partner is left out. Classes are numbered as they first appear, points of
+    a class run on over its boxes, and points at the origin are none.
+    """
+    pairs = first_frames(dets).select("match_id", F.posexplode(F.arrays_zip("boxes", "points")).alias("det", "z")).where(F.col("z.boxes").isNotNull() & F.col("z.points").isNotNull())
+    named = pairs.select("match_id", "det", F.col("z.boxes.class_name").alias("class_name"), F.col("z.points").alias("points"))
+    of_match, of_class = Window.partitionBy("match_id"), Window.partitionBy("match_id", "class_idx").orderBy("det", "k")
+    first = named.withColumn("first", F.min("det").over(Window.partitionBy("match_id", "class_name")))
+    numbered = first.withColumn("class_idx", (F.dense_rank().over(of_match.orderBy("first")) - 1).cast("int"))
+    points = numbered.select("match_id", "class_idx", "class_name", "det", F.posexplode("points").alias("k", "p")).where((F.col("p.x") > 0) | (F.col("p.y") > 0))
+    return points.select("match_id", "class_idx", "class_name", (F.row_number().over(of_class) - 1).cast("int").alias("kp_idx"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+
+
 def frames(events: DataFrame) -> DataFrame:
     """(match_id, frame_num, event_id, event_type, value, k): a match for each block of four users, a frame for each event."""
     w = Window.partitionBy("match_id").orderBy("ts", "event_id")
@@ -94,15 +172,29 @@ def ball_candidates(fr: DataFrame) -> DataFrame:
 
 
 def match_rows(fr: DataFrame, fps: float | None = None) -> DataFrame:
-    """MATCHES of the derived tables."""
-    return fr.groupBy("match_id").agg(F.count(F.lit(1)).alias("total_frames")).select("match_id", F.lit(fps).cast("double").alias("fps"), "total_frames", F.lit(FRAME_W).alias("frame_w"), F.lit(FRAME_H).alias("frame_h"))
+    """MATCHES of the derived tables: two frame sizes, and an unknown rate, 25 or 30 frames a second, unless `fps` is given."""
+    n = fr.groupBy("match_id").agg(F.count(F.lit(1)).alias("total_frames"))
+    rate = F.when(F.col("match_id") % 3 == 1, 25.0).when(F.col("match_id") % 3 == 2, 30.0) if fps is None else F.lit(fps)
+    large = F.col("match_id") % 2 == 1
+    width, height = (F.when(large, b).otherwise(a) for a, b in ((FRAME_W, LARGE_W), (FRAME_H, LARGE_H)))
+    return n.select("match_id", rate.cast("double").alias("fps"), "total_frames", width.alias("frame_w"), height.alias("frame_h"))
 
 
 def keypoint_rows(matches: DataFrame) -> DataFrame:
-    """COURT_KEYPOINTS of the derived tables: the same four corners for every match."""
-    points = F.array(*(F.struct(F.lit(i).alias("kp_idx"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(KEYPOINTS)))
-    return matches.select("match_id", F.explode(points).alias("p")).select("match_id", F.lit(0).alias("class_idx"), F.lit("court").alias("class_name"), "p.kp_idx", "p.x", "p.y")
-
-
-def with_fps(matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return matches.withColumn("fps", G.fps_or_default("fps", p.default_fps))
+    """COURT_KEYPOINTS of the derived tables: a case of KEYPOINT_CASES for each match."""
+    point = lambda r: F.struct(*(F.lit(v).alias(n) for v, n in zip(r, ("class_idx", "class_name", "kp_idx", "x", "y"), strict=True)))
+    kind = F.col("match_id") % len(KEYPOINT_CASES)
+    points = F.coalesce(*(F.when(kind == i, F.array(*map(point, rows))) for i, rows in enumerate(KEYPOINT_CASES) if rows))
+    return matches.select("match_id", F.explode(points).alias("p")).select("match_id", "p.*")
+
+
+def keypoint_answers(fr: DataFrame) -> DataFrame:
+    """A key-point detector's answers for the first two frames of each match: an event for each of its first boxes, with three points, one of them at the origin for some."""
+    one = fr.where(F.col("frame_num") < 6).select("match_id", "frame_num", F.struct("frame_num", F.col("event_type").alias("class_name")).alias("b"), F.struct("frame_num", F.array(
+        F.struct(F.col("k").cast("double").alias("x"), (F.col("event_id") % 50).cast("double").alias("y")),
+        F.struct((F.col("event_id") % 2 * 9).cast("double").alias("x"), F.lit(0.0).alias("y")),
+        F.struct((F.col("k") * 2).cast("double").alias("x"), F.lit(7.0).alias("y")),
+    ).alias("p")).alias("p"))
+    lists = one.groupBy("match_id").agg(F.array_sort(F.collect_list("b")).alias("b"), F.array_sort(F.collect_list("p")).alias("p"))
+    boxes, points = F.transform("b", lambda x: F.struct(x["class_name"].alias("class_name"))), F.transform("p", lambda x: x["p"])
+    return lists.select("match_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("frame_num"), boxes.alias("boxes"), F.slice(points, 1, 5).alias("points"))

@@ -25,28 +25,34 @@ def frame_rows(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> Data
     return frames.select("match_id", "frame_num").join(per, ["match_id", "frame_num"], "left")
 
 
-def select_ball(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """BALL_DET of a stream of FRAME rows, by the rule of the batch operator.
+def select_ball(frames: DataFrame, p: Params = DEFAULT, idle_minutes: int = 24 * 60) -> DataFrame:
+    """BALL_DET plus `late`, of a stream of FRAME rows, by the rule of the batch operator.
 
-    The state is a position and two counters for each match. A micro-batch is handled in frame order; a frame that arrives after a later one
-    of its match has been handled comes too late for the anchor and is left out. Repeated rows of a frame count once.
+    The state is a position and two counters for each match. A micro-batch is handled in frame order. A frame that arrives after a later one of its match
+    has been handled comes too late for the anchor: it takes its most confident candidate, moves nothing, and is marked late, so that it can be counted
+    or chosen anew. Repeated rows of a frame in a micro-batch count once. A match without frames for `idle_minutes` is forgotten.
     """
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         x, y, misses, last = state.get if state.exists else (None, None, 0, -1)
         anchor = Anchor(p, None if x is None else (x, y), misses)
         rows = {int(f): c for b in batches for f, c in zip(b["frame_num"], b["candidates"], strict=True)}
         out = []
-        for frame in sorted(f for f in rows if f > last):
+        for frame in sorted(rows):
+            late = frame <= last
             seen = rows[frame] if rows[frame] is not None else ()
-            box = anchor.choose((c[0], list(map(float, c[1:]))) for c in seen)
-            out.append((key[0], frame, *(box or (None,) * 4)))
-            last = frame
+            box = (Anchor(p) if late else anchor).choose((c[0], list(map(float, c[1:]))) for c in seen)
+            out.append((key[0], frame, *(box or (None,) * 4), late))
+            last = max(last, frame)
         state.update((*(anchor.at or (None, None)), anchor.misses, last))
-        yield pd.DataFrame(out, columns=["match_id", "frame_num", "x1", "y1", "x2", "y2"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
+        state.setTimeoutDuration(idle_minutes * 60_000)
+        yield pd.DataFrame(out, columns=["match_id", "frame_num", "x1", "y1", "x2", "y2", "late"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
 
-    out = frames.groupBy("match_id").applyInPandasWithState(step, BALL_DET, BALL_STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.select("match_id", "frame_num", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    out = frames.groupBy("match_id").applyInPandasWithState(step, BALL_DET + ", late boolean", BALL_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return out.select("match_id", "frame_num", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")), "late")
 
 
 def job_board(events: DataFrame) -> DataFrame:
