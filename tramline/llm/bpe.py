@@ -3,27 +3,33 @@
 Code points map to classes (letter, number, white space, other, with the few characters of look-ahead that the split pattern needs
 folded in). Each class is a transition function on nine states; functions compose associatively, so the states before all characters of a batch of
 texts come from a blocked scan of array operations, and a table of (state, class) says where pieces begin. No regular
-expression runs. The pieces, slices of the UTF-8 bytes, go to pair merging behind a bounded cache; byte offsets of tokens are kept for decoding.
+expression runs. The pieces, slices of the UTF-8 bytes, go to pair merging behind a bounded cache. The byte offset of every token stays beside its id,
+and decoding writes each token's bytes at its offset.
 
 Merging takes the pair whose joined bytes have the lowest rank, leftmost first, until none is in the vocabulary: many short pieces at a
-time as arrays, long ones with a heap in time n log n. There are no special tokens. Null or empty text has no tokens. Whole texts are
-encoded, whatever their length; equal texts give equal ids.
+time as arrays, long ones with a heap in time n log n. There are no special tokens. Null or empty text has no tokens, an empty table no rows; equal texts
+give equal ids, repeated rows too. Other columns are passed by, whatever their names.
+
+Whole texts are encoded, whatever their length: a long one is cut where a letter or number meets something else, which is the begin of a piece on any
+path, so that memory is that of some 100,000 characters. Only one unbroken run of letters, a single piece, is held whole, at some 200 bytes a byte.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import MAP_BYTES, give_back, map_texts, ranges
+from .common import MAP_BYTES, give_back, map_texts, name, ranges
 
 LETTER, NUMBER, OTHER, SPACES, GLUE, LONE, SHORT, LONG, CUT = range(9)
 #: Code points of white space (fixed values).
@@ -36,6 +42,8 @@ SHORT_PIECE = 64
 CACHE_PIECES = 200_000
 #: Pieces that are merged side by side.
 GRID_PIECES = 4_000
+#: Characters after which a text is cut, and how many of them are looked at for a place to cut.
+CUT_CHARS, LOOK_CHARS = 100_000, 2_000
 
 
 @cache
@@ -148,15 +156,24 @@ class Tokens:
         self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(size)), np.uint8)
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(bytes, offset of each token in them)."""
-        ids = ids.astype(np.int64)
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Byte offset of each token in the text."""
+        n = self.lengths[ids]
+        return np.cumsum(n) - n
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None, chunk: int = 100_000) -> bytes:
+        """The bytes of the tokens, each at its offset; offsets that don't lay the tokens end to end are an error."""
+        at = self.places(ids) if offsets is None else offsets.astype(np.int64)
         n = self.lengths[ids]
-        ends = np.cumsum(n)
-        at = ends - n
-        if not len(ids):
-            return b"", at
-        return self.bytes[np.repeat(self.offsets[ids] - at, n) + np.arange(int(ends[-1]))].tobytes(), at
+        total = int(at[-1] + n[-1]) if len(ids) else 0
+        if len(at) != len(ids) or len(ids) and (at[0] != 0 or (at[1:] != at[:-1] + n[:-1]).any()):
+            raise ValueError("offsets don't fit the tokens")
+        out = np.empty(total, np.uint8)
+        for a in range(0, len(ids), chunk):
+            i, k, to = (x[a : a + chunk] for x in (ids.astype(np.int64), n, at))
+            inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            out[np.repeat(to, k) + inside] = self.bytes[np.repeat(self.offsets[i], k) + inside]
+        return out.tobytes()
 
 
 class Vocabulary(Tokens):
@@ -257,10 +274,10 @@ class Vocabulary(Tokens):
     def merge_long(self, piece: bytes) -> bytes:
         """One piece of any length: a linked list of tokens and a heap of joinable pairs."""
         n = len(piece)
-        token = self.byte_rank[np.frombuffer(piece, np.uint8)].tolist()
-        left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        start = list(range(n + 1))  # byte at which the token of a place begins
-        end = list(range(1, n + 1))
+        token = array("i", self.byte_rank[np.frombuffer(piece, np.uint8)].tolist())
+        left, right, alive = array("i", range(-1, n - 1)), array("i", [*range(1, n), -1]), bytearray(b"\1") * n
+        start = range(n + 1)  # byte at which the token of a place begins
+        end = array("i", range(1, n + 1))
         ranks = self.ranks
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -269,7 +286,7 @@ class Vocabulary(Tokens):
             j = right[i] if alive[i] else -1
             if not alive[i] or j < 0 or end[j] != e or ranks.get(piece[start[i] : e]) != r:
                 continue
-            token[i], end[i], alive[j], right[i] = r, e, False, right[j]
+            token[i], end[i], alive[j], right[i] = r, e, 0, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
                 if (x := ranks.get(piece[start[i] : end[right[j]]])) is not None:
@@ -297,6 +314,23 @@ def split_pieces(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return "".join(texts).encode(), byte_at[where], per_text
 
 
+def cuts(text: str) -> list[str]:
+    """`text` in parts of about CUT_CHARS, each but the first beginning where a piece does: at what follows a letter or number and is neither of its kind nor a mark on it."""
+    out, at = [], 0
+    while len(text) - at > CUT_CHARS:
+        place, look = 0, at + CUT_CHARS
+        while not place and look < len(text):
+            c = class_table()[np.frombuffer(text[look - 1 : look + LOOK_CHARS].encode("utf-32-le"), np.uint32)]
+            ends = np.flatnonzero((c[:-1] <= NUMBER) & (c[1:] != c[:-1]))
+            place = look + int(ends[0]) if len(ends) else 0
+            look += LOOK_CHARS
+        if not place:
+            break
+        out.append(text[at:place])
+        at = place
+    return [*out, text[at:]]
+
+
 class Encoder:
     """Encodes texts; keeps the ids of short pieces met in a bounded cache."""
 
@@ -305,8 +339,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if not texts:
-            return []
+        parts = [(i, part) for i, t in enumerate(texts) for part in (cuts(t) if len(t) > CUT_CHARS else [t])]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for a, b in ranges((len(p) for _, p in parts), 2 * CUT_CHARS):
+            for (i, _), ids in zip(parts[a:b], self._encode([p for _, p in parts[a:b]]), strict=True):
+                out[i].append(ids)
+        return [b"".join(x) for x in out]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         data, starts, per_text = split_pieces(texts)
         bounds = [*starts.tolist(), len(data)]
         pieces = [data[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -335,35 +375,51 @@ def _vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+_built: dict[tuple[type, bytes], Tokens] = {}
+
+
+def built(kind: type[Tokens], data: bytes) -> Tokens:
+    """The tables of a vocabulary, made once in a worker process; a process keeps those of one vocabulary."""
+    key = (kind, hashlib.md5(data).digest())
+    if key not in _built:
+        for other in [k for k in _built if k[1] != key[1]]:
+            del _built[other]
+        _built[key] = kind(data)
+    return _built[key]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids): ids as packed little-endian unsigned 32-bit integers. One map, no shuffle."""
+    """(id, n_tokens, ids, offsets): ids, and the byte at which each token begins, as packed little-endian unsigned 32-bit integers. One map, no shuffle."""
     shared = _vocabulary(docs.sparkSession, path)
 
     def make():
-        encoder = Encoder(Vocabulary(shared.value))
+        vocabulary = built(Vocabulary, shared.value)
+        encoder = Encoder(vocabulary)
 
         def work(texts: list[str]) -> dict[str, list]:
             ids = encoder.encode(texts)
-            return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            offsets = [vocabulary.places(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
+            return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "offsets": offsets}
 
         return work
 
-    return map_texts(docs, make, "n_tokens bigint, ids binary", id_col, text_col)
+    return map_texts(docs, make, "n_tokens bigint, ids binary, offsets binary", id_col, text_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """`encoded` (id, n_tokens, ids) with decoded (binary) added; a row's token offsets come from Tokens.decode."""
+    """`encoded` (id, n_tokens, ids, offsets) with decoded (binary) added: each token's bytes at its offset. Offsets that don't fit the tokens stop the job."""
     shared = _vocabulary(encoded.sparkSession, path)
-    schema = f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids binary, decoded binary"
+    schema = StructType([encoded.schema[id_col], *StructType.fromDDL("n_tokens bigint, ids binary, offsets binary, decoded binary").fields])
 
     def run(batches):
-        tokens = Tokens(shared.value)
+        tokens = built(Tokens, shared.value)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
             for a, b in ranges(sizes, MAP_BYTES):
                 part = batch.slice(a, b - a)
-                decoded = [tokens.decode(np.frombuffer(x or b"", "<u4"))[0] for x in part.column(2).to_pylist()]
+                pairs = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                decoded = [tokens.decode(np.frombuffer(x or b"", "<u4"), np.frombuffer(o or b"", "<u4")) for x, o in pairs]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
         give_back()
 
-    return encoded.select(F.col(id_col), "n_tokens", "ids").mapInArrow(run, schema)
+    return encoded.select(name(id_col), "n_tokens", "ids", "offsets").mapInArrow(run, schema)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+from ..plans.staging import shared_folder
 
 #: Python handles the texts of one Arrow batch in slices of about this many characters.
 SLICE_CHARS = 1_000_000
@@ -24,17 +25,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """Cut the lineage in the folder that the session names in spark.checkpoint.dir, so that a lost executor costs no recomputation.
 
-    The folder is the one the session names; only a session without any (a bare test) gets a local one.
+    Only a local session without one (a bare test) gets a folder of its own; on a cluster a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tramline-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like `names` that none of `columns` has, whatever their case: for columns that an operator adds beside a caller's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def name(column: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about `limit`; a row beyond the limit is a range of its own."""
     start = size = end = 0
@@ -72,7 +88,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
     `make` runs once in each task, so that models and caches live as long as the task. A null text counts as
     empty. Only the id and the text are read, so other columns of `docs` cannot clash.
     """
-    out = StructType.fromDDL(f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {schema}")
+    out = StructType([StructField(id_col, docs.schema[id_col].dataType), *StructType.fromDDL(schema).fields])
     names = out.fieldNames()[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,4 +103,4 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(out)
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, out)
+    return docs.select(name(id_col), name(text_col)).mapInArrow(run, out)

@@ -1,12 +1,18 @@
 """Media columns: lossless FLAC streams of 8-bit mono samples, written and read in numpy, many frames at a time.
 
 `encode` writes a stream with STREAMINFO (MD5 of the samples), one SEEKTABLE point for each frame, and frames of `BLOCK` samples whose
-subframe is constant, verbatim, or a fixed linear predictor of order 0 to 4 with Rice-coded residuals. `decode` reads such streams and those with
+subframe is constant, verbatim, or a fixed linear predictor of order 0 to 4 with Rice-coded residuals. `pcm` reads such streams and those with
 quantised linear predictors (LPC, any order, precision and shift) and partitioned or escaped Rice codes; it verifies the CRC-8 of each frame
-header, the CRC-16 of each frame and the MD5, and gives PCM blocks with the sample offsets by which a reader can seek.
+header, the CRC-16 of each frame and the MD5, and gives PCM blocks with the sample offsets by which a reader can seek; `block_at` reads the one
+block that holds a sample. All that `read_back` tells of a stream comes from these blocks.
 
-Frames of all streams in a batch are decoded in lockstep: step n reads the n-th residual of every frame with array operations, so no loop
-runs over samples of one frame. A stream is a value of its own; equal payloads give equal streams.
+The encoder doesn't write LPC: text has no spectrum that a quantised predictor would catch beyond the fixed ones.
+
+Frames are written and read by ranges of about a million samples, whatever streams they belong to, so that memory beside payload and
+stream is bounded. The frames of a range are decoded in lockstep: step n reads the n-th residual of every frame with array operations, so no loop
+runs over samples of one frame. A stream is a value of its own: equal payloads give equal streams, repeated rows too.
+
+Null or empty text is stored as 64 zero bytes. An empty table gives an empty one. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,19 +20,26 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_texts, slices
+from .common import give_back, map_texts, name, ranges
 
 BLOCK = 1024
 RATE = 8000
 PAD = 64
 MAX_RICE = 14
 _CHUNK = 1_000_000
+SEGMENT = 512 * BLOCK
+_POINT = [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]
+#: Seek points of one metadata block; longer streams have several.
+MAX_POINTS = 900_000
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -77,21 +90,44 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    out: list[bytes] = []
-    for a, b in slices(payloads, _CHUNK):
-        out += _encode(payloads[a:b])
-    return out
-
-
-def _encode(payloads: list[bytes]) -> list[bytes]:
+    """Streams of payloads of a byte or more."""
+    parts = [(i, at) for i, p in enumerate(payloads) for at in range(0, len(p), SEGMENT)]
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    lengths: list[list[np.ndarray]] = [[] for _ in payloads]
+    for a, b in ranges((min(SEGMENT, len(payloads[i]) - at) for i, at in parts), _CHUNK):
+        part = parts[a:b]
+        for (i, _), (data, n) in zip(part, _encode_frames([payloads[i][at : at + SEGMENT] for i, at in part], [at // BLOCK for _, at in part]), strict=True):
+            frames[i].append(data)
+            lengths[i].append(n)
+    return [_stream(p, f, np.concatenate(n)) for p, f, n in zip(payloads, frames, lengths, strict=True)]
+
+
+def _stream(payload: bytes, frames: list[bytes], lengths: np.ndarray) -> bytes:
+    points = np.zeros(len(lengths), dtype=_POINT)
+    points["sample"] = np.arange(len(lengths)) * BLOCK
+    points["n"] = np.minimum(BLOCK, len(payload) - points["sample"].astype(np.int64))
+    points["offset"] = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(lengths.min()).to_bytes(3) + int(lengths.max()).to_bytes(3)
+    info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8) + hashlib.md5(np.frombuffer(payload, np.uint8) ^ np.uint8(0x80)).digest()
+    blocks = [b"\0" + len(info).to_bytes(3) + info]
+    for at in range(0, len(points), MAX_POINTS):  # a metadata block has a length of 24 bits
+        table = points[at : at + MAX_POINTS].tobytes()
+        last = at + MAX_POINTS >= len(points)
+        blocks.append((b"\x83" if last else b"\x03") + len(table).to_bytes(3) + table)
+    return b"".join([b"fLaC", *blocks, *frames])
+
+
+def _encode_frames(payloads: list[bytes], first_numbers: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """(frames, length of each) of every payload, whose frames are numbered from its first number on."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     x = raw.astype(np.int32) - 128
     sizes = np.array([len(p) for p in payloads])
     frames = [-(-n // BLOCK) for n in sizes.tolist()]
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    number = np.concatenate([np.arange(k) for k in frames])
+    place = np.concatenate([np.arange(k) for k in frames])
     stream = np.repeat(np.arange(len(payloads)), frames)
-    start = first[stream] + number * BLOCK
+    number = place + np.array(first_numbers)[stream]
+    start = first[stream] + place * BLOCK
     size = np.minimum(BLOCK, first[stream] + sizes[stream] - start)
     inside = np.arange(len(x)) - np.repeat(start, size)
     # the predictor whose residuals have the least sum of magnitudes
@@ -164,21 +200,9 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     end = at + frame_len
     check = crcs(buf, at, end - 2, _CRC16, 16)
     buf[end - 2], buf[end - 1] = check >> 8, check & 0xFF
-    data = buf.tobytes()
-    out, f = [], 0
-    for i, p in enumerate(payloads):
-        n = frames[i]
-        lens = frame_len[f : f + n]
-        points = np.zeros(n, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-        points["sample"], points["n"] = number[f : f + n] * BLOCK, size[f : f + n]
-        points["offset"] = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        signed = (x[first[i] : first[i] + sizes[i]]).astype(np.int8).tobytes()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(lens.min()).to_bytes(3) + int(lens.max()).to_bytes(3)
-        info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(p)).to_bytes(8) + hashlib.md5(signed).digest()
-        meta = b"fLaC\0" + len(info).to_bytes(3) + info + b"\x83" + (18 * n).to_bytes(3) + points.tobytes()
-        out.append(meta + data[at[f] : end[f + n - 1]])
-        f += n
-    return out
+    edges = np.append(at, len(buf))[np.concatenate([[0], np.cumsum(frames)])]
+    per = np.split(frame_len, np.cumsum(frames)[:-1])
+    return [(buf[p:q].tobytes(), n) for p, q, n in zip(edges[:-1], edges[1:], per, strict=True)]
 
 
 class Corrupt(ValueError):
@@ -187,17 +211,55 @@ class Corrupt(ValueError):
 
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(samples as int8, first sample of each PCM block) of every stream."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices(streams, _CHUNK):
-        out += _decode(streams[a:b])
-    return out
+    parts: list[list[np.ndarray]] = [[] for _ in streams]
+    offsets: list[list[int]] = [[] for _ in streams]
+    for i, first, samples in pcm(streams):
+        parts[i].append(samples)
+        offsets[i].append(first)
+    return [(np.concatenate(p), np.array(o, np.int64)) for p, o in zip(parts, offsets, strict=True)]
+
+
+def pcm(streams: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(stream, sample offset, samples as int8) of every PCM block, by stream and offset. A stream whose samples fail its MD5 raises after its last block."""
+    meta = [_metadata(s) for s in streams]
+    frames = [(i, k) for i, m in enumerate(meta) for k in range(len(m[2]))]
+    done, digest = 0, hashlib.md5()
+    for a, b in ranges((int(meta[i][2]["n"][k]) for i, k in frames), _CHUNK):
+        part = frames[a:b]
+        for (i, k), samples in zip(part, _decode_frames([_frame(streams[i], meta[i], k) for i, k in part], [int(meta[i][2]["n"][k]) for i, k in part]), strict=True):
+            total, md5, points, _ = meta[i]
+            if int(points["sample"][k]) != done:
+                raise Corrupt("a seek point is out of place")
+            yield i, done, samples
+            digest.update(samples)
+            done += len(samples)
+            if k + 1 == len(points):
+                if done != total or digest.digest() != md5:
+                    raise Corrupt("the samples fail the stream's MD5")
+                done, digest = 0, hashlib.md5()
+
+
+def _frame(stream: bytes, meta: tuple[int, bytes, np.ndarray, int], k: int) -> bytes:
+    _, _, points, at = meta
+    end = at + int(points["offset"][k + 1]) if k + 1 < len(points) else len(stream)
+    return stream[at + int(points["offset"][k]) : end]
+
+
+def block_at(stream: bytes, sample: int) -> tuple[int, np.ndarray]:
+    """(sample offset, samples) of the PCM block that holds a sample; only its frame is read."""
+    meta = _metadata(stream)
+    if not 0 <= sample < meta[0]:
+        raise IndexError(sample)
+    k = int(np.searchsorted(meta[2]["sample"].astype(np.int64), sample, side="right")) - 1
+    (samples,) = _decode_frames([_frame(stream, meta, k)], [int(meta[2]["n"][k])])
+    return int(meta[2]["sample"][k]), samples
 
 
 def _metadata(s: bytes) -> tuple[int, bytes, np.ndarray, int]:
     """(total samples, MD5, seek points, offset of the first frame)."""
     if s[:4] != b"fLaC":
         raise Corrupt("no stream marker")
-    at, last, total, md5, points = 4, False, -1, b"", None
+    at, last, total, md5, tables = 4, False, -1, b"", []
     while not last:
         last, kind, n = bool(s[at] & 0x80), s[at] & 0x7F, int.from_bytes(s[at + 1 : at + 4])
         block = s[at + 4 : at + 4 + n]
@@ -207,11 +269,11 @@ def _metadata(s: bytes) -> tuple[int, bytes, np.ndarray, int]:
                 raise Corrupt("not 8-bit mono")
             total, md5 = packed & (1 << 36) - 1, block[18:34]
         elif kind == 3:
-            points = np.frombuffer(block, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+            tables.append(np.frombuffer(block, dtype=_POINT))
         at += 4 + n
-    if total < 0 or points is None:
+    if total < 0 or not tables:
         raise Corrupt("no stream information or seek table")
-    return total, md5, points, at
+    return total, md5, np.concatenate(tables), at
 
 
 class _Bits:
@@ -320,16 +382,12 @@ def _rice_parts(bits: _Bits, x: np.ndarray, coded: np.ndarray, running: np.ndarr
         pos[f] = p + q + 1 + k[f]
 
 
-def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    meta = [_metadata(s) for s in streams]
-    buf = np.frombuffer(b"".join(streams), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).astype(np.int64)
-    counts = [len(m[2]) for m in meta]
-    at = np.concatenate([base[i] + m[3] + m[2]["offset"].astype(np.int64) for i, m in enumerate(meta)])
-    size = np.concatenate([m[2]["n"].astype(np.int64) for m in meta])
-    last_of = np.cumsum(counts) - 1
-    end = np.append(at[1:], 0)
-    end[last_of] = base[1:]
+def _decode_frames(frames: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """Samples (int8) of each frame."""
+    buf = np.frombuffer(b"".join(frames), np.uint8)
+    end = np.cumsum([len(f) for f in frames])
+    at = end - [len(f) for f in frames]
+    size = np.array(sizes, np.int64)
     # frame headers
     if not ((buf[at] == 0xFF) & (buf[at + 1] & 0xFE == 0xF8)).all():
         raise Corrupt("no frame at a seek point")
@@ -411,17 +469,7 @@ def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     back = np.empty(n_frames, np.int64)
     back[order_by] = np.arange(n_frames)
     columns = x.T[back].astype(np.int8)
-    plain = np.empty(n_frames, np.int64)
-    plain = size[back]
-    flat = columns[np.arange(longest)[None, :] < plain[:, None]]
-    out, f, s = [], 0, 0
-    for (total, md5, points, _), n in zip(meta, counts, strict=True):
-        got = flat[s : s + total]
-        if len(got) != total or hashlib.md5(got.tobytes()).digest() != md5:
-            raise Corrupt("the samples fail the stream's MD5")
-        out.append((got, points["sample"].astype(np.int64)))
-        f, s = f + n, s + total
-    return out
+    return [row[:n] for row, n in zip(columns, size[back].tolist(), strict=True)]
 
 
 def payload_of(text: str) -> bytes:
@@ -441,39 +489,63 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_texts(docs, make, "n_bytes bigint, media binary", id_col, text_col)
 
 
-def feature_of(samples: np.ndarray) -> str:
-    """Level, peak, zero crossings and mean step of the decoded samples."""
-    x = samples.astype(np.int64)
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"energy={int((x * x).sum())};peak={int(np.abs(x).max())};crossings={crossings};steps={int(np.abs(np.diff(x)).sum())}"
+class Heard:
+    """What is told of a stream, gathered block by block: digest and last bytes of the payload, level, peak, zero crossings and mean step."""
+
+    def __init__(self):
+        self.sha, self.tail, self.bytes, self.blocks = hashlib.sha256(), b"", 0, 0
+        self.energy = self.peak = self.crossings = self.steps = 0
+        self.last: int | None = None
+
+    def add(self, samples: np.ndarray) -> None:
+        raw = (samples.view(np.uint8) ^ np.uint8(0x80)).tobytes()
+        self.sha.update(raw)
+        self.tail = (self.tail + raw)[-PAD:]
+        self.bytes += len(raw)
+        self.blocks += 1
+        x = samples.astype(np.int64)
+        self.energy += int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        if self.last is not None:
+            x = np.concatenate([[self.last], x])
+        self.crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        self.steps += int(np.abs(np.diff(x)).sum())
+        self.last = int(x[-1])
+
+    def feature(self) -> str:
+        return f"energy={self.energy};peak={self.peak};crossings={self.crossings};steps={self.steps}"
 
 
 def _batches(frames, make_rows):
     for batch in frames:
-        media = batch.column(batch.schema.get_field_index("media")).to_pylist()
-        for a, b in slices(media, _CHUNK):
-            yield make_rows(batch.slice(a, b - a), media[a:b])
+        media = batch.column(batch.schema.get_field_index("media"))
+        for a, b in ranges(pc.binary_length(media).to_pylist(), _CHUNK):
+            yield from make_rows(batch.slice(a, b - a), media.slice(a, b - a).to_pylist())
+    give_back()
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """`stored` with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature in place of media, all from the stored bytes."""
+    """`stored` with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and n_blocks in place of media, all from the PCM blocks of the stored bytes."""
     others = [c for c in stored.columns if c != "media"]
-    schema = ", ".join([*(f"{c} {stored.schema[c].dataType.simpleString()}" for c in others), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"])
+    added = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_blocks bigint"
+    schema = StructType([*(stored.schema[c] for c in others), *StructType.fromDDL(added).fields])
 
     def run(frames):
-        def rows(batch: pa.RecordBatch, media: list[bytes]) -> pa.RecordBatch:
-            samples = [s for s, _ in decode(media)]
-            payloads = [(s.view(np.uint8) ^ np.uint8(0x80)).tobytes() for s in samples]
+        def rows(batch: pa.RecordBatch, media: list[bytes]) -> Iterator[pa.RecordBatch]:
+            heard = [Heard() for _ in media]
+            for i, _, samples in pcm(media):
+                heard[i].add(samples)
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in others}
             cols |= {
-                "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                "tail_crc32": pa.array([zlib.crc32(p[-PAD:]) for p in payloads], pa.int64()),
+                "payload_bytes": pa.array([h.bytes for h in heard], pa.int64()),
+                "payload_sha256": pa.array([h.sha.hexdigest() for h in heard]),
+                "tail_crc32": pa.array([zlib.crc32(h.tail) for h in heard], pa.int64()),
                 "media_bytes": pa.array([len(m) for m in media], pa.int64()),
                 "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                "feature": pa.array([feature_of(s) for s in samples]),
+                "feature": pa.array([h.feature() for h in heard]),
+                "n_blocks": pa.array([h.blocks for h in heard], pa.int64()),
             }
-            return pa.RecordBatch.from_pydict(cols)
+            yield pa.RecordBatch.from_pydict(cols)
 
         return _batches(frames, rows)
 
@@ -482,17 +554,14 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 def pcm_blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, sample_offset, pcm): the decoded PCM blocks, one row for each frame, so that a reader seeks by sample offset."""
-    schema = f"{id_col} {stored.schema[id_col].dataType.simpleString()}, sample_offset bigint, pcm binary"
+    schema = StructType([stored.schema[id_col], *StructType.fromDDL("sample_offset bigint, pcm binary").fields])
 
     def run(frames):
-        def rows(batch: pa.RecordBatch, media: list[bytes]) -> pa.RecordBatch:
-            got = decode(media)
-            row = np.repeat(np.arange(len(got)), [len(p) for _, p in got])
-            pcm = [s[a:b].tobytes() for s, p in got for a, b in zip(p, [*p[1:], len(s)], strict=True)]
-            offsets = np.concatenate([p for _, p in got]) if got else np.zeros(0, np.int64)
-            ids = batch.column(batch.schema.get_field_index(id_col)).take(pa.array(row))
-            return pa.RecordBatch.from_arrays([ids, pa.array(offsets, pa.int64()), pa.array(pcm, pa.binary())], [id_col, "sample_offset", "pcm"])
+        def rows(batch: pa.RecordBatch, media: list[bytes]) -> Iterator[pa.RecordBatch]:
+            ids, blocks = batch.column(batch.schema.get_field_index(id_col)), pcm(media)
+            while part := list(islice(blocks, 256)):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _, _ in part])), pa.array([o for _, o, _ in part], pa.int64()), pa.array([s.tobytes() for _, _, s in part], pa.binary())], [id_col, "sample_offset", "pcm"])
 
         return _batches(frames, rows)
 
-    return stored.select(F.col(id_col), "media").mapInArrow(run, schema)
+    return stored.select(name(id_col), "media").mapInArrow(run, schema)

@@ -4,15 +4,19 @@ A template is wording with two kinds of markup: `[[ ... ]]` is optional, and `{{
 words. Templates compile to automata over words (a word, an optional branch, or a bounded gap), all joined in one
 table that is entered at any word; a text is accepted where all mandatory wording stands consecutively and in order.
 
+There are templates of whole licences, all clauses and disclaimers (weight 1), of notices that name a licence (0.8), of SPDX identifiers (0.9), and of
+mentions (0.6). A text in which a word of a clause differs is no whole licence, though its notice may still count.
+
 Words are runs of ASCII letters and digits and of code points from U+0080 on, after lower-casing A-Z only. Base phrases are templates
-without markup. Null or empty text has no word and no label. Rows are independent, so repeats and ties give equal results.
-Overlapping places all count.
+without markup. Null or empty text has no word and no label, an empty table no rows. Rows are independent, so repeats and ties give equal results.
+Overlapping places all count. Very long texts are scanned whole: a word costs a look-up, a place that begins a template as many steps as words agree.
+Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -20,33 +24,124 @@ from .common import map_texts
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: (label, weight of the evidence, template). Mandatory wording is fixed values: the licences' own phrases.
+WHOLE, BY_ID, NOTICE, MENTION = 1.0, 0.9, 0.8, 0.6
+
+# The licences' own words.
+_AS_IS = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall {{8}} be liable for any claim damages or other liability whether in an action of
+contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to
+deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice
+and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions
+in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+materials provided with the distribution"""
+_BSD_NAMES = """[[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission"""
+_BSD_END = """this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of
+merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special
+exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business
+interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any
+way out of the use of this software even if advised of the possibility of such damage"""
+_USE = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_USE_END = """the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever
+resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the
+use or performance of this software"""
+_ZLIB = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising
+from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you
+wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be
+removed or altered from any source distribution"""
+_UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute
+this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that
+recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law"""
+_BOOST = """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the
+software and to permit third parties to whom the software is furnished to do so all subject to the following"""
+_APACHE = """licensed under the apache license version 2 0 the license you may not use {{4}} except in compliance with the license you may obtain a copy of
+the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under
+the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+language governing permissions and limitations under the license"""
+_MPL = """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can
+obtain one at [[http]] [[https]] mozilla org mpl 2 0"""
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+#: Label, what stands before "general public license", and its version.
+_GNU = (("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.0", "library", "2"), ("lgpl-2.1", "lesser", "2 1"), ("lgpl-3.0", "lesser", "3"), ("agpl-3.0", "affero", "3"))
+#: Label, and the words of its name.
+_CREATIVE = (
+    ("cc-by", ""), ("cc-by-sa", "sharealike"), ("cc-by-sa", "share alike"), ("cc-by-nd", "noderivatives"), ("cc-by-nd", "noderivs"), ("cc-by-nd", "no derivatives"),
+    ("cc-by-nc", "noncommercial"), ("cc-by-nc", "non commercial"), ("cc-by-nc-sa", "noncommercial sharealike"), ("cc-by-nc-nd", "noncommercial noderivatives"),
+)
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "MPL-2.0", "EPL-2.0", "Artistic-2.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0",
+)
+
+
+def _families() -> list[tuple[str, float, str]]:
+    """Templates that follow a rule: the notices of the GNU licences and of Creative Commons, and SPDX identifiers."""
+    out = []
+    for label, kind, version in _GNU:
+        name = f"{kind} general public license"
+        out.append((label, NOTICE, f"gnu {name} [[as published by the free software foundation]] [[either]] version {version}"))
+        out.append((label, WHOLE, f"this {{{{3}}}} {_FREE} {name} as published by the free software foundation [[either]] version {version} [[of the license]] [[or at your option any later version]] [[this]] {{{{3}}}} {_HOPE} see the gnu {name} for more details"))
+    for label, words in _CREATIVE:
+        out.append((label, NOTICE, f"creative commons attribution {words} [[{{{{1}}}} 0]] [[international]] [[unported]] [[public]] license"))
+    for spdx in SPDX:
+        words = re.sub("[^0-9a-z]+", " ", spdx.lower())
+        label = re.sub("-4.0$|-1.0$", "", spdx.lower()) if spdx.startswith("CC") else spdx.lower()
+        later = " [[only]] [[or later]]" if "GPL" in spdx else ""
+        out.append((label, BY_ID, f"spdx license identifier {words}{later}"))
+    return out
+
+
+#: (label, weight of the evidence, template).
 TEMPLATES = (
-    ("mit", 0.6, "released under the [[terms of the]] mit license"),
-    ("mit", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", 0.9, "spdx license identifier mit"),
-    ("apache-2.0", 0.9, "licensed under the apache license [[version]] 2 0"),
-    ("apache-2.0", 0.9, "spdx license identifier apache 2 0"),
-    ("cc-by-nc", 0.8, "licensed under [[a]] [[the]] cc by nc [[{{1}} 0]] "),
-    ("cc-by-nc", 0.9, "creative commons attribution noncommercial [[{{1}} 0]] [[international]] license"),
-    ("cc-by-sa", 0.8, "licensed under [[a]] [[the]] cc by sa [[{{1}} 0]]"),
-    ("gpl-3.0", 0.8, "gnu general public license [[as published by the free software foundation]] [[either]] version 3"),
-    ("gpl-2.0", 0.8, "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
-    ("bsd", 1.0, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("mit", MENTION, "released under the [[terms of the]] mit license"),
+    ("mit", NOTICE, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", WHOLE, f"{_MIT} {_AS_IS}"),
+    ("apache-2.0", NOTICE, "licensed under the apache license [[version]] 2 0"),
+    ("apache-2.0", WHOLE, _APACHE),
+    ("cc-by-nc", MENTION, "licensed under [[a]] [[the]] cc by nc [[{{1}} 0]]"),
+    ("cc-by-sa", MENTION, "licensed under [[a]] [[the]] cc by sa [[{{1}} 0]]"),
+    ("cc0", NOTICE, "to the extent possible under law {{12}} waived all copyright and related or neighboring rights to"),
+    ("bsd", NOTICE, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", WHOLE, f"{_BSD} {_BSD_END}"),
+    ("bsd-3-clause", WHOLE, f"{_BSD} {_BSD_NAMES} {_BSD_END}"),
+    ("isc", WHOLE, f"{_USE} provided that the above copyright notice and this permission notice appear in all copies {_USE_END}"),
+    ("0bsd", WHOLE, f"{_USE} {_USE_END}"),
+    ("zlib", WHOLE, _ZLIB),
+    ("bsl-1.0", WHOLE, f"""{_BOOST} the copyright notices in the software and this entire statement including the above license grant this restriction and the following
+disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative
+works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty
+of any kind express or implied"""),
+    ("unlicense", WHOLE, f"{_UNLICENSE} {_AS_IS}"),
+    ("mpl-2.0", WHOLE, _MPL),
+    ("epl", NOTICE, "made available under the terms of the eclipse public license"),
+    ("wtfpl", NOTICE, "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     ("copyright", 0.5, "copyright [[c]] {{6}} all rights reserved"),
-)
+    *_families(),
+)
 BASE_WEIGHT = 0.4
 
 
 @dataclass
 class Automaton:
-    """step[state][word] and gap[state] give next states; skip[state] states entered without a word; label of accepting states."""
+    """step[state][word] and gap[state] give next states; skip[state] states entered without a word; label of accepting states; closed[state] is what it reaches without a word."""
 
     step: list[dict[bytes, list[int]]]
     gap: list[list[int]]
     skip: list[list[int]]
     accepts: dict[int, tuple[int, str, float]]
     first: dict[bytes, list[int]]
+    closed: list[frozenset[int]] = field(default_factory=list)
 
 
 def _new(a: Automaton) -> int:
@@ -88,6 +183,7 @@ def compile_templates(templates: tuple[tuple[str, float, str], ...]) -> Automato
                 raise ValueError(f"a template must begin with a word: {text}")
             for word, to in a.step[state].items():
                 a.first.setdefault(word, []).extend(to)
+    a.closed = [frozenset(closure(a, {s})) for s in range(len(a.step))]
     return a
 
 
@@ -110,12 +206,12 @@ def places(a: Automaton, words: list[bytes]) -> list[tuple[int, int]]:
     for i, word in enumerate(words):
         if word not in a.first:
             continue
-        states, j = closure(a, set(a.first[word])), i + 1
+        states, j = set().union(*(a.closed[s] for s in a.first[word])), i + 1
         while states:
             found |= {(i, a.accepts[s][0]) for s in states if s in a.accepts}
             if j == n:
                 break
-            states = closure(a, {t for s in states for t in (*a.step[s].get(words[j], ()), *a.gap[s])})
+            states = set().union(*(a.closed[t] for s in states for t in (*a.step[s].get(words[j], ()), *a.gap[s])))
             j += 1
     return sorted(found)
 

@@ -65,7 +65,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("offsets", 256).alias("offsets_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe)}
@@ -88,14 +88,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     + "".join(f" AND {r.numerator}::DOUBLE / greatest({r.denominator}, 1) BETWEEN {r.low} AND {r.high}" for r in quality_rules.RULES)
     + " AS kept FROM b",
     "op5_line_dedup": rf"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS x FROM documents),
+l AS (SELECT rid, source, md5(x) AS page, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS pos FROM t),
 real AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM l),
-c AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM real WHERE worded GROUP BY source, line),
-h AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE c.pages >= {line_dedup.MIN_PAGES} AND c.pages > {line_dedup.MAX_RATIO}::DOUBLE * h.pages),
+c AS (SELECT source, line, count(DISTINCT page) AS pages FROM real WHERE worded GROUP BY source, line),
+h AS (SELECT source, count(DISTINCT md5(x)) AS pages FROM t GROUP BY source),
+b AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE c.pages >= {line_dedup.LEAST_PAGES} AND c.pages > {line_dedup.MAX_RATIO}::DOUBLE * h.pages),
 f AS (SELECT real.*, worded AND b.line IS NOT NULL AS gone FROM real LEFT JOIN b ON real.line = b.line AND real.source IS NOT DISTINCT FROM b.source),
-k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
-SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END::BIGINT AS n_lines, dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM documents JOIN k USING (doc_id)""",
+k AS (SELECT rid, count(*) AS n, count(*) FILTER (gone) AS dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM f GROUP BY rid)
+SELECT doc_id, CASE WHEN x = '' THEN 0 ELSE n END::BIGINT AS n_lines, dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM t JOIN k USING (rid)""",
     "op8_mixing": r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),

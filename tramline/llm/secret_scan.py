@@ -4,27 +4,30 @@ Pattern kinds (`assign`, `access`, `hex`) are reported as they match. Further ki
 bytes behind the candidate parse:
 
 * `der`: base64 lines or a hex run that decode to one ASN.1 SEQUENCE, whose nested lengths all fit and whose
-  leading fields are those of an RSA, EC or PKCS#8 private key;
+  leading fields are those of an RSA, EC or PKCS#8 private key; the key wrapped in the last is parsed in turn;
 * `openssh`: base64 lines that decode to the OpenSSH key container with consistent length-prefixed fields;
-* `jwt`: three dot-separated base64url parts whose first decodes to a JSON object with a string `alg`, and
-  whose second decodes to a JSON object.
+* `jwt`: three dot-separated base64url parts whose first decodes to a JSON object with a string `alg` other than `none`,
+  whose second decodes to a JSON object, and whose third, the signature, is not empty.
 
 Base64, standard or URL-safe, is parsed from every place where a key can start, be it in a line or at its start, over
 lines of any length; the lengths inside the key say where it ends, so prose in the lines around it doesn't matter. More
-base64 in the last line of a DER key is none of it, and such a candidate doesn't count.
+base64 in the last line of a DER key is none of it, and such a candidate doesn't count. A token starts where a run of its characters starts.
 
-Spans count code points, end exclusive. Null or empty text has no span. Rows are independent: repeated rows and ties
-give repeated results.
+Only the headers that a candidate names are decoded, some dozens of bytes, and every run of token characters is tried once, so that time
+is linear in the text, however long or adverse; memory is a few times the text.
+
+Spans count code points, end exclusive. Null or empty text has no span, an empty table no row. Rows are independent: repeated rows and ties
+give repeated results. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -47,81 +50,103 @@ _WRAPPED_PADDING = re.compile(r"[ \t]*\r?\n[ \t]*={1,2}(?!=)")
 #: An EC key of the smallest named curve (112 bits) has 21 bytes.
 _LEAST_DER = 21
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]{42,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _INTEGER, _BITS, _OCTETS, _NULL, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x05, 0x06, 0x30
 
 
-def der_header(buf: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+#: Bytes n from a place on, as many as there are.
+Reader = Callable[[int, int], bytes]
+#: Most fields that a key's SEQUENCE has here; a longer one is none.
+MAX_FIELDS = 16
+
+
+def der_header(read: Reader, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, content start, content end) of the element at `at`, if its length is well formed and fits."""
-    if at + 2 > end:
+    head = read(at, min(6, end - at))
+    if len(head) < 2:
         return None
-    tag, first, body = buf[at], buf[at + 1], at + 2
+    tag, first, body = head[0], head[1], at + 2
     if first < 0x80:
         n = first
     else:
         k = first & 0x7F
-        if not 1 <= k <= 4 or body + k > end or buf[body] == 0:
+        if not 1 <= k <= 4 or 2 + k > len(head) or head[2] == 0:
             return None
-        n, body = int.from_bytes(buf[body : body + k]), body + k
+        n, body = int.from_bytes(head[2 : 2 + k]), body + k
         if n < 0x80:
             return None  # not the shortest form
     return (tag, body, body + n) if body + n <= end else None
 
 
-def der_children(buf: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill buf[at:end] exactly."""
+def der_children(read: Reader, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill the bytes from `at` to `end` exactly."""
     out = []
     while at < end:
-        head = der_header(buf, at, end)
-        if head is None:
+        head = der_header(read, at, end)
+        if head is None or len(out) == MAX_FIELDS:
             return None
         out.append(head)
         at = head[2]
     return out
 
 
-def is_private_key_der(buf: bytes) -> bool:
-    head = der_header(buf, 0, len(buf))
-    if head is None or head[0] != _SEQUENCE or head[2] != len(buf):
+def _key_fields(read: Reader, at: int, end: int, wrapped: bool = False) -> bool:
+    """Whether the bytes are one SEQUENCE of an RSA, EC or, unless `wrapped`, PKCS#8 private key."""
+    head = der_header(read, at, end)
+    if head is None or head[0] != _SEQUENCE or head[2] != end:
         return False
-    fields = der_children(buf, head[1], head[2])
+    fields = der_children(read, head[1], head[2])
     if not fields or len(fields) < 2 or fields[0][0] != _INTEGER or fields[0][2] - fields[0][1] != 1:
         return False
     tags = [f[0] for f in fields]
     if len(fields) >= 9 and all(t == _INTEGER for t in tags[:9]):  # version, modulus, exponents, primes
         return True
     if tags[1] == _OCTETS and all(t & 0xE0 == 0xA0 for t in tags[2:]):  # EC: version, key, tagged curve and point
-        return all(der_children(buf, a, b) is not None for _, a, b in fields[2:])
-    if len(fields) >= 3 and tags[1] == _SEQUENCE and tags[2] == _OCTETS:  # PKCS#8: version, algorithm, wrapped key
-        algorithm = der_children(buf, fields[1][1], fields[1][2])
-        return bool(algorithm) and algorithm[0][0] == _OID and der_header(buf, fields[2][1], fields[2][2]) is not None
+        return all(der_children(read, a, b) is not None for _, a, b in fields[2:])
+    if not wrapped and len(fields) >= 3 and tags[1] == _SEQUENCE and tags[2] == _OCTETS:  # PKCS#8: version, algorithm, wrapped key
+        algorithm = der_children(read, fields[1][1], fields[1][2])
+        if not algorithm or algorithm[0][0] != _OID:
+            return False
+        inner = der_header(read, fields[2][1], fields[2][2])
+        if inner is None or inner[2] != fields[2][2]:
+            return False
+        # a number (DSA, DH), a string (the 25519 and 448 curves), or a key of its own
+        return inner[0] in (_INTEGER, _OCTETS) or _key_fields(read, fields[2][1], fields[2][2], wrapped=True)
     return False
 
 
-def openssh_end(buf: bytes) -> int | None:
-    """Where the OpenSSH key container at the start of `buf` ends, if its fields fit."""
+def is_private_key_der(buf: bytes) -> bool:
+    return _key_fields(lambda at, n: buf[at : at + n], 0, len(buf))
+
+
+def openssh_end(read: Reader, size: int) -> int | None:
+    """Where the OpenSSH key container at the start of `size` bytes ends, if its fields fit."""
     magic = b"openssh-key-v1\0"
-    if not buf.startswith(magic):
+    if read(0, len(magic)) != magic:
         return None
     at = len(magic)
+
+    def number() -> int | None:
+        got = read(at, 4)
+        return int.from_bytes(got) if len(got) == 4 else None
+
     for _ in range(3):  # cipher, key derivation, its options
-        if at + 4 > len(buf):
+        if (n := number()) is None:
             return None
-        at += 4 + int.from_bytes(buf[at : at + 4])
-    if at + 4 > len(buf):
-        return None
-    keys, at = int.from_bytes(buf[at : at + 4]), at + 4
-    if not 1 <= keys <= 16:
+        at += 4 + n
+    keys = number()
+    if keys is None or not 1 <= keys <= 16:
         return None
+    at += 4
     for _ in range(keys + 1):  # public keys, then the private section
-        if at + 4 > len(buf):
+        if (n := number()) is None:
             return None
-        at += 4 + int.from_bytes(buf[at : at + 4])
-    return at if at <= len(buf) else None
+        at += 4 + n
+    return at if at <= size else None
 
 
 def is_openssh_key(buf: bytes) -> bool:
-    return openssh_end(buf) is not None
+    return openssh_end(lambda at, n: buf[at : at + n], len(buf)) is not None
 
 
 class Run:
@@ -149,11 +174,19 @@ class Run:
         k = bisect_left(self.first, index) - 1
         return self.at[k] + index - self.first[k]
 
-    def decoded(self, start: int, n: int) -> bytes:
-        """At most `n` bytes of what stands from `start` on."""
-        raw = self.chars[start : start + (4 * n + 2) // 3]
-        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
-        return base64.b64decode(raw + "=" * (-len(raw) % 4))[:n]
+    def reader(self, start: int) -> Reader:
+        """Bytes of what stands from character `start` on; each read decodes just its own groups."""
+
+        def read(at: int, n: int) -> bytes:
+            group = at // 3
+            raw = self.chars[start + 4 * group : start + 4 * ((at + n + 2) // 3)]
+            raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+            return base64.b64decode(raw + "=" * (-len(raw) % 4))[at - 3 * group : at - 3 * group + n] if n > 0 else b""
+
+        return read
+
+    def size(self, start: int) -> int:
+        return (len(self.chars) - start) * 3 // 4
 
 
 def _padded(text: str, at: int, n: int) -> int:
@@ -173,17 +206,16 @@ def base64_keys(text: str) -> list[tuple[int, int, str]]:
         if run is None or place >= run.end:
             run = Run(text, place)
         start = run.index(place)
+        read, size = run.reader(start), run.size(start)
         if m[0][0] == "M":
-            head = run.decoded(start, 6)
-            k = head[1] & 0x7F if len(head) == 6 and head[1] >= 0x80 else 0
-            n = 2 + k + int.from_bytes(head[2 : 2 + k]) if k else 2 + head[1] if len(head) == 6 else 0
-            if k > 4 or n < _LEAST_DER or start + (4 * n + 2) // 3 > len(run.chars) or not is_private_key_der(run.decoded(start, n)):
+            head = der_header(read, 0, size)
+            if head is None or head[2] < _LEAST_DER or not _key_fields(read, 0, n := head[2]):
                 continue
             kind, end = "der", run.after(start + (4 * n + 2) // 3)
             if text[end : end + 1] in _BASE64:
                 continue
         else:
-            n = openssh_end(run.decoded(start, len(run.chars)))
+            n = openssh_end(read, size)
             if n is None:
                 continue
             kind, end = "openssh", _TAIL.match(text, run.after(start + (4 * n + 2) // 3)).end()
@@ -200,9 +232,9 @@ def _json_part(part: str) -> object:
 
 
 def is_signed_token(text: str) -> bool:
-    head, body, _ = text.split(".")
+    head, body, signature = text.split(".")
     got = _json_part(head)
-    return isinstance(got, dict) and isinstance(got.get("alg"), str) and isinstance(_json_part(body), dict)
+    return bool(signature) and isinstance(got, dict) and isinstance(got.get("alg"), str) and got["alg"].lower() != "none" and isinstance(_json_part(body), dict)
 
 
 def confirmed(text: str) -> list[tuple[int, int, str]]:
@@ -237,7 +269,3 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return work
 
     return map_texts(docs, make, "spans array<struct<start_pos: bigint, end_pos: bigint, kind: string>>", id_col, text_col)
-
-
-def digest_of(spans: list) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -5,12 +5,13 @@ A word is the mean of the vectors of its hashed character n-grams, a window of s
 scores as its most toxic window, so one insult in a long text counts. Misspellings that were never seen share n-grams with
 words that were.
 
-Training takes at most `SAMPLE_TOXIC` + `SAMPLE_CLEAN` labelled rows (those of least hash, texts of up to `SAMPLE_CHARS` characters),
-a bound that does not grow with the data. Labels are learnt only from rows with crc32(id as text) mod 4 other than 2; label, language,
+Training takes at most `SAMPLE_TOXIC` + `SAMPLE_CLEAN` labelled ids (those of least hash), one text of up to `SAMPLE_CHARS` characters each,
+a bound that does not grow with the data, however often an id repeats; longer texts are scored, not learnt from. Labels are learnt only from rows with crc32(id as text) mod 4 other than 2; label, language,
 source and id are never inputs of a score. Once trained, each n-gram bucket adds one number to the logit, so scoring broadcasts a table of
 2**BUCKET_BITS floats (1 MB) and reads whole texts in a single map.
 
-Null or empty text has no window and gets the score of the bias alone. Without labels of both kinds every score is 0. Equal texts score equally.
+Null or empty text has no window and gets the score of the bias alone. Without labels of both kinds every score is 0. Equal texts score equally, repeated
+rows each get their score, an empty table has none. Very long texts are read whole, window by window. Other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def scorer(model: Model) -> Callable[[list[str]], list[float]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on the bounded sample: ids are chosen from the labels alone, then only their texts reach the driver."""
+    """Train on the bounded sample: ids are chosen from the labels alone, then one text of each reaches the driver, the least of those that share an id."""
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     ids: dict[object, int] = {}
     for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
@@ -206,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ids |= {r["_id"]: r["_y"] for r in best.collect()}
     if not ids:
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), -50.0)
-    rows = docs.where(F.col(id_col).isin(*ids) & (F.length(text_col) <= SAMPLE_CHARS)).select(id_col, text_col).collect()
-    rows = sorted((r[0], r[1]) for r in rows)
+    short = F.when(F.length(text_col) <= SAMPLE_CHARS, F.col(text_col))
+    chosen = docs.where(F.col(id_col).isin(*ids)).groupBy(F.col(id_col).alias("_id")).agg(F.min(short).alias("_text")).where(F.col("_text").isNotNull())
+    rows = sorted(tuple(r) for r in chosen.limit(SAMPLE_TOXIC + SAMPLE_CLEAN).collect())
     return train([t for _, t in rows], [ids[i] for i, _ in rows])
 
 
@@ -235,4 +237,5 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
         score = None
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the names
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
