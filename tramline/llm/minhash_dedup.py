@@ -12,8 +12,11 @@ member. Members of a bucket that are in different components after that are sear
 their shingles, which yields the pairs that can still be links. A large group of near copies links to its lead in the first step and costs as
 many alignments as it has texts.
 
-Null text is empty; empty texts are exact copies of one another. Texts of under five words have one shingle, all their words. Rows that
-share an id fall in one class; rows with a null id have a null class. Empty tables give empty results. Only ids, hashes and the texts of candidates are shuffled.
+A lead of a large group, and a token of many texts, are dealt to several tasks.
+
+Null text is empty; empty texts are exact copies of one another, and other texts without words are alike only if equal. Texts of under five words have one shingle, all their words. Rows that
+share an id fall in one class; rows with a null id have a null class. Repeated rows and ties of the sketch give the same classes in any order of the input. Very long texts
+are sketched and aligned whole. Empty tables give empty results; other columns are passed by, whatever their names. Only ids, hashes and the texts of candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, text_slices
+from .common import checkpointed, free, map_texts, name, text_slices
 
 WORDS = 5
 SAMPLED = 3
 SKETCHES = 14
 SIMILARITY = 0.8
+#: Pairs of a lead, and rows of a token, that one task takes.
+SPLIT, TOKEN_ROWS = 128, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ np.uint64(0x2545F4914F6CDD1D)
 _WIDE = 100_000
@@ -147,11 +152,19 @@ def distance(a: list, b: list) -> int | None:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of `pairs` that align. The second text joins first, so that a shared first text is moved once for each partition of its pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(ids, "_id", "left_semi")
-    with_b = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    """(a, b), a < b, of those of `pairs` (lead, rep, met) that align; `met` is about how many pairs the lead has.
+
+    The second text joins first, so that a shared first text is moved once for each partition of its pairs. A lead of more than SPLIT pairs is dealt
+    to as many tasks as it has SPLITs, its text to each.
+    """
+    ids = pairs.select(F.explode(F.array("lead", "rep")).alias("_id")).distinct()
+    texts = docs.select(name(id_col).alias("_id"), F.coalesce(name(text_col), F.lit("")).alias("_text")).join(ids, "_id", "left_semi")
+    of_rep, of_lead = (texts.select(F.col("_id").alias(i), F.col("_text").alias(t)) for i, t in (("rep", "tb"), ("lead", "ta")))
+    cold = pairs.where(F.col("met") <= SPLIT).join(of_rep, "rep").join(of_lead, "lead").select("lead", "rep", "ta", "tb")
+    hot = pairs.where(F.col("met") > SPLIT).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("met") / SPLIT)))
+    if not hot.isEmpty():
+        leads = hot.select("lead", "part").distinct().join(of_lead, "lead")
+        cold = cold.union(hot.join(of_rep, "rep").join(leads, ["lead", "part"]).select("lead", "rep", "ta", "tb"))
 
     def run(batches):
         last: tuple[str | None, list] = (None, [])
@@ -164,9 +177,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                     last = (x, shingles_of(x))
                 keep.append(distance(last[1], shingles_of(y)) is not None)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["lead", "rep"])
 
-    return both.mapInArrow(run, both.select("a", "b").schema).distinct()
+    return cold.mapInArrow(run, cold.select("lead", "rep").schema).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,17 +229,30 @@ def _plausible(members: DataFrame, docs: DataFrame, id_col: str, text_col: str)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate(hashed).view(np.int64)), pa.array(np.repeat(n, n), pa.int32())], ["id", "token", "n"])
 
     kind = members.schema["id"].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(members.select("id"), "id", "left_semi")
+    texts = docs.select(name(id_col).alias("id"), F.coalesce(name(text_col), F.lit("")).alias("text")).join(members.select("id"), "id", "left_semi")
     tokens = checkpointed(texts.mapInArrow(run, f"id {kind}, token bigint, n int").distinct())
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     known = tokens.join(shared, "token").join(members, "id")
     by_id = Window.partitionBy("id")
     place = F.col("n") - F.count(F.lit(1)).over(by_id) + F.row_number().over(by_id.orderBy("df", "token")) - 1  # tokens of no other text come first
     prefix = known.withColumn("at", place).where(F.col("at") <= F.col("n") * (1 - SIMILARITY) + 1e-9).select("token", "id", "n", "c", "at")
-    x, y = (prefix.select("token", *(F.col(c).alias(c + k) for c in ("id", "n", "c", "at"))) for k in "12")
+    return _across(prefix)
+
+
+def _across(prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (token, id, n, c, at) that share a token, lie in different components and could still be similar.
+
+    A token of one component makes no pair. Of the others, rows outside the token's largest component meet the rows of all; so what is joined is at most about
+    twice the pairs of different components. A token of many rows is dealt to a task for each TOKEN_ROWS of them.
+    """
+    sizes = prefix.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    tokens = sizes.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1)
+    shared = prefix.join(tokens, "token").withColumn("parts", F.ceil(F.col("rows") / TOKEN_ROWS).cast("int"))
+    x = shared.where(F.col("c") != F.col("major")).select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(c + "1") for c in ("id", "n", "c", "at")))
+    y = shared.select("token", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(c + "2") for c in ("id", "n", "c", "at")))
     need = F.ceil(SIMILARITY * (F.col("n1") + F.col("n2")) / (1 + SIMILARITY) - 1e-9)
-    fits = (F.col("c1") < F.col("c2")) & (F.col("at1") <= F.col("n1") - need) & (F.col("at2") <= F.col("n2") - need)
-    return x.join(y, "token").where(fits).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+    fits = (F.col("c1") != F.col("c2")) & (F.col("at1") <= F.col("n1") - need) & (F.col("at2") <= F.col("n2") - need)
+    return x.join(y, ["token", "part"]).where(fits).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,15 +267,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the lead of a bucket is the member with the most companions in all its buckets: the likely original of a group of variants
     companions = members.groupBy("rep").agg(F.sum("size").alias("met"))
     leads = members.join(companions, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("met"), -F.col("rep"))).alias("lead"))
-    placed = members.select("bucket", "rep").join(leads, "bucket")
-    stars = checkpointed(placed.where(F.col("lead") != F.col("rep")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct())
-    links = checkpointed(_verified(stars, docs, id_col, text_col))
+    placed = members.select("bucket", "rep", "size").join(leads, "bucket")
+    met = placed.where(F.col("lead") != F.col("rep")).select("lead", "rep", F.col("size").alias("met"), F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    # two texts may lead one another in different buckets: the larger bucket's lead stays
+    stars = checkpointed(met.groupBy("a", "b").agg(F.max(F.struct("met", "lead", "rep")).alias("s")).select("a", "b", "s.met", "s.lead", "s.rep"))
+    links = checkpointed(_verified(stars.select("lead", "rep", "met"), docs, id_col, text_col))
     labels = components(links)
     # members of a bucket that the stars left in different components
     at = members.select("bucket", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("c"))
     split = at.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") < F.col("c1")).select("bucket")
     left = checkpointed(at.join(split, "bucket", "left_semi").select(F.col("rep").alias("id"), "c").distinct())
-    more = checkpointed(_verified(checkpointed(_plausible(left, docs, id_col, text_col).join(stars, ["a", "b"], "left_anti")), docs, id_col, text_col))
+    found = checkpointed(_plausible(left, docs, id_col, text_col).join(stars, ["a", "b"], "left_anti"))
+    pairs = found.join(found.groupBy("a").agg(F.count(F.lit(1)).alias("met")), "a").select(F.col("a").alias("lead"), F.col("b").alias("rep"), "met")
+    more = checkpointed(_verified(pairs, docs, id_col, text_col))
     if not more.isEmpty():
         labels = components(links.union(more))
     of_text = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
@@ -259,5 +289,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs`, all columns, with one document of each class: the one whose id is the class id. Rows with a null id stay."""
-    others = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_other")).distinct()
-    return docs.join(others, F.col(id_col) == F.col("_other"), "left_anti")
+    (other,) = free(docs.columns, "other")
+    others = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(other)).distinct()
+    return docs.join(others, name(id_col) == F.col(other), "left_anti")
