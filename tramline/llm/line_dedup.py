@@ -50,7 +50,7 @@ def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: s
     row = [name(id_col).alias("_id"), name(host_col).alias("_host"), F.xxhash64(text).alias("_t")]
     lines = pages.select(*row, F.posexplode(F.split(text, "\n")).alias("_pos", "_line")).where(F.translate("_line", _SPACES, "") != "")
     lines = lines.select("_id", "_host", "_t", "_pos", *_keys(F.col("_line")))
-    per_page = pages.select(*row[1:], F.explode(F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != ""))).alias("_line"))
+    per_page = pages.select(*row[1:], F.explode(F.split(text, "\n")).alias("_line")).where(F.translate("_line", _SPACES, "") != "")
     per_page, counted = per_page.select("_host", "_t", *_keys(F.col("_line"))).distinct(), pages.select(*row[1:]).distinct()
     counts = per_page.groupBy("_host", "_l1", "_l2").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= LEAST_PAGES)
     totals = counted.groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
