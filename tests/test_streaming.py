@@ -26,6 +26,16 @@ def test_live_ball_follows_the_batch_rule(spark, sf_dir, tmp_path):
     assert got == {tuple(r) for r in ball.select_ball(cands, frames).select(*BALL_COLUMNS).collect()}
 
 
+def test_late_frames_are_marked(spark, tmp_path):
+    rows = [(1, f, [[0.5, 10.0 * f, 0.0, 10.0 * f + 4, 4.0]]) for f in (0, 1, 5)], [(1, f, [[0.5, 10.0 * f, 0.0, 10.0 * f + 4, 4.0], [0.9, 5000.0, 0.0, 5004.0, 4.0]]) for f in (2, 6)]
+    for part in rows:
+        spark.createDataFrame(part, live.FRAME).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(live.FRAME).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.frame_num, r.x1, r.late) for r in drained(live.select_ball(stream), "append", "late_ball", tmp_path).collect()}
+    # frame 2 comes after frame 5: no anchor tells its candidates apart
+    assert got == {(0, 0.0, False), (1, 10.0, False), (5, 50.0, False), (2, 5000.0, True), (6, 60.0, False)}
+
+
 BALL_COLUMNS = [c.split()[0] for c in BALL_DET.split(", ")]
 
 

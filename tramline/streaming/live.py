@@ -25,12 +25,13 @@ def frame_rows(cands: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> Data
     return frames.select("match_id", "frame_num").join(per, ["match_id", "frame_num"], "left")
 
 
-def select_ball(frames: DataFrame, p: Params = DEFAULT, idle_minutes: int = 24 * 60) -> DataFrame:
+def select_ball(frames: DataFrame, p: Params = DEFAULT, idle_minutes: int | None = None) -> DataFrame:
     """BALL_DET plus `late`, of a stream of FRAME rows, by the rule of the batch operator.
 
     The state is a position and two counters for each match. A micro-batch is handled in frame order. A frame that arrives after a later one of its match
     has been handled comes too late for the anchor: it takes its most confident candidate, moves nothing, and is marked late, so that it can be counted
-    or chosen anew. Repeated rows of a frame in a micro-batch count once. A match without frames for `idle_minutes` is forgotten.
+    or chosen anew. Repeated rows of a frame in a micro-batch count once. With `idle_minutes`, a match without
+    frames for so long is forgotten; a stream that runs on should set it. One that ends with its input can't: Spark goes on with batches to look for timeouts.
     """
 
     def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,10 +49,12 @@ def select_ball(frames: DataFrame, p: Params = DEFAULT, idle_minutes: int = 24 *
             out.append((key[0], frame, *(box or (None,) * 4), late))
             last = max(last, frame)
         state.update((*(anchor.at or (None, None)), anchor.misses, last))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        if idle_minutes:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(out, columns=["match_id", "frame_num", "x1", "y1", "x2", "y2", "late"]).astype({c: "float64" for c in ("x1", "y1", "x2", "y2")})
 
-    out = frames.groupBy("match_id").applyInPandasWithState(step, BALL_DET + ", late boolean", BALL_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    out = frames.groupBy("match_id").applyInPandasWithState(step, BALL_DET + ", late boolean", BALL_STATE, "append", timeout)
     return out.select("match_id", "frame_num", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")), "late")
 
 
