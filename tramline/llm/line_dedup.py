@@ -48,9 +48,10 @@ def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: s
     """`pages` with the kept text, the number of lines and the number of dropped lines (long) added, under the names in `results`; other columns are kept as they are."""
     text = F.coalesce(name(text_col), F.lit(""))
     row = [name(id_col).alias("_id"), name(host_col).alias("_host"), F.xxhash64(text).alias("_t")]
-    lines = pages.select(*row, F.posexplode(F.split(text, "\n")).alias("_pos", "_line")).where(F.translate("_line", _SPACES, "") != "")
+    parted = pages.select(*row, F.split(text, "\n").alias("_parts"))  # the text is hashed and split once for each page, not beside each line
+    lines = parted.select("_id", "_host", "_t", F.posexplode("_parts").alias("_pos", "_line")).where(F.translate("_line", _SPACES, "") != "")
     lines = lines.select("_id", "_host", "_t", "_pos", *_keys(F.col("_line")))
-    per_page = pages.select(*row[1:], F.explode(F.split(text, "\n")).alias("_line")).where(F.translate("_line", _SPACES, "") != "")
+    per_page = parted.select("_host", "_t", F.explode("_parts").alias("_line")).where(F.translate("_line", _SPACES, "") != "")
     per_page, counted = per_page.select("_host", "_t", *_keys(F.col("_line"))).distinct(), pages.select(*row[1:]).distinct()
     counts = per_page.groupBy("_host", "_l1", "_l2").agg(F.count(F.lit(1)).alias("_pages")).where(F.col("_pages") >= LEAST_PAGES)
     totals = counted.groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
