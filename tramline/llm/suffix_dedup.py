@@ -6,8 +6,10 @@ ambiguous ones recurse with longer prefixes, and at last all remaining suffixes
 
 Where the textbook cover is fixed (positions 1 and 2 mod 3), this one is chosen by content: of `window` consecutive prefixes of `gram` bytes the one
 of least hash is sampled, with gram + window - 1 = 100. Two equal 100-byte strings therefore hold samples at the same offsets, which is
-all that the difference cover is needed for, and the sample is 2 / (window + 1) of the positions in place of 2 / 3. Names are 128-bit hashes
-rather than ranks, since only equality of prefixes counts and ranks would cost a global sort and two joins on each level.
+all that the difference cover is needed for, and the sample is 2 / (window + 1) of the positions in place of 2 / 3. Names are hashes rather than
+ranks, since only equality of prefixes counts and ranks would cost a global sort and two joins on each level: 64 bits for the sampled prefix and 64
+for the whole run, so that the bytes of a run outside its sample rest on the latter alone. Each level hashes the text anew, and neighbours are
+compared by these hashes, not by bytes.
 
 Levels (gram, window): (32, 69), (85, 16), (100, 1). On each, suffixes whose windows share a sample form a run; a row is (name of the sample, name of the
 whole run, document, start, end). Rows are dealt by sample name and sorted; the earliest of equal runs stays, later ones are
