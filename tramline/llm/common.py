@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,37 @@ def text_slices(column: pa.Array, limit: int = MAP_BYTES) -> Iterator[tuple[int,
         yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a column of texts, nulls as empty ones: views of the Arrow buffers, the first offset 0."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return at - at[0], data[at[0] : at[-1]]
+
+
+def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = MAP_BYTES) -> np.ndarray:
+    """The pieces source[start : start + size], one after another; only `chunk` places at a time have an index."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    out, shift = np.empty(total, source.dtype), starts - (ends - sizes)
+    for a in range(0, total, chunk):
+        b = min(a + chunk, total)
+        i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
+        inside = np.minimum(ends[i:j], b) - np.maximum(ends[i:j] - sizes[i:j], a)
+        out[a:b] = source[np.repeat(shift[i:j], inside) + np.arange(a, b)]
+    return out
+
+
+def strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A column of texts from the bytes of all and the place where each begins (and the last ends)."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def give_back() -> None:
     """Python workers outlive their tasks; what a task has freed goes back to the system."""
     pa.default_memory_pool().release_unused()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac_media, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, suffix_dedup, toxicity
+from . import bpe, fill_middle, filter_audit, flac_media, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, suffix_dedup, toxicity
 from .common import read
 
 
@@ -68,7 +68,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("offsets", 256).alias("offsets_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.restore(fill_middle.transform(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe, op12_filter_audit, op13_fill_middle)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 SQL = {
@@ -111,4 +120,29 @@ r AS (SELECT s.*, source_size, target, times, target - times * source_size AS re
   sum(size) OVER (PARTITION BY s.source ORDER BY h) AS upto, sum(size) OVER (PARTITION BY s.source, h) AS own
   FROM s JOIN n ON s.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN times >= 2 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - own <= rest AND 2 * (rest - (upto - own)) >= own THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda s: s <> '') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY x), false)] AS f
+  FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, f, count(*) AS n FROM d GROUP BY ALL),
+v AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS v, unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS ix FROM v a, v b, v c, v d, v e
+  WHERE a.i NOT IN (b.i, c.i, d.i, e.i) AND b.i NOT IN (c.i, d.i, e.i) AND c.i NOT IN (d.i, e.i) AND d.i <> e.i),
+s AS (SELECT filter_order, ix, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, f[ix[step]] AS fails, list_bool_or(list_transform(ix[1:step - 1], lambda k: f[k])) IS TRUE AS earlier,
+  len(list_filter(f, lambda z: z)) = 1 AS alone FROM c, s),
+g AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (fails AND NOT earlier AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g""",
+    "op13_fill_middle": r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
 }
