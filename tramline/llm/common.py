@@ -89,6 +89,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], data[at[0] : at[-1]]
 
 
+def word_lists(text: bytes, limit: int = 4 * MAP_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, runs of all but ASCII white space, by ranges of about `limit` bytes that end at white space if there is any."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > limit:
+            end = min((x for x in (text.find(w, at + limit) for w in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if x >= 0), default=end)
+        yield text[at:end].split()
+        at = end
+
+
 def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = MAP_BYTES) -> np.ndarray:
     """The pieces source[start : start + size], one after another; only `chunk` places at a time have an index."""
     ends = np.cumsum(sizes)

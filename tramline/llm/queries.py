@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, filter_audit, flac_media, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, suffix_dedup, toxicity
+from . import bpe, fill_middle, filter_audit, flac_media, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, suffix_dedup, toxicity, word_bpe
 from .common import read
 
 
@@ -68,6 +68,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("offsets", 256).alias("offsets_sha256"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = word_bpe.decode(word_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -77,7 +84,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe, op12_filter_audit, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_suffix_dedup, op4_flac_media, op5_line_dedup, op6_toxicity, op7_minhash_dedup, op8_mixing, op9_license_scan, op10_bpe, op11_word_bpe, op12_filter_audit, op13_fill_middle)}
 
 _STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 SQL = {
