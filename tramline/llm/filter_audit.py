@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import MAP_BYTES, give_back, name, ranges, utf8
+from .common import MAP_BYTES, give_back, name, ranges, utf8, word_lists
 
 FILTERS = "ABCDE"
 #: Thresholds of the first three filters: words, percentage of distinct words, percentage of capitals; and the characters of the fourth.
@@ -53,15 +53,10 @@ def first_failure() -> np.ndarray:
 
 def pattern_of(text: bytes) -> int:
     """The bits of the first four filters, from UTF-8."""
-    n, distinct, at = 0, set(), 0
-    while at < len(text):
-        end = len(text)
-        if end - at > 4 * MAP_BYTES:  # up to the next white space, if there is any
-            end = min((x for x in (text.find(w, at + 4 * MAP_BYTES) for w in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if x >= 0), default=end)
-        words = text[at:end].split()
+    n, distinct = 0, set()
+    for words in word_lists(text):
         n += len(words)
         distinct.update(words)
-        at = end
     points = len(text) - _count(text, CONTINUED)
     odd = len(text) > 0 and _count(text, ODD) > 0
     return (n < LEAST_WORDS) | (100 * len(distinct) < LEAST_DISTINCT * n) << 1 | (100 * _count(text, CAPITALS) > MOST_CAPITALS * points) << 2 | odd << 3
@@ -131,7 +126,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, filter_order, step, and MEASURES): 600 rows for each part of `docs`, zeros included."""
     out = StructType.fromDDL(f"part string, filter_order string, step int, {', '.join(m + ' bigint' for m in MEASURES)}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             names, code = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
@@ -141,20 +136,33 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part, counts in zip(names, by, strict=True):
                 held[part] = held.get(part, 0) + counts
             if len(held) > HELD_PARTS:
-                yield from _arrays(held)
+                yield _partial(held)
                 held = {}
-        yield from _arrays(held)
+        yield _partial(held)
+        give_back()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, cells = None, 0
+        for batch in batches:
+            for name_, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part is not None and name_ != part:
+                    yield _rows(part, cells)
+                    cells = 0
+                part, cells = name_, cells + row.values.to_numpy()
+        if part is not None:
+            yield _rows(part, cells)
         give_back()
 
-    partial = patterns(docs, labels).mapInArrow(run, out)
-    return partial.groupBy("part", "filter_order", "step").agg(*(F.sum(m).alias(m) for m in MEASURES))
+    partial = patterns(docs, labels).mapInArrow(look_up, "part string, cells array<bigint>")
+    return partial.repartition("part").sortWithinPartitions("part").mapInArrow(add_up, out)
+
+
+def _partial(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([accumulate(c).ravel() for c in held.values()], pa.list_(pa.int64()))], ["part", "cells"])
 
 
-def _arrays(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    names = orders()
-    steps = len(FILTERS)
-    for part, counts in held.items():
-        cells = accumulate(counts).reshape(len(MEASURES), -1)
-        size = cells.shape[1]
-        keys = [pa.array([part] * size, pa.string()), pa.array([o for o in names for _ in range(steps)], pa.string()), pa.array(np.tile(np.arange(1, steps + 1, dtype=np.int32), len(names)))]
-        yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, cells)], ["part", "filter_order", "step", *MEASURES])
+def _rows(part: str, cells: np.ndarray) -> pa.RecordBatch:
+    names, steps = orders(), len(FILTERS)
+    cells = cells.reshape(len(MEASURES), -1)
+    keys = [pa.array([part] * cells.shape[1], pa.string()), pa.array([o for o in names for _ in range(steps)], pa.string()), pa.array(np.tile(np.arange(1, steps + 1, dtype=np.int32), len(names)))]
+    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, cells)], ["part", "filter_order", "step", *MEASURES])
