@@ -133,3 +133,61 @@ def shots(track: DataFrame, mid: str = "cy", p: Params = DEFAULT) -> DataFrame:
     turned = F.size(F.filter(F.slice("ahead", F.lit(1), F.col("L")), lambda x: x * F.col("dy") < 0))
     hit = v.where((F.col("frame_num") >= 1) & (F.col("frame_num") < F.col("n") - F.col("L")) & (F.col("dy") * F.col("next_dy") < 0) & (turned >= F.col("k") - 1))
     return hit.select("match_id", (F.row_number().over(in_match()) - 1).cast("bigint").alias("shot_idx"), F.col("frame_num").cast("bigint"))
+
+
+def persistence(n: int | None, p: Params = DEFAULT) -> tuple[int, int]:
+    """(k, L) of a match of n frames, as `shots` has them: frames that a turn must last, and frames looked at for it. A match of unknown length counts as a long one."""
+    k = p.max_persist if n is None else max(p.min_persist, min(p.max_persist, n // p.persist_divisor))
+    return k, int(k * p.look_ahead)
+
+
+class Turns:
+    """`fill_gaps`, `velocity` and `shots` of one match, a frame at a time, in bounded memory.
+
+    A frame's value is known once a ball is seen again, or the match ends; a turn once the frames that it looks at are. What is kept: the last sight and how many frames have
+    passed since, the last values of the mean, and the changes of the last L frames.
+    """
+
+    def __init__(self, n: int | None, p: Params = DEFAULT, kept: dict | None = None):
+        self.p, self.n = p, n
+        self.k, self.ahead = persistence(n, p)
+        kept = kept or {"seen": None, "next": 0, "values": [], "mean": None, "changes": [], "upto": -1}
+        self.seen, self.next, self.values, self.mean, self.changes, self.upto = (kept[c] for c in ("seen", "next", "values", "mean", "changes", "upto"))
+
+    def kept(self) -> dict:
+        return {"seen": self.seen, "next": self.next, "values": self.values, "mean": self.mean, "changes": self.changes, "upto": self.upto}
+
+    def frame(self, frame: int, box: tuple[float, float] | None) -> Iterator[int]:
+        """Shots that are known with this frame; `box` is (y1, y2) of the ball, None where it wasn't seen. Frames that were left out weren't either."""
+        self.next = frame + 1
+        if box is not None:
+            for f in range(self.upto + 1, frame):
+                yield from self._value(f, self._filled(f, frame, box))
+            self.seen = [frame, *box]
+            yield from self._value(frame, box)
+        if self.n is not None and self.next >= self.n:
+            yield from self.end()
+
+    def end(self) -> Iterator[int]:
+        """The match is over: the last sight is held."""
+        for f in range(self.upto + 1, self.next):
+            yield from self._value(f, self._filled(f, None, None))
+
+    def _filled(self, f: int, until: int | None, after: tuple[float, float] | None) -> tuple[float, float] | None:
+        if self.seen is not None and f - self.seen[0] <= self.p.gap_limit:
+            since, *before = self.seen
+            return tuple(before) if until is None else tuple(a + (b - a) * (f - since) / (until - since) for a, b in zip(before, after, strict=True))
+        return after if until is not None and until - f <= self.p.gap_limit else None
+
+    def _value(self, frame: int, box: tuple[float, float] | None) -> Iterator[int]:
+        self.upto = frame
+        self.values = [*self.values[1 - self.p.roll :], None if box is None else (box[0] + box[1]) / 2]
+        real = [v for v in self.values if v is not None]
+        before, self.mean = self.mean, sum(real) / len(real) if real else None
+        self.changes = [*self.changes[-self.ahead :], None if before is None or self.mean is None else self.mean - before]
+        at = frame - self.ahead
+        if at < 1 or self.n is not None and at >= self.n - self.ahead:
+            return
+        own, *later = self.changes
+        if own is not None and later[0] is not None and own * later[0] < 0 and sum((x or 0.0) * own < 0 for x in later) >= self.k - 1:
+            yield at

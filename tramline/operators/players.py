@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -44,6 +44,51 @@ def court_from_feet(feet: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return box.select("match_id", "n", *(F.when(enough, v).alias(c) for c, v in (("x0", F.col("x0") - dx), ("y0", F.col("y0") - dy), ("x1", F.col("x1") + dx), ("y1", F.col("y1") + dy))))
 
 
+class Slots:
+    """The identities of a match, given the frames before: the track and the last place of each slot, and the last frame with a detection in court."""
+
+    def __init__(self, p: Params = DEFAULT, tracks: list[int | None] | None = None, places: list[tuple[int, int] | None] | None = None, last: int | None = None):
+        self.p, self.ids, self.last = p, range(1, p.n_players + 1), last
+        self.track = dict(zip(self.ids, tracks or [None] * p.n_players, strict=True))
+        self.place = dict(zip(self.ids, places or [None] * p.n_players, strict=True))
+
+    def deal(self, frame: int, seen: Iterable[tuple[int, int, int, list[float]]]) -> dict[int, list[float]]:
+        """Boxes by slot, in the order in which they were dealt, from (track, cx, cy, box) of a frame, by track."""
+        track, place, p = self.track, self.place, self.p
+        if self.last is not None and frame > self.last + 1:
+            track.update(dict.fromkeys(self.ids))
+        self.last = frame
+        free = {r[0]: r for r in seen}
+        taken: dict[int, list[float]] = {}
+
+        def give(slot: int, tid: int) -> None:
+            _, cx, cy, box = free.pop(tid)
+            track[slot], place[slot], taken[slot] = tid, (cx, cy), box
+
+        def far(tid: int, x: int, y: int) -> float:
+            return ((free[tid][1] - x) ** 2 + (free[tid][2] - y) ** 2) ** 0.5
+
+        for slot in self.ids:
+            if track[slot] in free:
+                give(slot, track[slot])
+        empty = [s for s in self.ids if s not in taken]
+        if len(empty) == p.n_players and not any(place.values()) and len(free) >= p.n_players:
+            for slot, tid in zip(self.ids, sorted(free, key=lambda t: (free[t][2], free[t][1]))):
+                give(slot, tid)
+            empty = []
+        for slot in empty:
+            if place[slot] is None:
+                if free:
+                    give(slot, min(free))
+                continue
+            near = min(free, key=lambda t: far(t, *place[slot]), default=None)
+            if near is not None and far(near, *place[slot]) < p.slot_accept:
+                give(slot, near)
+            else:
+                track[slot] = None
+        return taken
+
+
 def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, frame_num, player_id, slot_ord, box): four identities kept over track losses.
 
@@ -51,45 +96,11 @@ def assign_slots(dets: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> Dat
     pixels of its last place, and a slot that never had one the free track of least id. A frame without any detection in court loses all tracks, not the places.
     Frames pass in order; the state of a match is four tracks and four places.
     """
-    ids = range(1, p.n_players + 1)
 
     def deal(match: object, rows: Iterator[tuple]) -> Iterator[tuple]:
-        track: dict[int, int | None] = dict.fromkeys(ids)
-        place: dict[int, tuple[int, int] | None] = dict.fromkeys(ids)
-        last = None
+        slots = Slots(p)
         for frame, seen in groupby(rows, key=itemgetter(0)):
-            if last is not None and frame > last + 1:
-                track = dict.fromkeys(ids)
-            last = frame
-            free = {r[1]: r for r in seen}
-            taken: dict[int, list[float]] = {}
-
-            def give(slot: int, tid: int) -> None:
-                _, _, cx, cy, *box = free.pop(tid)
-                track[slot], place[slot], taken[slot] = tid, (cx, cy), box
-
-            def far(tid: int, x: int, y: int) -> float:
-                return ((free[tid][2] - x) ** 2 + (free[tid][3] - y) ** 2) ** 0.5
-
-            for slot in ids:
-                if track[slot] in free:
-                    give(slot, track[slot])
-            empty = [s for s in ids if s not in taken]
-            if len(empty) == p.n_players and not any(place.values()) and len(free) >= p.n_players:
-                for slot, tid in zip(ids, sorted(free, key=lambda t: (free[t][3], free[t][2]))):
-                    give(slot, tid)
-                empty = []
-            for slot in empty:
-                if place[slot] is None:
-                    if free:
-                        give(slot, min(free))
-                    continue
-                near = min(free, key=lambda t: far(t, *place[slot]), default=None)
-                if near is not None and far(near, *place[slot]) < p.slot_accept:
-                    give(slot, near)
-                else:
-                    track[slot] = None
-            for k, (slot, box) in enumerate(taken.items()):
+            for k, (slot, box) in enumerate(slots.deal(frame, ((t, cx, cy, box) for _, t, cx, cy, *box in seen)).items()):
                 yield (match, frame, slot, k, *box)
 
     return in_order(in_court(dets, bounds), ["frame_num", "track_id"], ["frame_num", "track_id", "cx", "cy", "x1", "y1", "x2", "y2"], deal, PLAYER_SLOT)

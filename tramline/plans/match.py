@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ball, court, density, highlights, players, reports, stats
 from ..schemas import DEFAULT, Params
-from .staging import staged
+from .staging import Stages, of_session
 
 
 @dataclass
@@ -27,6 +27,11 @@ class Analysis:
     ball_dets: DataFrame
     frames: DataFrame
     params: Params = DEFAULT
+    #: Where positions and segments are staged: those of the session unless a job owns them.
+    stages: Stages | None = None
+
+    def _staged(self, df: DataFrame) -> DataFrame:
+        return (self.stages or of_session(df.sparkSession)).staged(df)
 
     @cached_property
     def courts(self) -> DataFrame:
@@ -48,11 +53,11 @@ class Analysis:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return staged(court.positions(self.courts, self.slots, self.ball))
+        return self._staged(court.positions(self.courts, self.slots, self.ball))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return staged(stats.segments(self.shots, self.positions, self.dims, self.params))
+        return self._staged(stats.segments(self.shots, self.positions, self.dims, self.params))
 
     @cached_property
     def attribution(self) -> DataFrame:
@@ -99,7 +104,8 @@ class Analysis:
         return reports.documents(self.dims, self.summary, self.highlights)
 
 
-def analyse(matches: DataFrame, keypoints: DataFrame, player_dets: DataFrame, ball_cands: DataFrame, frames: DataFrame, params: Params = DEFAULT) -> Analysis:
+def analyse(matches: DataFrame, keypoints: DataFrame, player_dets: DataFrame, ball_cands: DataFrame, frames: DataFrame, params: Params = DEFAULT, stages: Stages | None = None) -> Analysis:
     """From raw detections: the two order-dependent steps (ball choice, slots) run first, a match at a time."""
-    slots = staged(players.assign_slots(player_dets, players.court_bounds(keypoints, params), params))
-    return Analysis(matches, keypoints, slots, staged(ball.select_ball(ball_cands, frames, params)), frames, params)
+    stages = stages or of_session(frames.sparkSession)
+    slots = stages.staged(players.assign_slots(player_dets, players.court_bounds(keypoints, params), params))
+    return Analysis(matches, keypoints, slots, stages.staged(ball.select_ball(ball_cands, frames, params)), frames, params, stages)

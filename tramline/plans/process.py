@@ -11,11 +11,13 @@ from ..operators.jobs import JobLog
 from ..schemas import DEFAULT, Params
 from ..sources import tracking as T
 from .match import analyse
-from .staging import release
+from .staging import Stages
 
 #: Stages and the progress at which they begin (fixed values); "stage" names a result table.
 READ, PLAYERS, BALL, COURT, STATISTICS, SAVE, DONE = ("Reading video", 5), ("Detecting players", 10), ("Detecting ball", 20), ("Detecting court keypoints", 30), ("Computing statistics", 50), ("Saving analysis", 95), ("Done", 100)
 TABLES = {"heatmap": ("Generating heatmaps", 60), "trajectory": ("Generating shot map", 65), "highlights": ("Detecting highlights", 70), "reel": ("Saving highlights reel", 92)}
+#: The text of the error that a job without frames ends with (fixed value).
+NO_FRAMES = "Input video contains no readable frames."
 
 
 @dataclass
@@ -30,14 +32,22 @@ class Inputs:
 
 
 def process(inputs: Inputs, out: str, on_progress: Callable[[str, int], None] | None = None, max_frames: int | None = None, p: Params = DEFAULT) -> dict[str, str]:
-    """Analyse `inputs` and write the results below `out`; returns the path of each. No frames at all are an error, before anything is detected."""
+    """Analyse `inputs` and write the results below `out`; returns the path of each. No frames at all are an error, before anything is detected.
+
+    What the job stages is deleted at its end, also after an error; other jobs of the session may run beside it.
+    """
+    with Stages(inputs.frames.sparkSession) as stages:
+        return _process(inputs, out, stages, on_progress, max_frames, p)
+
+
+def _process(inputs: Inputs, out: str, stages: Stages, on_progress: Callable[[str, int], None] | None, max_frames: int | None, p: Params) -> dict[str, str]:
     tell = on_progress or (lambda stage, percent: None)
     made = lambda x: x() if callable(x) else x
     tell(*READ)
     capped = lambda df: df if max_frames is None else df.where(df["frame_num"] < max_frames)
     frames = capped(inputs.frames)
     if frames.isEmpty():
-        raise ValueError("Input video contains no readable frames.")
+        raise ValueError(NO_FRAMES)
     matches = inputs.matches
     if max_frames is not None:
         counted = frames.groupBy("match_id").count().withColumnRenamed("count", "total_frames")
@@ -47,7 +57,8 @@ def process(inputs: Inputs, out: str, on_progress: Callable[[str, int], None] |
     tell(*BALL)
     balls = capped(made(inputs.balls))
     tell(*COURT)
-    a = analyse(matches, made(inputs.keypoints), players, balls, frames, p)
+    keypoints = stages.staged(made(inputs.keypoints))  # read for bounds and for corners; its detector runs once
+    a = analyse(matches, keypoints, players, balls, frames, p, stages)
     tell(*STATISTICS)
     paths = {"frame_stats": f"{out}/frame_stats"}
     a.frame_stats.write.mode("overwrite").parquet(paths["frame_stats"])
@@ -58,7 +69,6 @@ def process(inputs: Inputs, out: str, on_progress: Callable[[str, int], None] |
     tell(*SAVE)
     paths["analysis"] = f"{out}/analysis"
     T.write_documents(a.documents, paths["analysis"])
-    release(frames.sparkSession)
     tell(*DONE)
     return paths
 

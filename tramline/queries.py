@@ -234,11 +234,14 @@ def job_results(spark, sf):
 
 
 def job_log_replay(spark, sf):
-    """The log as commands: signups insert, purchases complete, errors fail, all else updates."""
+    """The log as commands: signups insert, purchases complete, errors fail, all else updates. The earlier half is folded into a base, on which the later half follows."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     command = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in {"signup": "insert", "purchase": "complete", "error": "fail"}.items()), F.lit("update"))
     commands = e.select(F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("seq"), command.alias("command"), F.lit("processing").alias("status"), F.col("event_type").alias("stage"), F.get_json_object("props", "$.k").cast("int").alias("progress"), F.col("props").alias("result"), F.lit("failed").alias("error"), F.col("ts").alias("at"))
-    return jobs.state(jobs.events_of(commands)).select("job_id", "status", "stage", F.col("progress").cast("bigint").alias("progress"), "result", "error")
+    middle = e.agg(F.max("event_id")).first()[0] // 2
+    base = jobs.state(jobs.events_of(commands.where(F.col("seq") <= middle)))
+    after = jobs.folded(base, commands.where(F.col("seq") > middle))
+    return after.select("job_id", "status", "stage", F.col("progress").cast("bigint").alias("progress"), "result", "error")
 
 
 def analysis_document(spark, sf):

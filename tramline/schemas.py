@@ -15,6 +15,8 @@ POSITIONS = "match_id bigint, frame_num bigint, entity string, player_id int, sl
 SHOTS = "match_id bigint, shot_idx bigint, frame_num bigint"
 HIGHLIGHT = "start_frame: bigint, end_frame: bigint, timestamp_seconds: double, label: string"
 JOB_EVENTS = "job_id string, seq bigint, status string, stage string, progress int, result string, error string, at timestamp_ntz"
+JOB_COMMANDS = "job_id string, seq bigint, command string, status string, stage string, progress int, result string, error string, at timestamp_ntz"
+JOB_STATE = "job_id string, status string, stage string, progress int, result string, error string, created_at timestamp_ntz, updated_at timestamp_ntz"
 
 
 @dataclass(frozen=True)

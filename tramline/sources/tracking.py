@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 
 from ..operators import reports
 from ..schemas import BALL_CAND, PLAYER_DET
+from .cache import DetectionCache
+
+#: Buckets of stored tables.
+BUCKETS = 32
 
 #: Court corners of the derived tables, in image pixels.
 KEYPOINTS = ((300.0, 200.0), (980.0, 210.0), (1200.0, 690.0), (80.0, 680.0))
@@ -35,35 +39,50 @@ KEYPOINT_CASES = (
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, max_frames: int | None = None) -> DataFrame:
     """A detection table; the frame cap is a filter, which reaches the Parquet scan."""
-    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path).drop("bucket")
     return df if max_frames is None else df.where(F.col("frame_num") < max_frames)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("match_id").parquet(path)
+def write_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A table in a fixed number of buckets by match, a file each, whatever the number of matches; within a file rows are ordered by match, so that one match's pages lie together."""
+    order = [c for c in ("match_id", "frame_num") if c in df.columns]
+    bucket = F.pmod(F.xxhash64("match_id"), F.lit(buckets)).cast("int").alias("bucket")
+    df.select("*", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Analysis documents as JSON text, one match a line, in a folder for each match."""
-    docs.select("match_id", "document").write.mode("overwrite").partitionBy("match_id").text(path)
+def write_documents(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Analysis documents as lines of JSON, {"match_id": ..., "document": text}, in a fixed number of buckets by match."""
+    bucket = F.pmod(F.xxhash64("match_id"), F.lit(buckets)).cast("int").alias("bucket")
+    docs.select("match_id", "document", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "match_id").write.mode("overwrite").partitionBy("bucket").json(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Stored analysis documents, read back into columns; a match's folder alone is read where match_id is filtered."""
-    lines = spark.read.schema("value string, match_id bigint").text(path)
-    return reports.parsed(lines.withColumnRenamed("value", "document"))
+def read_documents(spark: SparkSession, path: str, matches: list[int] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Stored analysis documents, read back into columns; of the buckets of `matches` alone if they are given."""
+    rows = spark.read.schema("match_id bigint, document string, bucket int").json(path)
+    if matches is not None:
+        own = F.array(*(F.pmod(F.xxhash64(F.lit(m).cast("bigint")), F.lit(buckets)).cast("int") for m in matches))
+        rows = rows.where(F.array_contains(own, F.col("bucket")) & F.col("match_id").isin(matches))
+    return reports.parsed(rows.drop("bucket"))
 
 
-def read_or_detect(spark: SparkSession, path: str | None, schema: str, detect: Callable[[], DataFrame], read: bool = True, max_frames: int | None = None) -> DataFrame:
+def read_or_detect(spark: SparkSession, path: str | None, schema: str, detect: Callable[..., DataFrame], read: bool = True, max_frames: int | None = None, wanted: DataFrame | None = None, version: str = "1") -> DataFrame:
     """Cached detections at `path`, or those of `detect`, which are then stored there.
 
+    With `wanted` (match_id, frames), a cache that knows its matches (`cache.DetectionCache`): `detect` is given those that are absent, of another detector version or too
+    short, and only they are detected. Without, a table of one input, which is stored and read as a whole: `path` must be the input's own.
     A cache whose columns or types aren't those of `schema` is an error, not a reason to detect anew.
     """
+    if path is not None and wanted is not None:
+        cache = DetectionCache(spark, path, schema, version)
+        asked = wanted if max_frames is None else wanted.withColumn("frames", F.least("frames", F.lit(max_frames)))
+        if not read:
+            cache.add(asked, detect(asked))
+        return cache.read_or_detect(asked, detect)
     if path is not None and read:
         found = cached(spark, path)
         if found is not None:
-            wanted = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
-            if {f.name: f.dataType for f in found.schema.fields if f.name in wanted} != wanted:
+            wanted_types = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+            if {f.name: f.dataType for f in found.schema.fields if f.name in wanted_types} != wanted_types:
                 raise ValueError(f"{path} holds {found.schema.simpleString()}, not {schema}")
             return read_table(spark, path, schema, max_frames)
     dets = detect()
@@ -79,8 +98,7 @@ def cached(spark: SparkSession, path: str) -> DataFrame | None:
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place):
         return None
-    df = spark.read.parquet(path)
-    return df.withColumn("match_id", F.col("match_id").cast("bigint")) if "match_id" in df.columns else df
+    return spark.read.parquet(path)
 
 
 def videos(spark: SparkSession, path: str) -> DataFrame:
