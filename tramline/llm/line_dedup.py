@@ -35,13 +35,18 @@ def _keys(line: Column) -> list[Column]:
 
 
 def _kept(lines: Column, drop: Column) -> Column:
-    """The lines at positions not in `drop` (ascending): the runs between dropped ones, put together."""
-    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+    """The lines at positions not in `drop` (ascending): the runs between dropped ones, put together.
 
-    def runs(e: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: F.slice(lines, F.get(e, i) + 2, F.get(e, i + 1) - F.get(e, i) - 1)))
+    `lines` is bound once, as a field of a lambda's variable: an expression named within the lambda of the runs would be evaluated for each run.
+    """
 
-    return F.element_at(F.transform(F.array(edges), runs), 1)
+    def runs(b: Column) -> Column:
+        edge = lambda i: F.get(b["edges"], i)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(b["edges"]) - 2), lambda i: F.slice(b["lines"], edge(i) + 2, edge(i + 1) - edge(i) - 1)))
+
+    given = F.array(F.struct(lines.alias("lines"), drop.alias("drop")))
+    edged = F.transform(given, lambda b: F.struct(b["lines"].alias("lines"), F.concat(F.array(F.lit(-1)), b["drop"], F.array(F.size(b["lines"]))).alias("edges")))
+    return F.element_at(F.transform(edged, runs), 1)
 
 
 def drop_boilerplate_lines(pages: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, results: tuple[str, str, str] = RESULTS) -> DataFrame:
