@@ -27,6 +27,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,9 @@ from .bpe import WHITE
 from .common import MAP_BYTES, checkpointed, free, gathered, give_back, name, ranges, strings, utf8, word_lists
 
 #: A word is frequent if it is one in so many words of the corpus, and not the only one of its kind: at most so many words are.
-FREQUENT = 200_000
+FREQUENT = 2_000_000
 #: Bytes of the longest word in the lexicon; words of a block that walk together; words that a task counts, and ids of words that it holds, before it lets them go.
-LONGEST, BLOCK, COUNTED, HELD = 32, 20_000, 200_000, 100_000
+LONGEST, BLOCK, COUNTED, HELD = 24, 20_000, 200_000, 100_000
 #: Symbols up to which a piece is merged by looking through all of it.
 SHORT = 40
 ASCII_WHITE = np.zeros(256, bool)
@@ -52,6 +53,34 @@ ASCII_WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 _white = "".join(map(chr, WHITE))
 #: The pieces of a word (fixed values of the vocabulary's splitter).
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{regex.escape(_white)}\p{{L}}\p{{N}}]+")
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+
+
+@functools.cache
+def unsettled() -> re.Pattern:
+    """Finds combining marks and code points that are unassigned here."""
+    kind = np.fromiter((unicodedata.category(chr(c)) in ("Cn", "Mn", "Mc", "Me") for c in range(0x110000)), bool, 0x110000)
+    edges = np.flatnonzero(np.diff(kind, prepend=False, append=False)).reshape(-1, 2)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+
+
+class Recent:
+    """Ids of pieces met of late: the last HELD to 2 * HELD of them."""
+
+    def __init__(self):
+        self.new: dict[bytes, array] = {}
+        self.old: dict[bytes, array] = {}
+
+    def get(self, key: bytes) -> array | None:
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self[key] = got
+        return got
+
+    def __setitem__(self, key: bytes, ids: array) -> None:
+        if len(self.new) >= HELD:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
 
 
 class Merges:
@@ -78,7 +107,7 @@ class Merges:
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append(vocab[a + b])
             born[vocab[a + b]] = r
-        self.known: dict[bytes, array] = {}
+        self.known = Recent()
 
     @functools.cached_property
     def library(self):
@@ -88,6 +117,8 @@ class Merges:
 
     def word(self, word: bytes) -> array:
         """Ids of one word."""
+        if word.isalpha():  # letters of ASCII
+            return self.piece(word.lower())
         out = array("i")
         text = word.decode()
         at = 0
@@ -99,14 +130,15 @@ class Merges:
         return out
 
     def _plain(self, text: str, out: array) -> None:
+        pieces = ASCII_PIECES
         if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text) or any(unicodedata.category(c) in ("Cn", "Mn", "Mc", "Me") for c in set(text)):
+            if not unicodedata.is_normalized("NFC", text) or unsettled().search(text):
                 bytes_of = {s: b for b, s in enumerate(self.tokens[i] for i in self.inner)}
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
                     out.extend(self.piece(bytes(map(bytes_of.__getitem__, piece))))
                 return
-            text = text.replace("Σ", "σ")  # no other form at the end of a word
-        for m in PIECES.finditer(text.lower()):
+            text, pieces = text.replace("Σ", "σ"), PIECES  # no other form at the end of a word
+        for m in pieces.finditer(text.lower()):
             out.extend(self.piece(m[0].encode()))
 
     def piece(self, piece: bytes) -> array:
@@ -117,20 +149,25 @@ class Merges:
             symbols[-1] = self.last[piece[-1]]
             if len(piece) > SHORT:
                 return self._long(symbols)
-            got = self._short(symbols)
-            if len(self.known) >= HELD:
-                self.known.clear()
-            self.known[piece] = got
+            got = self.known[piece] = self._short(symbols)
         return got
 
     def _short(self, ids: array) -> array:
-        rank = self.rank
-        while len(ids) > 1:
-            r, i = min((rank.get(ids[i] << 20 | ids[i + 1], 1 << 30), i) for i in range(len(ids) - 1))
-            if r == 1 << 30:
+        get, made, none = self.rank.get, self.made, 1 << 30
+        ids = ids.tolist()
+        ranks = [get(a << 20 | b, none) for a, b in pairwise(ids)]
+        while ranks:
+            r = min(ranks)
+            if r == none:
                 break
-            ids[i : i + 2] = array("i", [self.made[r]])
-        return ids
+            i = ranks.index(r)  # the first of equals
+            ids[i : i + 2] = [made[r]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return array("i", ids)
 
     def _long(self, ids: array) -> array:
         """Ranks in ascending order, each with the places of its pair from left to right: a merge only makes pairs of higher rank."""
@@ -304,17 +341,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon):
         self.merges, self.lexicon = merges, lexicon
-        self.known: dict[bytes, array] = {}
-
-    def ids_of(self, word: bytes) -> array:
-        got = self.known.get(word)
-        if got is None:
-            got = self.merges.word(word)
-            if len(word) <= LONGEST:
-                if len(self.known) >= HELD:
-                    self.known.clear()
-                self.known[word] = got
-        return got
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many stand before each)."""
@@ -324,16 +350,22 @@ class Encoder:
             s, n = starts[a : a + BLOCK], sizes[a : a + BLOCK]
             held, out = lexicon.walk(data, s, n)
             new = np.flatnonzero(~held)
-            found = [self.ids_of(data[i : i + k].tobytes()) for i, k in zip(s[new].tolist(), n[new].tolist(), strict=True)]
+            found, own = array("i"), []
+            first, raw = int(s[0]), data[s[0] : s[-1] + n[-1]].tobytes()
+            for i, k in zip((s[new] - first).tolist(), n[new].tolist(), strict=True):
+                ids = self.merges.word(raw[i : i + k])
+                own.append(len(ids))
+                found.extend(ids)
             # outputs of words that the lexicon doesn't hold are numbered after its own
-            own = np.array([len(f) for f in found], np.int64)
+            own = np.array(own, np.int64)
             size = np.concatenate([lexicon.sizes, own])
             begin = np.concatenate([lexicon.starts[:-1], len(lexicon.pool) + np.cumsum(own) - own])
             out[new] = 0
             out[new, 0] = len(lexicon.sizes) + np.arange(len(new))
-            pool = np.concatenate([lexicon.pool, *(np.frombuffer(f, np.int32) for f in found)])
-            counts.append(size[out].sum(axis=1))
-            flat = out[out > 0]
+            pool = np.concatenate([lexicon.pool, np.frombuffer(found, np.int32)])
+            row, at = np.nonzero(out)
+            flat = out[row, at]
+            counts.append(np.bincount(row, size[flat], len(s)).astype(np.int64))
             parts.append(gathered(pool, begin[flat], size[flat]))
         count = np.concatenate([[0], *counts]).cumsum()
         return np.concatenate([np.zeros(0, np.int32), *parts]), count[before]
@@ -356,7 +388,7 @@ def frequent(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
             for a, b in zip(offsets, offsets[1:], strict=False):
                 for words in word_lists(data[a:b].tobytes()):
                     seen[b""] += len(words)  # the empty word stands for all
-                    seen.update(w for w in words if len(w) <= LONGEST)
+                    seen.update(words if max(map(len, words), default=0) <= LONGEST else [w for w in words if len(w) <= LONGEST])
                     if len(seen) > COUNTED:
                         yield rows()
         yield rows()
