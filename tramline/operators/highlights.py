@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,48 @@ def reel(merged_highlights: DataFrame, matches: DataFrame, p: Params = DEFAULT)
     flat = clips.select("match_id", "clip_idx", F.posexplode(F.concat(title, clip)).alias("i", "x"))
     seq = F.row_number().over(Window.partitionBy("match_id").orderBy("clip_idx", "i")) - 1
     return flat.select("match_id", seq.cast("bigint").alias("seq"), "clip_idx", "x.kind", "x.frame_num")
+
+
+class Clips:
+    """The highlights of one match from its shots and segments as they come, for a match that isn't over: what `smashes`, `rallies` and `merged` make of them at its end.
+
+    Kept are the frames of its shots, and of its segments those that can still be fast: the highest speed only grows, so that a segment below its share never comes back.
+    """
+
+    def __init__(self, p: Params = DEFAULT, kept: dict | None = None):
+        self.p = p
+        kept = kept or {"shots": [], "fast": [], "top": 0.0}
+        self.shots, self.fast, self.top = set(kept["shots"]), {i: (sf, v) for i, sf, v in kept["fast"]}, kept["top"]
+
+    def kept(self) -> dict:
+        return {"shots": sorted(self.shots), "fast": [(i, sf, v) for i, (sf, v) in self.fast.items()], "top": self.top}
+
+    def shot(self, frame: int) -> None:
+        self.shots.add(frame)
+
+    def segment(self, idx: int, sf: int, dt: float | None, px: float | None) -> None:
+        speed = px / dt if px is not None and dt is not None and dt > 0 else 0.0
+        self.top = max(self.top, speed)
+        self.fast[idx] = (sf, speed)
+        self.fast = {i: x for i, x in self.fast.items() if x[1] / max(self.top, 1.0) >= self.p.smash_share}
+
+    def merged(self, fps: float, total_frames: int) -> list[tuple[int, int, float, str]]:
+        """(start_frame, end_frame, timestamp_seconds, label) of the match, in order."""
+        p, out = self.p, []
+        clip = lambda a, b: (max(0, a - p.clip_frames), min(total_frames - 1, b + p.clip_frames))
+        seconds = lambda frame: math.floor(frame / fps * 100 + 0.5) / 100
+        for idx, (sf, speed) in self.fast.items():
+            out.append((clip(sf, sf), 0, idx, seconds(sf), f"Fast Smash — {round(100 * (speed / max(self.top, 1.0)))}% max speed"))
+        f, since = sorted(self.shots), 0
+        for i in range(1, len(f)):
+            if i - since >= p.rally_shots and (f[i] - f[i - 1] > p.rally_gap_seconds * fps or i == len(f) - 1):
+                out.append((clip(f[since], f[i - 1]), 1, i, seconds(f[since]), f"Long Padel Rally — {i - since} shots (inc. wall bounces)"))
+                since = i
+        islands: list[list] = []
+        for (start, end), _, _, at, label in sorted(out, key=lambda c: (c[0][0], *c[1:3])):
+            if islands and start <= islands[-1][1] + p.merge_frames:
+                islands[-1][1] = max(islands[-1][1], end)
+                islands[-1][3].add(label)
+            else:
+                islands.append([start, end, at, {label}])
+        return [(a, b, at, " / ".join(sorted(labels))) for a, b, at, labels in islands]

@@ -71,12 +71,22 @@ def shot_events(attributed: DataFrame, pos: DataFrame, p: Params = DEFAULT) -> D
     return hits.unionByName(moved).groupBy("match_id", "frame_num", "seg_idx", "player_id").agg(F.sum("shots").alias("shots"), F.max("shot_speed").alias("shot_speed"), F.max("player_speed").alias("player_speed"))
 
 
-def frame_stats(frames: DataFrame, events: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Accumulators of every frame and player, carried forward from the segments before it: one row for each (match_id, frame_num, player_id)."""
+def ends(frames: DataFrame) -> DataFrame:
+    """(match_id, first, last): the frames of each match, which are numbered without holes."""
+    return frames.groupBy("match_id").agg(F.min("frame_num").alias("first"), F.max("frame_num").alias("last"))
+
+
+def spans(of: DataFrame, events: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, player_id, valid_from, valid_to, accumulators): what a player has gathered, from one segment's start to the next one's; without gaps from first to last frame.
+
+    A player's rows are as many as the segments that add to them, with one of zeros before: windows run over those, not over frames.
+    """
     ids = F.explode(F.array(*(F.lit(i) for i in range(1, p.n_players + 1)))).alias("player_id")
-    grid = frames.select("match_id", "frame_num", ids)
-    running = by_player().rowsBetween(Window.unboundedPreceding, 0)
-    every = grid.join(events.drop("seg_idx"), ["match_id", "frame_num", "player_id"], "left")
+    none = {"shots": "bigint", "shot_speed": "double", "player_speed": "double"}
+    nothing = of.select("match_id", F.col("first").alias("frame_num"), ids, *(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.lit(0).alias("ord"))
+    rows = nothing.unionByName(events.select("match_id", "frame_num", "player_id", *none, F.lit(1).alias("ord")))
+    order = Window.partitionBy("match_id", "player_id").orderBy("frame_num", "ord")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
 
     def total(c: str) -> Column:
         return F.coalesce(F.sum(c).over(running), F.lit(0))
@@ -84,16 +94,28 @@ def frame_stats(frames: DataFrame, events: DataFrame, p: Params = DEFAULT) -> Da
     def latest(c: str) -> Column:
         return F.coalesce(F.last(c, ignorenulls=True).over(running), F.lit(0.0))
 
-    out = every.select(
-        "match_id", "frame_num", "player_id", total("shots").cast("bigint").alias("number_of_shots"), total("shot_speed").cast("double").alias("total_shot_speed"), latest("shot_speed").alias("last_shot_speed"),
-        total("player_speed").cast("double").alias("total_player_speed"), latest("player_speed").alias("last_player_speed"),
+    out = rows.select(
+        "match_id", "player_id", F.col("frame_num").alias("valid_from"), (F.lead("frame_num").over(order) - 1).alias("valid_to"), total("shots").cast("bigint").alias("number_of_shots"), total("shot_speed").cast("double").alias("total_shot_speed"),
+        latest("shot_speed").alias("last_shot_speed"), total("player_speed").cast("double").alias("total_player_speed"), latest("player_speed").alias("last_player_speed"),
     )
+    out = out.join(of.select("match_id", "last"), "match_id").withColumn("valid_to", F.least(F.coalesce("valid_to", "last"), "last")).drop("last").where(F.col("valid_from") <= F.col("valid_to"))
     return out.withColumns({
         "average_shot_speed": F.coalesce(F.try_divide("total_shot_speed", "number_of_shots"), F.lit(0.0)),
         "average_player_speed": F.col("total_player_speed") / F.greatest("number_of_shots", F.lit(1)),
     })
 
 
+def every_frame(rows: DataFrame) -> DataFrame:
+    """Spans as one row for each of their frames (frame_num in place of valid_from and valid_to)."""
+    frame = F.explode(F.sequence("valid_from", "valid_to")).alias("frame_num")
+    return rows.select("match_id", frame, *(c for c in rows.columns if c not in ("match_id", "valid_from", "valid_to")))
+
+
+def frame_stats(frames: DataFrame, events: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Accumulators of every frame and player, carried forward from the segments before it: one row for each (match_id, frame_num, player_id)."""
+    return every_frame(spans(ends(frames), events, p))
+
+
 def summary(matches: DataFrame, pos: DataFrame, events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, player_id, total_shots, avg_shot_speed, max_shot_speed, avg_player_speed, distance_covered), players 1..n of every match, unrounded."""
     ids = F.explode(F.array(*(F.lit(i) for i in range(1, p.n_players + 1)))).alias("player_id")

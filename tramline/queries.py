@@ -9,6 +9,7 @@ from .functions import geometry as G
 from .operators import ball, court, density, highlights, jobs, players, reports, stats
 from .plans.match import Analysis, analyse
 from .schemas import DEFAULT
+from .sources import cache
 from .sources import tracking as T
 
 
@@ -143,6 +144,13 @@ def frame_stats(spark, sf):
     return _analysis(spark, sf).frame_stats.select("match_id", "frame_num", F.col("player_id").cast("bigint").alias("player_id"), "number_of_shots", *map(_r, ("total_shot_speed", "last_shot_speed", "total_player_speed", "last_player_speed", "average_shot_speed", "average_player_speed")))
 
 
+def stat_spans(spark, sf):
+    """The accumulators as they change: a row for each span of frames in which a player's stay the same."""
+    a = _analysis(spark, sf)
+    s = stats.spans(stats.ends(a.frames), a.shot_events)
+    return s.select("match_id", F.col("player_id").cast("bigint").alias("player_id"), "valid_from", "valid_to", "number_of_shots", *map(_r, ("total_shot_speed", "last_shot_speed", "total_player_speed", "last_player_speed", "average_shot_speed", "average_player_speed")))
+
+
 def hud_team_stats(spark, sf):
     h = reports.hud_team_stats(_analysis(spark, sf).frame_stats)
     return h.select("match_id", "frame_num", *(_r(c) for c in h.columns[2:]))
@@ -210,6 +218,15 @@ def zone_occupancy(spark, sf):
     return z.select("match_id", F.col("player_id").cast("bigint").alias("player_id"), "zone", "frames")
 
 
+def cache_plan(spark, sf):
+    """What a cache has of all matches: up to three generations of each, by two detector versions, some too short."""
+    m = T.match_rows(_frames(spark, sf)).select("match_id", F.col("total_frames").alias("frames"))
+    gen = F.explode(F.array(*(F.lit(g).cast("bigint") for g in range(3)))).alias("gen")
+    held = m.select("match_id", "frames", gen).where((F.col("match_id") + F.col("gen") * 2) % 4 != 0)
+    manifest = held.select("match_id", ((F.col("match_id") + F.col("gen")) % 2).cast("string").alias("version"), (F.col("frames") - (F.col("match_id") + F.col("gen")) % 3).alias("frames"), "gen")
+    return cache.plan(m, manifest, "1")
+
+
 def track_census(spark, sf):
     c = players.census(T.player_boxes(_frames(spark, sf)))
     return c.select("match_id", "tracks", "detections", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
@@ -277,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bbox_centers, foot_points, court_layout, court_corners, court_lines, court_keypoint_rows, point_helpers, raw_extents, position_coverage, project_positions, ball_candidates_filter, ball_argmax, court_bounds, players_in_court, court_estimate, ball_gapfill, ball_gapfill_short, ball_coverage, ball_velocity,
-        shot_frames, shot_segments, shot_attribution, player_distance, frame_stats, hud_team_stats, match_player_summary, team_totals, head_to_head, fast_smashes, long_rallies, long_rallies_slow, highlights_merged, highlight_reel,
-        heatmap_bins, heatmap_gate, heatmap_smoothed, ball_trajectory, zone_occupancy, track_census, job_status, job_results, job_log_replay, analysis_document, analysis_readback, ball_select_stateful, player_slots, match_analysis,
+        shot_frames, shot_segments, shot_attribution, player_distance, frame_stats, stat_spans, hud_team_stats, match_player_summary, team_totals, head_to_head, fast_smashes, long_rallies, long_rallies_slow, highlights_merged, highlight_reel,
+        heatmap_bins, heatmap_gate, heatmap_smoothed, ball_trajectory, zone_occupancy, cache_plan, track_census, job_status, job_results, job_log_replay, analysis_document, analysis_readback, ball_select_stateful, player_slots, match_analysis,
     )
 }

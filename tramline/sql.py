@@ -227,6 +227,9 @@ SQL = {
     "shot_attribution": query(f"SELECT match_id, seg_idx, sf, hitter, {_all('speed')} FROM att"),
     "player_distance": query(f"SELECT match_id, player_id, {_all('distance_covered avg_player_speed')}, steps FROM mv"),
     "frame_stats": query(f"SELECT match_id, frame_num, player_id, number_of_shots, {_all('total_shot_speed last_shot_speed total_player_speed last_player_speed average_shot_speed average_player_speed')} FROM fs"),
+    "stat_spans": query("SELECT match_id, player_id, min(frame_num) AS valid_from, max(frame_num) AS valid_to, arg_max(number_of_shots, frame_num) AS number_of_shots, " + ", ".join(
+        _r(f"arg_max({c}, frame_num)") + f" AS {c}" for c in ("total_shot_speed", "last_shot_speed", "total_player_speed", "last_player_speed", "average_shot_speed", "average_player_speed")
+    ) + " FROM (SELECT fs.*, sum(CASE WHEN ev.frame_num IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY fs.match_id, fs.player_id ORDER BY fs.frame_num) AS island FROM fs LEFT JOIN ev ON ev.match_id = fs.match_id AND ev.frame_num = fs.frame_num AND ev.player_id = fs.player_id) GROUP BY match_id, player_id, island"),
     "hud_team_stats": query("SELECT match_id, frame_num, " + ", ".join(_r(f"(sum(CASE WHEN player_id IN {ids} THEN {c} ELSE 0 END) / 2)") + f" AS {n}_{t}" for t, ids in (("a", "(1, 2)"), ("b", "(3, 4)")) for n, c in _HUD) + " FROM fs GROUP BY ALL"),
     "match_player_summary": query(f"SELECT match_id, player_id, total_shots, {_all(_METRICS)} FROM su"),
     "team_totals": query("SELECT * FROM tt"),
@@ -243,6 +246,9 @@ SQL = {
     "heatmap_smoothed": query(f"SELECT match_id, player_id, bx::BIGINT AS bx, by_::BIGINT AS by, {_r('(v / (max(v) OVER (PARTITION BY match_id, player_id) + 1e-8))')} AS density FROM ky"),
     "ball_trajectory": query(f"SELECT match_id, frame_num, {_all('x_m y_m')}, {_zone('y_m')} AS zone, {_all('step')}, {_r('(step / greatest(max(step) OVER (PARTITION BY match_id), 1e-8))')} AS rel_speed, count(*) OVER (PARTITION BY match_id) < {P.min_positions} AS insufficient_data FROM tr"),
     "zone_occupancy": query(f"SELECT match_id, player_id, {_zone('y_m')} AS zone, count(*) AS frames FROM cp GROUP BY ALL"),
+    "cache_plan": query("""SELECT match_id, total_frames AS frames, CASE WHEN held IS NULL THEN 'absent' WHEN version <> '1' THEN 'outdated' WHEN held < total_frames THEN 'short' ELSE 'cached' END AS status, gen
+FROM m LEFT JOIN (SELECT match_id, arg_max(version, gen) AS version, arg_max(f, gen) AS held, max(gen) AS gen FROM (
+  SELECT match_id, g AS gen, ((match_id + g) % 2)::VARCHAR AS version, total_frames - (match_id + g) % 3 AS f FROM m, (VALUES (0::BIGINT), (1), (2)) v(g) WHERE (match_id + g * 2) % 4 <> 0) GROUP BY match_id) USING (match_id)"""),
     "track_census": query("SELECT match_id, count(DISTINCT player_id) AS tracks, count(*) AS detections, array_to_string(list_sort(list(DISTINCT player_id)), ',') AS track_ids FROM trk GROUP BY match_id"),
     "job_status": query("SELECT job_id, status, stage, progress, error, strftime(created, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated_at FROM js"),
     "job_results": query("SELECT job_id, status, CASE WHEN status = 'done' THEN result END AS result, CASE WHEN status = 'done' AND result IS NOT NULL THEN '/outputs/' || job_id || '/video.mp4' END AS video_url, " + " ".join(f"CASE WHEN status = 'done' AND result IS NOT NULL THEN '/outputs/' || job_id || '/heatmap_p{i}.png' END AS heatmap_p{i}_url," for i in range(1, 5)) + " NULL::VARCHAR AS highlights_video_url, CASE WHEN status = 'done' AND result IS NOT NULL THEN '/outputs/' || job_id || '/shot_map.png' END AS shot_map_url, CASE WHEN status = 'error' THEN error END AS error FROM js"),

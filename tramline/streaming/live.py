@@ -1,4 +1,4 @@
-"""Live matches over streams of frames: the anchored choice of the ball, shots, identities of players; and the job board.
+"""Live matches over streams of frames: the anchored choice of the ball, shots, identities of players, highlights; and the job board.
 
 A stream may be cut into micro-batches anywhere. Each operator takes the frames of a match in order, by the step that the batch operator uses too, and what it says of
 a frame is final. Frames may come out of order by up to `delay` frames, for which the later ones wait; one that comes when its turn has passed is marked late and moves nothing.
@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import geometry as G
 from ..operators import players, reports
 from ..operators.ball import Anchor, Turns, plausible
+from ..operators.highlights import Clips
 from ..schemas import BALL_DET, DEFAULT, PLAYER_SLOT, SHOTS, Params
 
 FRAME = "match_id bigint, frame_num bigint, candidates array<array<double>>"
@@ -26,6 +28,10 @@ FRAME = "match_id bigint, frame_num bigint, candidates array<array<double>>"
 TRACK_FRAME = "match_id bigint, frame_num bigint, y1 double, y2 double, total_frames bigint"
 #: A frame with the players in court, each as (track_id, cx, cy, x1, y1, x2, y2), by track.
 PLAYER_FRAME = "match_id bigint, frame_num bigint, seen array<array<double>>"
+#: What highlights are made of: a shot, a segment, or the end of a match; a null frame_num, seg_idx, dt or px where the kind has none.
+HIGHLIGHT_EVENT = "match_id bigint, kind string, frame_num bigint, seg_idx bigint, dt double, px double, fps double, total_frames bigint"
+HIGHLIGHTS = "match_id bigint, start_frame bigint, end_frame bigint, timestamp_seconds double, label string, late boolean"
+SHOT, SEGMENT, END = "shot", "segment", "end"
 #: Rows that a match gives away at once.
 CHUNK = 10_000
 
@@ -75,7 +81,7 @@ def _plain(value: object) -> object:
     """Cells as numbers and lists; missing ones as None."""
     if value is None or isinstance(value, float) and value != value:
         return None
-    return [_plain(v) for v in value] if hasattr(value, "__len__") else value.item() if hasattr(value, "item") else value
+    return [_plain(v) for v in value] if hasattr(value, "__len__") and not isinstance(value, str) else value.item() if hasattr(value, "item") else value
 
 
 def in_match_order(stream: DataFrame, columns: list[str], step: Callable[[object, dict | None], Step], schema: str, delay: int, idle_minutes: int | None) -> DataFrame:
@@ -219,6 +225,61 @@ def assign_slots(frames: DataFrame, p: Params = DEFAULT, idle_minutes: int | Non
     return in_match_order(frames, ["seen"], Players, PLAYER_SLOT + ", late boolean", delay, idle_minutes)
 
 
+def highlight_rows(shots_: DataFrame, segments: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """HIGHLIGHT_EVENT rows of shots, segments and ends of matches (MATCHES: a match is in it when it is over)."""
+    own = matches.select("match_id", G.fps_or_default("fps", p.default_fps).alias("fps"), "total_frames")
+    none = lambda t: F.lit(None).cast(t)
+    rows = shots_.select("match_id", F.lit(SHOT).alias("kind"), "frame_num", none("bigint").alias("seg_idx"), none("double").alias("dt"), none("double").alias("px"))
+    rows = rows.unionByName(segments.select("match_id", F.lit(SEGMENT).alias("kind"), F.col("sf").alias("frame_num"), "seg_idx", "dt", "px"))
+    ends = own.select("match_id", F.lit(END).alias("kind"), (F.col("total_frames") - 1).alias("frame_num"), none("bigint").alias("seg_idx"), none("double").alias("dt"), none("double").alias("px"))
+    return rows.unionByName(ends).join(own, "match_id")
+
+
+def highlights(events: DataFrame, p: Params = DEFAULT, idle_minutes: int | None = None) -> DataFrame:
+    """HIGHLIGHTS of a stream of HIGHLIGHT_EVENT rows: the merged intervals of a match when it is over, as speeds are shares of its highest one.
+
+    A match is over with its end event, whatever comes in the same micro-batch counting, or, with `idle_minutes`, after so long without one. What comes after is
+    marked late, with its frame as start. The state grows with the shots of a match, not its frames, and goes when it is over, but for a mark.
+    """
+    names = [c.split()[0] for c in HIGHLIGHTS.split(", ")]
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"timestamp_seconds": "float64", "end_frame": "Int64", "start_frame": "Int64"})
+
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"over": False, "clips": None, "of": None}
+        match = key[0].item() if hasattr(key[0], "item") else key[0]
+        told = lambda clips, of: table([(match, *c, False) for c in clips.merged(*of)])
+        if state.hasTimedOut:
+            state.remove()
+            if not kept["over"] and kept["of"]:
+                yield told(Clips(p, kept["clips"]), kept["of"])
+            return
+        clips, late, over = Clips(p, kept["clips"]), [], False
+        for b in batches:
+            for kind, frame, idx, dt, px, fps, n in zip(*(map(_plain, b[c].tolist()) for c in ("kind", "frame_num", "seg_idx", "dt", "px", "fps", "total_frames")), strict=True):
+                if kept["over"]:
+                    late.append((match, frame, None, None, None, True))
+                elif kind == SHOT:
+                    clips.shot(int(frame))
+                elif kind == SEGMENT:
+                    clips.segment(int(idx), int(frame), dt, px)
+                over = over or kind == END
+                kept["of"] = (fps, int(n)) if n is not None else kept["of"]
+        if over and not kept["over"]:
+            yield told(clips, kept["of"])
+            kept, clips = {"over": True, "clips": None, "of": None}, Clips(p)
+        if late:
+            yield table(late)
+        state.update((json.dumps(kept | {"clips": None if kept["over"] else clips.kept()}),))
+        if idle_minutes:
+            state.setTimeoutDuration(idle_minutes * 60_000)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
+    out = events.groupBy("match_id").applyInPandasWithState(run, HIGHLIGHTS, "state string", "append", timeout)
+    return out.withColumn("timestamp_seconds", F.nanvl("timestamp_seconds", F.lit(None).cast("double")))
+
+
 def job_board(events: DataFrame) -> DataFrame:
     """The latest state of every job over a stream of job events; write it in update or complete mode."""
     return reports.job_status(events)
