@@ -9,59 +9,6 @@ from ..functions import geometry as G
 from ..schemas import DEFAULT, Params
 
 
-def chosen_corners(points: Column, p: Params = DEFAULT) -> Column:
-    """Eight numbers, x and y of top left, top right, bottom right and bottom left of the court among an array of points (x, y); null if they don't look like one.
-
-    Of more than four points those of least and greatest sum and difference of x and y count, the first of equals, if they are four; else the first four.
-    """
-    of = lambda make: F.transform(points, lambda q, i: F.struct(make(q, i).alias("v"), i.alias("i")))
-    low = lambda make: F.array_min(of(make))["i"]
-    # the first of the greatest is the first of the least of what is negated
-    total, side = (lambda q, i: q["x"] + q["y"]), (lambda q, i: q["x"] - q["y"])
-    extreme = F.array_sort(F.array_distinct(F.array(low(total), low(lambda q, i: -side(q, i)), low(lambda q, i: -total(q, i)), low(side))))
-    picked = F.when((F.size(points) > 4) & (F.size(extreme) == 4), F.transform(extreme, lambda i: F.get(points, i))).otherwise(F.slice(points, 1, 4))
-    by_y = F.array_sort(F.transform(picked, lambda q, i: F.struct(q["y"].alias("y"), i.alias("i"), q["x"].alias("x"))))
-    half = lambda at: F.array_sort(F.transform(F.slice(by_y, at, 2), lambda q, i: F.struct(q["x"].alias("x"), i.alias("i"), q["y"].alias("y"))))
-    # each part is bound once, as a field of a struct in a one-element array
-    bound = F.transform(F.array(F.struct(half(1).alias("top"), half(3).alias("bottom"))), lambda h: F.array(*(h[s][i][c] for s, i in (("top", 0), ("top", 1), ("bottom", 1), ("bottom", 0)) for c in ("x", "y"))))[0]
-    return F.when(F.size(points) >= 4, F.transform(F.array(bound), lambda c: F.when((_spread(c, 0) >= p.min_court_w) & (_spread(c, 1) >= p.min_court_h), c))[0])
-
-
-def _spread(c: Column, axis: int) -> Column:
-    of = [c[i] for i in range(axis, 8, 2)]
-    return F.greatest(*of) - F.least(*of)
-
-
-def quad_to_rectangle(c: Column, court: Column) -> Column:
-    """The 9 numbers of the projective map from four corners (eight numbers) to the court's rectangle, as columns: the unit square's map to the corners, turned round by
-    its adjugate, then stretched. Null where the corners are no convex quadrilateral, as with three of them in a line.
-    """
-    x, y = [c[i] for i in (0, 2, 4, 6)], [c[i] for i in (1, 3, 5, 7)]
-    turn = [(x[(i + 1) % 4] - x[i]) * (y[(i + 2) % 4] - y[(i + 1) % 4]) - (y[(i + 1) % 4] - y[i]) * (x[(i + 2) % 4] - x[(i + 1) % 4]) for i in range(4)]
-    least = F.lit(1e-9) * _spread(c, 0) * _spread(c, 1)
-    convex = (F.least(*turn) > least) | (F.greatest(*turn) < -least)
-
-    def square(q: Column) -> Column:
-        """Unit square to quadrilateral; `q` holds the differences."""
-        det = q["x1"] * q["y2"] - q["x2"] * q["y1"]
-        g, h = (q["x3"] * q["y2"] - q["x2"] * q["y3"]) / det, (q["x1"] * q["y3"] - q["x3"] * q["y1"]) / det
-        return F.struct(g.alias("g"), h.alias("h"))
-
-    edges = F.struct(*(v.alias(k) for k, v in {"x1": x[1] - x[2], "x2": x[3] - x[2], "x3": x[0] - x[1] + x[2] - x[3], "y1": y[1] - y[2], "y2": y[3] - y[2], "y3": y[0] - y[1] + y[2] - y[3]}.items()))
-
-    def map_of(q: Column) -> Column:
-        g, h = q["g"], q["h"]
-        a, b, e, d = x[1] - x[0] + g * x[1], x[3] - x[0] + h * x[3], y[3] - y[0] + h * y[3], y[1] - y[0] + g * y[1]
-        u = e - y[0] * h, x[0] * h - b, b * y[0] - x[0] * e
-        v = y[0] * g - d, a - x[0] * g, x[0] * d - a * y[0]
-        w = d * h - e * g, b * g - a * h, a * e - b * d
-        wide, tall = court["x1"] - court["x0"], court["y1"] - court["y0"]
-        return F.array(*(wide * i + court["x0"] * k for i, k in zip(u, w, strict=True)), *(tall * j + court["y0"] * k for j, k in zip(v, w, strict=True)), *w)
-
-    whole = F.transform(F.transform(F.array(edges), square), map_of)[0]
-    return F.when(convex, whole)
-
-
 def class_points(keypoints: DataFrame) -> DataFrame:
     """(match_id, points): points of the first class that has four or more, else of all classes, in their order. Points at the origin don't count."""
     real = keypoints.where((F.col("x") > 0) | (F.col("y") > 0))
@@ -72,10 +19,63 @@ def class_points(keypoints: DataFrame) -> DataFrame:
     return out.select("match_id", F.when(F.col("found").isNotNull(), F.col("first")).otherwise(F.col("every")).alias("points"))
 
 
+def quads(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(match_id, x0, y0, .. x3, y3, is_court, fits): top left, top right, bottom right and bottom left of the court among the key points; whether they look like one, and
+    whether they are a convex quadrilateral besides, which alone has a projective map to a rectangle: three points in a line have none.
+
+    Of more than four points those of least and greatest sum and difference of x and y count, the first of equals, if they are four; else the first four. Under four points
+    there is nothing. Each step is a projection of its own, so that no expression holds another many times.
+    """
+    first = lambda v: F.array_min(F.transform("points", lambda q, i: F.struct(v(q).alias("v"), i.alias("i"))))["i"]
+    total, side = (lambda q: q["x"] + q["y"]), (lambda q: q["x"] - q["y"])
+    extreme = F.array_distinct(F.array(first(total), first(lambda q: -side(q)), first(lambda q: -total(q)), first(side)))
+    # by height, of equal heights in the order of the points
+    by_y = F.array_sort(F.transform("points", lambda q, i: F.struct(q["y"].alias("y"), i.alias("i"), q["x"].alias("x"))))
+    per = class_points(keypoints).where(F.size("points") >= 4).select("match_id", extreme.alias("extreme"), by_y.alias("by_y"))
+    chosen = F.when((F.size("by_y") > 4) & (F.size("extreme") == 4), F.filter("by_y", lambda q: F.array_contains("extreme", q["i"]))).otherwise(F.filter("by_y", lambda q: q["i"] < 4))
+    four = per.select("match_id", chosen.alias("q")).select("match_id", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate("abcd")))
+    swap = lambda l, r: F.col(f"{r}.x") < F.col(f"{l}.x")
+    left = lambda l, r, v: F.when(swap(l, r), F.col(f"{r}.{v}")).otherwise(F.col(f"{l}.{v}"))
+    right = lambda l, r, v: F.when(swap(l, r), F.col(f"{l}.{v}")).otherwise(F.col(f"{r}.{v}"))
+    places = (left, "a", "b"), (right, "a", "b"), (right, "c", "d"), (left, "c", "d")
+    found = four.select("match_id", F.array(*(of(l, r, v) for of, l, r in places for v in "xy")).alias("c"))
+    # an aggregate by the key that the rows are dealt by: it moves nothing, but conditions on the corners aren't pushed below it, where each would hold the choice many times
+    out = found.groupBy("match_id").agg(F.any_value("c").alias("c")).select("match_id", *(F.col("c")[i].alias(n) for i, n in enumerate(CORNERS)))
+    out = out.withColumn("is_court", (_spread("x") >= p.min_court_w) & (_spread("y") >= p.min_court_h))
+    x, y = ([F.col(f"{v}{k}") for k in range(4)] for v in "xy")
+    turn = [(x[(k + 1) % 4] - x[k]) * (y[(k + 2) % 4] - y[(k + 1) % 4]) - (y[(k + 1) % 4] - y[k]) * (x[(k + 2) % 4] - x[(k + 1) % 4]) for k in range(4)]
+    least = F.lit(1e-9) * _spread("x") * _spread("y")
+    return out.withColumn("fits", F.col("is_court") & ((F.least(*turn) > least) | (F.greatest(*turn) < -least)))
+
+
+CORNERS = [f"{v}{k}" for k in range(4) for v in "xy"]
+
+
+def _spread(axis: str) -> Column:
+    of = [f"{axis}{k}" for k in range(4)]
+    return F.greatest(*of) - F.least(*of)
+
+
 def corners(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, corners): x and y of the four corners in order, null where the key points don't look like a court."""
+    found = quads(keypoints, p).where("is_court").select("match_id", F.array(*CORNERS).alias("corners"))
+    return class_points(keypoints).select("match_id").join(found, "match_id", "left")
 
-    return class_points(keypoints).select("match_id", chosen_corners(F.col("points"), p).alias("corners"))
+
+def projective(quad: DataFrame) -> DataFrame:
+    """`quad` (rows of `quads` with the rectangle `court`) with `h`, the 9 numbers of the projective map from the corners to the rectangle: the unit square's map to the corners,
+    turned round by its adjugate, then stretched. Null where the corners don't fit.
+    """
+    x, y = ([F.col(f"{v}{k}") for k in range(4)] for v in "xy")
+    q = quad
+    q = q.withColumns({"ex1": x[1] - x[2], "ex2": x[3] - x[2], "ex3": x[0] - x[1] + x[2] - x[3], "ey1": y[1] - y[2], "ey2": y[3] - y[2], "ey3": y[0] - y[1] + y[2] - y[3]})
+    det = "(ex1 * ey2 - ex2 * ey1)"
+    q = q.withColumns({"g": F.expr(f"try_divide(ex3 * ey2 - ex2 * ey3, {det})"), "k": F.expr(f"try_divide(ex1 * ey3 - ex3 * ey1, {det})")})
+    q = q.withColumns({"a": F.expr("x1 - x0 + g * x1"), "b": F.expr("x3 - x0 + k * x3"), "d": F.expr("y1 - y0 + g * y1"), "e": F.expr("y3 - y0 + k * y3")})
+    q = q.withColumns({"w0": F.expr("d * k - e * g"), "w1": F.expr("b * g - a * k"), "w2": F.expr("a * e - b * d")})
+    across, down = ("e - y0 * k", "x0 * k - b", "b * y0 - x0 * e"), ("y0 * g - d", "a - x0 * g", "x0 * d - a * y0")
+    rows = [f"(court.x1 - court.x0) * ({v}) + court.x0 * w{i}" for i, v in enumerate(across)] + [f"(court.y1 - court.y0) * ({v}) + court.y0 * w{i}" for i, v in enumerate(down)]
+    return q.select(*quad.columns, F.when(F.col("fits"), F.array(*map(F.expr, rows), "w0", "w1", "w2")).alias("h"))
 
 
 def with_layout(matches: DataFrame) -> DataFrame:
@@ -91,13 +91,12 @@ def homographies(matches: DataFrame, keypoints: DataFrame, feet: DataFrame | Non
     """
     from .players import court_from_feet
 
-    m = with_layout(matches).join(class_points(keypoints), "match_id", "left").withColumn("_c", chosen_corners(F.col("points"), p))
-    m = m.withColumn("h", quad_to_rectangle(F.col("_c"), F.col("court"))).drop("points", "_c")
+    found = quads(keypoints, p)
+    m = projective(with_layout(matches).join(found.drop("is_court"), "match_id", "left")).drop(*CORNERS, "fits")
     identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
     if feet is None:
         return m.withColumn("h", F.coalesce("h", identity))
-    lost = m.where(F.col("h").isNull()).select("match_id")
-    box = court_from_feet(feet.join(lost, "match_id", "left_semi"), p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    box = court_from_feet(feet.join(found.where("fits"), "match_id", "left_anti"), p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
     # from box to box: a scale and a shift along each axis
     scale = lambda axis: F.try_divide(F.col(f"court.{axis}1") - F.col(f"court.{axis}0"), F.col(f"box.{axis}1") - F.col(f"box.{axis}0"))
     shift = lambda axis: F.col(f"court.{axis}0") - F.col(f"box.{axis}0") * scale(axis)
