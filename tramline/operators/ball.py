@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..schemas import BALL_DET, DEFAULT, Params
+from .ranges import AT, OWN, PART, carried, halo, plain, within
 from .sequential import in_order
 
 
@@ -83,25 +84,26 @@ def dense(frames: DataFrame, dets: DataFrame) -> DataFrame:
     return frames.select("match_id", "frame_num").join(dets, ["match_id", "frame_num"], "left")
 
 
-def fill_gaps(track: DataFrame, columns: list[str], limit: int = DEFAULT.gap_limit) -> DataFrame:
+def fill_gaps(track: DataFrame, columns: list[str], limit: int = DEFAULT.gap_limit, span: int | None = None) -> DataFrame:
     """Dense `track` with gaps filled: up to `limit` frames after a value linearly (held after the last one), up to `limit` frames before a value by that value.
 
-    All columns share one pattern of nulls. `filled` tells filled frames from seen ones. The value after a gap is the last one seen in
-    descending order: a running window, where one that looks ahead without bound would be computed anew for every row.
+    All columns share one pattern of nulls. `filled` tells filled frames from seen ones. With a `span`, windows run within ranges of so many frames, to which the values before and
+    after are carried; the value after a gap is the last one seen in descending order: a running window, where one that looks ahead without bound would be
+    computed anew for every row.
     """
     seen = F.col(columns[0]).isNotNull()
-    at = F.when(seen, F.struct(F.col("frame_num").alias("f"), *(F.col(c) for c in columns)))
-    before = F.last(at, ignorenulls=True).over(in_match().rowsBetween(Window.unboundedPreceding, 0))
-    backwards = Window.partitionBy("match_id").orderBy(F.col("frame_num").desc())
-    after = F.last(at, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    rows = carried(track, F.when(seen, F.struct(*columns)), span=span)
+    backwards = Window.partitionBy("match_id", PART).orderBy(F.col("frame_num").desc())
+    before = F.last(AT, ignorenulls=True).over(within().rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(AT, ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     f, since, until = F.col("frame_num"), F.col("_p.f"), F.col("_n.f")
 
     def value(c: str) -> Column:
-        a, b = F.col(f"_p.{c}"), F.col(f"_n.{c}")
+        a, b = F.col(f"_p.v.{c}"), F.col(f"_n.v.{c}")
         forward = F.when(until.isNull(), a).otherwise(a + (b - a) * (f - since) / (until - since))
         return F.when(F.col(c).isNotNull(), F.col(c)).when(since.isNotNull() & (f - since <= limit), forward).when(until - f <= limit, b)
 
-    both = track.withColumns({"_p": before, "_n": after})
+    both = plain(rows.withColumns({"_p": before, "_n": after}))
     return both.withColumns({"filled": ~seen, **{c: value(c) for c in columns}}).drop("_p", "_n")
 
 
@@ -110,28 +112,31 @@ def coverage(track: DataFrame, column: str) -> DataFrame:
     return track.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col(column).isNotNull() & ~F.col("filled")).alias("detected"), F.count_if(F.col(column).isNotNull()).alias("covered"))
 
 
-def velocity(track: DataFrame, mid: str = "cy", roll: int = DEFAULT.roll) -> DataFrame:
-    """`track` with `rolling` (trailing mean over `roll` frames, nulls passed over) and `dy` (its first difference)."""
-    rolled = track.withColumn("rolling", F.avg(mid).over(in_match().rowsBetween(-(roll - 1), 0)))
-    return rolled.withColumn("dy", F.col("rolling") - F.lag("rolling").over(in_match()))
+def _changes(rows: DataFrame, mid: str, roll: int) -> DataFrame:
+    rolled = rows.withColumn("rolling", F.avg(mid).over(within().rowsBetween(-(roll - 1), 0)))
+    return rolled.withColumn("dy", F.col("rolling") - F.lag("rolling").over(within()))
 
 
-def shots(track: DataFrame, mid: str = "cy", p: Params = DEFAULT) -> DataFrame:
-    """(match_id, shot_idx, frame_num): frames where the vertical direction turns and stays turned.
+def velocity(track: DataFrame, mid: str = "cy", roll: int = DEFAULT.roll, span: int | None = None) -> DataFrame:
+    """Dense `track` with `rolling` (trailing mean over `roll` frames, nulls passed over) and `dy` (its first difference)."""
+    return plain(_changes(halo(track, roll, 0, span), mid, roll))
+
+
+def shots(track: DataFrame, mid: str = "cy", p: Params = DEFAULT, span: int | None = None) -> DataFrame:
+    """(match_id, shot_idx, frame_num): frames of a dense track where the vertical direction turns and stays turned.
 
     The look-ahead depends on the length of the match; one window of the longest look-ahead serves all.
     """
     longest = int(p.look_ahead * p.max_persist)
-    n = F.count(F.lit(1)).over(Window.partitionBy("match_id"))
-    v = velocity(track, mid, p.roll).withColumns({
-        "n": n,
-        "next_dy": F.lead("dy").over(in_match()),
-        "ahead": F.collect_list(F.coalesce("dy", F.lit(0.0))).over(in_match().rowsBetween(1, longest)),
+    v = _changes(halo(track.select("match_id", "frame_num", mid), p.roll, longest, span), mid, p.roll).withColumns({
+        "next_dy": F.lead("dy").over(within()),
+        "ahead": F.collect_list(F.coalesce("dy", F.lit(0.0))).over(within().rowsBetween(1, longest)),
     })
+    v = v.where(F.col(OWN) & (F.col("dy") * F.col("next_dy") < 0)).join(track.groupBy("match_id").agg(F.count(F.lit(1)).alias("n")), "match_id")
     k = F.greatest(F.lit(p.min_persist), F.least(F.lit(p.max_persist), F.floor(F.col("n") / p.persist_divisor)))
     v = v.withColumn("k", k).withColumn("L", F.floor(F.col("k") * p.look_ahead).cast("int"))
     turned = F.size(F.filter(F.slice("ahead", F.lit(1), F.col("L")), lambda x: x * F.col("dy") < 0))
-    hit = v.where((F.col("frame_num") >= 1) & (F.col("frame_num") < F.col("n") - F.col("L")) & (F.col("dy") * F.col("next_dy") < 0) & (turned >= F.col("k") - 1))
+    hit = v.where((F.col("frame_num") >= 1) & (F.col("frame_num") < F.col("n") - F.col("L")) & (turned >= F.col("k") - 1))
     return hit.select("match_id", (F.row_number().over(in_match()) - 1).cast("bigint").alias("shot_idx"), F.col("frame_num").cast("bigint"))
 
 

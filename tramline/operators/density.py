@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schemas import DEFAULT, Params
+from .ranges import AT, carried, plain, within
 from .stats import balls, players
 
 
@@ -90,20 +91,22 @@ def position_coverage(frames: DataFrame, pos: DataFrame) -> DataFrame:
     return every.groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("p"), F.lit(0)).alias("with_players"), F.coalesce(F.sum("b"), F.lit(0)).alias("with_ball"))
 
 
-def trajectory(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def trajectory(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT, span: int | None = None) -> DataFrame:
     """(match_id, frame_num, x_m, y_m, zone, step, rel_speed, insufficient_data): ball positions in metres; a step joins positions next to each other in time, passing over missing frames.
 
     Matches under `min_positions` positions are flagged; no positions are made up.
     """
     at = balls(pos).join(matches.select("match_id", "court"), "match_id")
     at = at.withColumn("q", G.court_metres("bx", "by", "court", p.court_width_m, p.court_length_m)).select("match_id", "frame_num", "q.x_m", "q.y_m")
-    w, every = Window.partitionBy("match_id").orderBy("frame_num"), Window.partitionBy("match_id")
-    t = at.withColumn("step", G.distance("x_m", "y_m", F.lag("x_m").over(w), F.lag("y_m").over(w)))
-    return t.withColumns({
+    rows = carried(at, F.struct("x_m", "y_m"), span=span)
+    before = F.last(AT, ignorenulls=True).over(within().rowsBetween(Window.unboundedPreceding, -1))
+    t = plain(rows.withColumn("_p", before)).withColumn("step", G.distance("x_m", "y_m", "_p.v.x_m", "_p.v.y_m")).drop("_p")
+    whole = t.groupBy("match_id").agg(F.max("step").alias("top"), F.count(F.lit(1)).alias("n"))
+    return t.join(whole, "match_id").withColumns({
         "zone": G.zone("y_m"),
-        "rel_speed": F.col("step") / F.greatest(F.max("step").over(every), F.lit(1e-8)),
-        "insufficient_data": F.count(F.lit(1)).over(every) < p.min_positions,
-    })
+        "rel_speed": F.col("step") / F.greatest("top", F.lit(1e-8)),
+        "insufficient_data": F.col("n") < p.min_positions,
+    }).drop("top", "n")
 
 
 def zone_occupancy(at: DataFrame) -> DataFrame:

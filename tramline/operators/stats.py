@@ -7,14 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions import geometry as G
 from ..schemas import DEFAULT, Params
-
-
-def by_player() -> WindowSpec:
-    return Window.partitionBy("match_id", "player_id").orderBy("frame_num")
+from .ranges import OWN, halo, within
 
 
 def players(pos: DataFrame) -> DataFrame:
@@ -29,17 +25,18 @@ def _dims(matches: DataFrame, p: Params) -> DataFrame:
     return matches.select("match_id", G.fps_or_default("fps", p.default_fps).alias("fps"), F.col("court.width").alias("court_px"))
 
 
-def steps(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def steps(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT, span: int | None = None) -> DataFrame:
     """(match_id, frame_num, player_id, step_m, step_kmh): displacement of players seen in two frames running."""
-    at = players(pos).withColumns({c + "0": F.lag(c).over(by_player()) for c in ("frame_num", "mx", "my")})
-    near = at.where(F.col("frame_num0") == F.col("frame_num") - 1).join(_dims(matches, p), "match_id")
+    w = within("player_id")
+    at = halo(players(pos), 1, 0, span).withColumns({c + "0": F.lag(c).over(w) for c in ("frame_num", "mx", "my")})
+    near = at.where(F.col(OWN) & (F.col("frame_num0") == F.col("frame_num") - 1)).join(_dims(matches, p), "match_id")
     m = G.px_to_m(G.distance("mx", "my", "mx0", "my0"), "court_px", p.court_width_m)
     return near.withColumn("step_m", m).select("match_id", "frame_num", "player_id", "step_m", G.kmh_per_frame("step_m", "fps").alias("step_kmh"))
 
 
 def movement(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, player_id, distance_covered, avg_player_speed, steps), only for players that moved in view."""
-    return steps(pos, matches, p).groupBy("match_id", "player_id").agg(F.sum("step_m").alias("distance_covered"), F.avg("step_kmh").alias("avg_player_speed"), F.count(F.lit(1)).alias("steps"))
+    return steps(pos, matches, p, p.span).groupBy("match_id", "player_id").agg(F.sum("step_m").alias("distance_covered"), F.avg("step_kmh").alias("avg_player_speed"), F.count(F.lit(1)).alias("steps"))
 
 
 def segments(shots: DataFrame, pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:

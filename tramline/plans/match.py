@@ -45,11 +45,11 @@ class Analysis:
 
     @cached_property
     def ball(self) -> DataFrame:
-        return ball.fill_gaps(ball.dense(self.frames, self.ball_dets), ["x1", "y1", "x2", "y2"], self.params.gap_limit)
+        return ball.fill_gaps(ball.dense(self.frames, self.ball_dets), ["x1", "y1", "x2", "y2"], self.params.gap_limit, self.params.span)
 
     @cached_property
     def shots(self) -> DataFrame:
-        return ball.shots(self.ball.withColumn("cy", F.expr("(y1 + y2) / 2")), "cy", self.params)
+        return ball.shots(self.ball.withColumn("cy", F.expr("(y1 + y2) / 2")), "cy", self.params, self.params.span)
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Analysis:
 
     @cached_property
     def trajectory(self) -> DataFrame:
-        return density.trajectory(self.positions, self.dims, self.params)
+        return density.trajectory(self.positions, self.dims, self.params, self.params.span)
 
     @cached_property
     def documents(self) -> DataFrame:

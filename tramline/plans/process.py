@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from ..operators.jobs import JobLog
+from ..operators.ranges import span_for
 from ..schemas import DEFAULT, Params
 from ..sources import tracking as T
 from .match import analyse
@@ -52,6 +53,7 @@ def _process(inputs: Inputs, out: str, stages: Stages, on_progress: Callable[[st
     if max_frames is not None:
         counted = frames.groupBy("match_id").count().withColumnRenamed("count", "total_frames")
         matches = matches.drop("total_frames").join(counted, "match_id")
+    p = replace(p, span=p.span or span_for(matches))
     tell(*PLAYERS)
     players = capped(made(inputs.players))
     tell(*BALL)

@@ -127,6 +127,12 @@ def shot_frames(spark, sf):
     return _analysis(spark, sf).shots
 
 
+def shot_frames_ranged(spark, sf):
+    """Shots by windows over ranges of 100 frames, as of matches that are too long for a task."""
+    fr = _frames(spark, sf)
+    return ball.shots(ball.fill_gaps(T.ball_track(fr), ["cx", "cy"], span=100), span=100)
+
+
 def shot_segments(spark, sf):
     return _analysis(spark, sf).segments.select("match_id", "seg_idx", "sf", "ef", _r("dt"), _r("px"))
 
@@ -294,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bbox_centers, foot_points, court_layout, court_corners, court_lines, court_keypoint_rows, point_helpers, raw_extents, position_coverage, project_positions, ball_candidates_filter, ball_argmax, court_bounds, players_in_court, court_estimate, ball_gapfill, ball_gapfill_short, ball_coverage, ball_velocity,
-        shot_frames, shot_segments, shot_attribution, player_distance, frame_stats, stat_spans, hud_team_stats, match_player_summary, team_totals, head_to_head, fast_smashes, long_rallies, long_rallies_slow, highlights_merged, highlight_reel,
+        shot_frames, shot_frames_ranged, shot_segments, shot_attribution, player_distance, frame_stats, stat_spans, hud_team_stats, match_player_summary, team_totals, head_to_head, fast_smashes, long_rallies, long_rallies_slow, highlights_merged, highlight_reel,
         heatmap_bins, heatmap_gate, heatmap_smoothed, ball_trajectory, zone_occupancy, cache_plan, track_census, job_status, job_results, job_log_replay, analysis_document, analysis_readback, ball_select_stateful, player_slots, match_analysis,
     )
 }

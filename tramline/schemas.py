@@ -21,7 +21,7 @@ JOB_STATE = "job_id string, status string, stage string, progress int, result st
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds of the analysis (fixed values), all adjustable."""
+    """Thresholds of the analysis (fixed values but for `span`), all adjustable."""
 
     default_fps: float = 24.0
     gap_limit: int = 90
@@ -50,6 +50,8 @@ class Params:
     feet_margin: float = 0.08
     min_court_w: float = 400.0
     min_court_h: float = 200.0
+    #: Frames of a range, where matches are too long for a task (operators.ranges); no threshold, results are the same.
+    span: int | None = None
 
 
 DEFAULT = Params()

@@ -223,6 +223,7 @@ SQL = {
     "ball_coverage": query("SELECT match_id, count(*) AS frames, count(*) FILTER (cx IS NOT NULL AND NOT filled) AS detected, count(cx) AS covered FROM short GROUP BY match_id"),
     "ball_velocity": query(f"SELECT match_id, frame_num, {_all('rolling dy')} FROM {_velocity('short')} v"),
     "shot_frames": query("SELECT match_id, shot_idx, frame_num FROM shots"),
+    "shot_frames_ranged": query("SELECT match_id, shot_idx, frame_num FROM shots"),
     "shot_segments": query(f"SELECT match_id, seg_idx, sf, ef, {_all('dt px')} FROM seg"),
     "shot_attribution": query(f"SELECT match_id, seg_idx, sf, hitter, {_all('speed')} FROM att"),
     "player_distance": query(f"SELECT match_id, player_id, {_all('distance_covered avg_player_speed')}, steps FROM mv"),
