@@ -3,14 +3,14 @@
 Pattern kinds (`assign`, `access`, `hex`) are reported as they match. Further kinds are reported only when the
 bytes behind the candidate parse:
 
-* `der`: base64 lines or a hex run that decode to one ASN.1 SEQUENCE, whose nested lengths all fit and whose
+* `der`: base64 lines or hex digits that decode to one ASN.1 SEQUENCE, whose nested lengths all fit and whose
   leading fields are those of an RSA, EC or PKCS#8 private key; the key wrapped in the last is parsed in turn;
 * `openssh`: base64 lines that decode to the OpenSSH key container with consistent length-prefixed fields;
 * `jwt`: three dot-separated base64url parts whose first decodes to a JSON object with a string `alg` other than `none`,
   whose second decodes to a JSON object, and whose third, the signature, is not empty.
 
 Base64, standard or URL-safe, is parsed from every place where a key can start, be it in a line or at its start, over
-lines of any length; the lengths inside the key say where it ends, so prose in the lines around it doesn't matter. More
+lines of any length, which may be quoted, indented or commented, and end really or by an escape, as in JSON; hex from any digit, over colons and lines. The lengths inside the key say where it ends, so prose in the lines around it doesn't matter. More
 base64 in the last line of a DER key is none of it, and such a candidate doesn't count. A token starts where a run of its characters starts.
 
 Only the headers that a candidate names are decoded, some dozens of bytes, and every run of token characters is tried once, so that time
@@ -43,20 +43,28 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
 _BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: A line's end, real or as strings of code and JSON write it, with what quotes, comments and indents put before the next line.
+_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*"
+_BREAK = re.compile(_END)
+#: The letters that end an escape.
+_ESCAPED = ("\\n", "\\r", "\\t")
 _TAIL = re.compile(r"[A-Za-z0-9+/]*")
 _PADDING = re.compile(r"={0,2}")
-_WRAPPED_PADDING = re.compile(r"[ \t]*\r?\n[ \t]*={1,2}(?!=)")
+_WRAPPED_PADDING = re.compile(_END + r"={1,2}(?!=)")
 #: An EC key of the smallest named curve (112 bits) has 21 bytes.
 _LEAST_DER = 21
-_HEX_ANY = re.compile(r"[0-9A-Fa-f]{42,}")
+#: Pairs of hex digits, with colons or line ends between them.
+_HEX_ANY = re.compile(rf"[0-9A-Fa-f]{{2}}(?:(?::|:?{_END})?[0-9A-Fa-f]{{2}}){{20,}}[0-9A-Fa-f]?")
+_HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
+#: A SEQUENCE header whose length has its shortest form, then an INTEGER of one byte: how all these keys begin, in digits of any parity.
+_HEX_START = re.compile(r"(?=30(?:[0-7].|81..|82....|83.{6}|84.{8})0201)")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _INTEGER, _BITS, _OCTETS, _NULL, _OID, _SEQUENCE = 0x02, 0x03, 0x04, 0x05, 0x06, 0x30
 
 
 #: Bytes n from a place on, as many as there are.
 Reader = Callable[[int, int], bytes]
-#: Most fields that a key's SEQUENCE has here; a longer one is none.
+#: More fields than any of the standards gives a key's SEQUENCE (ten for RSA, five for PKCS#8, four for EC); a longer one is none.
 MAX_FIELDS = 16
 
 
@@ -135,7 +143,7 @@ def openssh_end(read: Reader, size: int) -> int | None:
             return None
         at += 4 + n
     keys = number()
-    if keys is None or not 1 <= keys <= 16:
+    if keys is None or not 1 <= keys <= (size - at) // 4:  # each key has a length of its own
         return None
     at += 4
     for _ in range(keys + 1):  # public keys, then the private section
@@ -201,7 +209,7 @@ def base64_keys(text: str) -> list[tuple[int, int, str]]:
     out, run, done = [], None, 0
     for m in _START.finditer(text):
         place = m.start()
-        if place < done or place and text[place - 1] in _BASE64:
+        if place < done or place and text[place - 1] in _BASE64 and text[max(place - 2, 0) : place] not in _ESCAPED:
             continue
         if run is None or place >= run.end:
             run = Run(text, place)
@@ -224,6 +232,29 @@ def base64_keys(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def hex_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in hex digits, wherever one begins among them; spans go from a key's first digit to its last."""
+    out = []
+    for run in _HEX_ANY.finditer(text):
+        pieces = [(m.start(), m[0]) for m in _HEX_DIGITS.finditer(text, run.start(), run.end())]
+        digits, first = "".join(d for _, d in pieces), [0]
+        for _, d in pieces:
+            first.append(first[-1] + len(d))
+        place = lambda i: pieces[k := bisect_right(first, i) - 1][0] + i - first[k]  # noqa: B023, E731
+        done = 0
+        for m in _HEX_START.finditer(digits):
+            at = m.start()
+            if at < done:
+                continue
+            read = lambda a, n: bytes.fromhex(digits[at + 2 * a : at + 2 * min(a + n, (len(digits) - at) // 2)])  # noqa: B023, E731
+            head = der_header(read, 0, (len(digits) - at) // 2)
+            if head is None or head[2] < _LEAST_DER or not _key_fields(read, 0, head[2]):
+                continue
+            done = at + 2 * head[2]
+            out.append((place(at), place(done - 1) + 1, "der"))
+    return out
+
+
 def _json_part(part: str) -> object:
     try:
         return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
@@ -238,9 +269,7 @@ def is_signed_token(text: str) -> bool:
 
 
 def confirmed(text: str) -> list[tuple[int, int, str]]:
-    out = base64_keys(text)
-    out += [(m.start(), m.end(), "der") for m in _HEX_ANY.finditer(text) if len(m[0]) % 2 == 0 and is_private_key_der(bytes.fromhex(m[0]))]
-    return out + [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    return base64_keys(text) + hex_keys(text) + [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
