@@ -4,8 +4,12 @@ A template is wording with two kinds of markup: `[[ ... ]]` is optional, and `{{
 words. Templates compile to automata over words (a word, an optional branch, or a bounded gap), all joined in one
 table that is entered at any word; a text is accepted where all mandatory wording stands consecutively and in order.
 
-There are templates of whole licences, all clauses and disclaimers (weight 1), of notices that name a licence (0.8), of SPDX identifiers (0.9), and of
-mentions (0.6). A text in which a word of a clause differs is no whole licence, though its notice may still count.
+There are templates of whole licences, all clauses and disclaimers (weight 1), of the notices that files carry for longer ones (0.9), of notices that name a licence
+(0.8), and of mentions (0.6). A text in which a word of a clause differs is no whole licence, though its notice may still count. The texts of the Apache, Mozilla and
+GNU licences and of Creative Commons' legal code have no template of their own: files name them by notices.
+
+After "SPDX-License-Identifier:" stands an expression of identifiers with AND, OR, WITH, brackets and +, up to the end of its line or the first word that can't go on
+with it; each identifier is looked up whole, so that MIT-0 isn't MIT, and counts like a template (0.9). One that isn't in the table gives no label.
 
 Words are runs of ASCII letters and digits and of code points from U+0080 on, after lower-casing A-Z only. Base phrases are templates
 without markup. Null or empty text has no word and no label, an empty table no rows. Rows are independent, so repeats and ties give equal results.
@@ -16,6 +20,7 @@ Other columns are passed by, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,7 +29,7 @@ from .common import map_texts
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-WHOLE, BY_ID, NOTICE, MENTION = 1.0, 0.9, 0.8, 0.6
+WHOLE, BY_ID, OF_FILE, NOTICE, MENTION = 1.0, 0.9, 0.9, 0.8, 0.6
 
 # The licences' own words.
 _AS_IS = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
@@ -80,25 +85,23 @@ _CREATIVE = (
     ("cc-by-nc", "noncommercial"), ("cc-by-nc", "non commercial"), ("cc-by-nc-sa", "noncommercial sharealike"), ("cc-by-nc-nd", "noncommercial noderivatives"),
 )
 SPDX = (
-    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "MPL-2.0", "EPL-2.0", "Artistic-2.0", "CC0-1.0",
-    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0",
+    "MIT", "MIT-0", "Apache-2.0", "Apache-1.1", "BSD-3-Clause-Clear", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "MPL-2.0", "EPL-2.0", "Artistic-2.0", "CC0-1.0",
+    "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0",
 )
 
 
 def _families() -> list[tuple[str, float, str]]:
-    """Templates that follow a rule: the notices of the GNU licences and of Creative Commons, and SPDX identifiers."""
+    """Templates that follow a rule: the notices of the GNU licences and of Creative Commons."""
     out = []
     for label, kind, version in _GNU:
         name = f"{kind} general public license"
         out.append((label, NOTICE, f"gnu {name} [[as published by the free software foundation]] [[either]] version {version}"))
-        out.append((label, WHOLE, f"this {{{{3}}}} {_FREE} {name} as published by the free software foundation [[either]] version {version} [[of the license]] [[or at your option any later version]] [[this]] {{{{3}}}} {_HOPE} see the gnu {name} for more details"))
+        out.append((label, NOTICE, f"gnu {name} v{version}"))
+        short = {"": "gpl", "lesser": "lgpl", "affero": "agpl"}.get(kind)  # LGPLv2 alone also begins LGPLv2.1
+        out += [(label, MENTION, f"{short}{v}{version}") for v in ("v", " v", " version ") if short]
+        out.append((label, OF_FILE, f"this {{{{3}}}} {_FREE} {name} as published by the free software foundation [[either]] version {version} [[of the license]] [[or at your option any later version]] [[this]] {{{{3}}}} {_HOPE} see the gnu {name} for more details"))
     for label, words in _CREATIVE:
         out.append((label, NOTICE, f"creative commons attribution {words} [[{{{{1}}}} 0]] [[international]] [[unported]] [[public]] license"))
-    for spdx in SPDX:
-        words = re.sub("[^0-9a-z]+", " ", spdx.lower())
-        label = re.sub("-4.0$|-1.0$", "", spdx.lower()) if spdx.startswith("CC") else spdx.lower()
-        later = " [[only]] [[or later]]" if "GPL" in spdx else ""
-        out.append((label, BY_ID, f"spdx license identifier {words}{later}"))
     return out
 
 
@@ -108,7 +111,8 @@ TEMPLATES = (
     ("mit", NOTICE, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", WHOLE, f"{_MIT} {_AS_IS}"),
     ("apache-2.0", NOTICE, "licensed under the apache license [[version]] 2 0"),
-    ("apache-2.0", WHOLE, _APACHE),
+    ("apache-2.0", NOTICE, "apache license [[version]] 2 0 january 2004"),
+    ("apache-2.0", OF_FILE, _APACHE),
     ("cc-by-nc", MENTION, "licensed under [[a]] [[the]] cc by nc [[{{1}} 0]]"),
     ("cc-by-sa", MENTION, "licensed under [[a]] [[the]] cc by sa [[{{1}} 0]]"),
     ("cc0", NOTICE, "to the extent possible under law {{12}} waived all copyright and related or neighboring rights to"),
@@ -123,7 +127,7 @@ disclaimer must be included in all copies of the software in whole or in part an
 works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty
 of any kind express or implied"""),
     ("unlicense", WHOLE, f"{_UNLICENSE} {_AS_IS}"),
-    ("mpl-2.0", WHOLE, _MPL),
+    ("mpl-2.0", OF_FILE, _MPL),
     ("epl", NOTICE, "made available under the terms of the eclipse public license"),
     ("wtfpl", NOTICE, "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
     ("copyright", 0.5, "copyright [[c]] {{6}} all rights reserved"),
@@ -131,6 +135,47 @@ of any kind express or implied"""),
 )
 BASE_WEIGHT = 0.4
 
+_SPDX_MARK = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*")
+_SPDX_TOKEN = re.compile(rb"[ \t]*([()]|[0-9a-z][0-9a-z.+-]*)")
+_AND, _OR, _WITH, _OPEN, _SHUT = b"and", b"or", b"with", b"(", b")"
+
+
+def _spdx_labels() -> dict[bytes, str]:
+    """Labels of identifiers in lower case: those of the GNU family also with what follows a version, those of Creative Commons without their version."""
+    out = {}
+    for spdx in SPDX:
+        label = re.sub("-4.0$|-1.0$", "", spdx.lower()) if spdx.startswith("CC") else spdx.lower()
+        for end in ("", "-only", "-or-later") if "GPL" in spdx else ("",):
+            out[(spdx.lower() + end).encode()] = label
+    return out
+
+
+def spdx_expressions(text: bytes) -> list[tuple[int, list[bytes]]]:
+    """(place of the mark, identifiers) of each SPDX expression in a lower-case text."""
+    out = []
+    for mark in _SPDX_MARK.finditer(text):
+        ids, depth, at, wanted = [], 0, mark.end(), True
+        while m := _SPDX_TOKEN.match(text, at):
+            token = m[1]
+            if token == _OPEN and wanted:
+                depth += 1
+            elif token == _SHUT and not wanted and depth:
+                depth -= 1
+            elif not wanted and token in (_AND, _OR, _WITH):
+                wanted = True
+                if token == _WITH:  # the name of an exception, which is no licence
+                    if not (exception := _SPDX_TOKEN.match(text, m.end())) or exception[1] in (_OPEN, _SHUT):
+                        break
+                    m, wanted = exception, False
+            elif wanted and token not in (_SHUT, _AND, _OR, _WITH):
+                ids.append(token.rstrip(b".").removesuffix(b"+"))
+                wanted = False
+            else:
+                break
+            at = m.end()
+        out.append((mark.start(), ids))
+    return out
+
 
 @dataclass
 class Automaton:
@@ -224,23 +269,30 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, float, str], ...]
     every = tuple((label, BASE_WEIGHT, phrase) for phrase, label in BASE) + tuple(templates)
 
     def make():
-        automaton = compile_templates(every)
+        automaton, by_id = compile_templates(every), _spdx_labels()
 
         def one(text: str) -> dict:
-            words = _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
+            raw = text.encode("utf-8", "surrogatepass").lower()
+            words = _WORD.findall(raw)
             got = places(automaton, words)
+            spdx = [(place, by_id[i]) for place, ids in spdx_expressions(raw) for i in ids if i in by_id]
+            if spdx:
+                begins = [m.start() for m in _WORD.finditer(raw)]
+                spdx = [(bisect_left(begins, place), label) for place, label in spdx]
             base = [i for i, k in got if k < len(BASE)]
             rest = 1.0
             for k in sorted({k for _, k in got}):
                 rest *= 1 - every[k][1]
+            for _ in {label for _, label in spdx}:
+                rest *= 1 - BY_ID
             return {
                 "n_words": len(words),
-                "places": [{"word": i, "label": every[k][0]} for i, k in got],
+                "places": [{"word": i, "label": label} for i, label in sorted([*((i, every[k][0]) for i, k in got), *spdx], key=lambda x: x[0])],
                 "n_base": len(base),
                 "first_word": min(base, default=None),
                 "last_word": max(base, default=None),
                 "base_labels": ",".join(sorted({every[k][0] for _, k in got if k < len(BASE)})),
-                "labels": ",".join(sorted({every[k][0] for _, k in got})),
+                "labels": ",".join(sorted({every[k][0] for _, k in got} | {label for _, label in spdx})),
                 "score": 1 - rest,
             }
 
