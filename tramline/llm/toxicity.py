@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, map_texts, text_slices
+from .common import give_back, map_texts, ranges, text_slices
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1000, 20_000
 BUCKET_BITS = 18
@@ -37,7 +37,8 @@ THRESHOLD = 0.3
 TOXIC_SHARE = 0.2
 CALM = 4.0
 CACHE_WORDS = 200_000
-LEARN_WORDS = 20_000
+#: Characters that are hashed at once, and of the longest word that is kept.
+LEARN_CHARS, KEPT_CHARS = 200_000, 100
 _WORD = re.compile(r"\w+")
 
 
@@ -57,26 +58,54 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _buckets(points: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of every run of n code points."""
+    h = np.full(len(points) - n + 1, n, np.uint64)
+    for j in range(n):
+        h = (h ^ points[j : len(points) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of every character n-gram of `<word>`."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    points = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = _points("<" + "><".join(words) + ">")
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     who, what = [], []
     for n in GRAMS:
         if len(points) < n:
             continue
-        h = np.full(len(points) - n + 1, n, np.uint64)
-        for j in range(n):
-            h = (h ^ points[j : len(points) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+        h = _buckets(points, n)
         inside = owner[: len(h)] == owner[n - 1 :]
         who.append(owner[: len(h)][inside])
-        what.append((h[inside] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        what.append(h[inside])
     return np.concatenate(who), np.concatenate(what)
 
 
+def word_weights(words: list[str], weights: np.ndarray) -> list[float]:
+    """The mean weight of each word's n-grams, by slices of LEARN_CHARS characters; a longer word is summed up slice by slice."""
+    out: list[float] = []
+    for a, b in ranges(map(len, words), LEARN_CHARS):
+        part = words[a:b]
+        if len(part[0]) > LEARN_CHARS:
+            marked, total, count = f"<{part[0]}>", 0.0, 0
+            for n in GRAMS:
+                for i in range(0, len(marked) - n + 1, LEARN_CHARS):
+                    h = _buckets(_points(marked[i : i + LEARN_CHARS + n - 1]), n)
+                    total, count = total + float(weights[h].sum(dtype=np.float64)), count + len(h)
+            out.append(total / count)
+            continue
+        who, what = grams_of(part)
+        out += (np.bincount(who, weights[what], len(part)) / np.maximum(np.bincount(who, minlength=len(part)), 1)).tolist()
+    return out
+
+
 def windows_of(n_words: int) -> np.ndarray:
     """Starts of n_words // WINDOW (at least one) windows of about equal length; none for no words."""
     k = max(1, n_words // WINDOW) if n_words else 0
@@ -172,11 +201,7 @@ def scorer(model: Model) -> Callable[[list[str]], list[float]]:
     def learn(words: list[str]) -> None:
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        for i in range(0, len(words), LEARN_WORDS):
-            part = words[i : i + LEARN_WORDS]
-            who, what = grams_of(part)
-            total = np.bincount(who, model.weights[what], len(part)) / np.maximum(np.bincount(who, minlength=len(part)), 1)
-            known.update(zip(part, total.tolist(), strict=True))
+        known.update(zip(words, word_weights(words, model.weights), strict=True))
 
     def score(texts: list[str]) -> list[float]:
         bags = [words_of(t) for t in texts]
@@ -193,6 +218,9 @@ def scorer(model: Model) -> Callable[[list[str]], list[float]]:
                 edges = [*windows_of(len(ws)).tolist(), len(ws)]
                 gap += max(sum(map(known.__getitem__, sorted(set(ws[a:b])))) / max(b - a, WINDOW) for a, b in zip(edges, edges[1:]))
             out.append(1 / (1 + float(np.exp(-np.clip(gap, -50, 50)))))
+        for w in missing:  # a few very long words would fill the cache
+            if len(w) > KEPT_CHARS:
+                known.pop(w, None)
         return out
 
     return score
