@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import heapq
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -100,6 +102,59 @@ def word_lists(text: bytes, limit: int = 4 * MAP_BYTES) -> Iterator[list[bytes]]
         at = end
 
 
+def merged(ids: array, first: np.ndarray, none: int, rank_of: Callable[[int, int, int], int | None], made: Callable[[int], int]) -> np.ndarray:
+    """Ids after merging neighbours, the pair of lowest rank first, of equal ranks the leftmost, until none has a rank.
+
+    `first` has the rank of each place's pair, or `none`; `rank_of(i, j, end)` that of the symbols at places i and j, of which the second ends before `end`; `made(rank)` gives
+    the symbol of a merge. The places of each rank pass from left to right, lowest rank first, all in arrays of 32 bits: some 25 bytes for each symbol, whatever
+    their number. Where a merge makes a pair of a lower rank, that one goes first.
+    """
+    n = len(ids)
+    places = np.flatnonzero(first < none).astype(np.int32)
+    if not len(places):
+        return np.frombuffer(ids, np.int32)
+    places = places[np.argsort(first[places], kind="stable").astype(np.int32)]
+    ranks, begin = np.unique(first[places], return_index=True)
+    bounds = dict(zip(ranks.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(places)], strict=True), strict=True))
+    left, right = array("i", range(-1, n - 1)), array("i", range(1, n + 1))
+    later: dict[int, array] = {}
+    queue = ranks.tolist()
+
+    def add(i: int, j: int) -> None:
+        r = rank_of(i, j, right[j])
+        if r is not None:
+            if r not in later:
+                later[r] = array("i")
+                heapq.heappush(queue, r)
+            later[r].append(i)
+
+    while queue:
+        r = heapq.heappop(queue)
+        a, b = bounds.pop(r, (0, 0))
+        new = later.pop(r, None)
+        here = places[a:b] if new is None else np.sort(np.concatenate([places[a:b], np.frombuffer(new, np.int32)]))
+        symbol = made(r)
+        view = memoryview(np.ascontiguousarray(here))
+        for k, i in enumerate(view):
+            j = right[i]
+            if ids[i] < 0 or j >= n or rank_of(i, j, right[j]) != r:
+                continue
+            ids[i], ids[j], right[i] = symbol, -1, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                add(i, right[i])
+            if left[i] >= 0:
+                add(left[i], i)
+            if queue and queue[0] <= r and k + 1 < len(view):  # what is left waits for the lower rank
+                if r not in later:
+                    later[r] = array("i")
+                    heapq.heappush(queue, r)
+                later[r].extend(view[k + 1 :])
+                break
+    whole = np.frombuffer(ids, np.int32)
+    return whole[whole >= 0]
+
+
 def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = MAP_BYTES) -> np.ndarray:
     """The pieces source[start : start + size], one after another; only `chunk` places at a time have an index."""
     ends = np.cumsum(sizes)
