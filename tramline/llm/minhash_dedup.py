@@ -37,6 +37,8 @@ WORDS = 5
 SAMPLED = 3
 SKETCHES = 14
 SIMILARITY = 0.8
+#: Unmatched shingles that the first band allows.
+NARROW = 64
 #: Pairs of a lead, and rows of a token, that one task takes.
 SPLIT, TOKEN_ROWS = 128, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +104,10 @@ def needed(n: int, m: int) -> int:
 
 
 def aligned(a: list, b: list, need: int) -> int:
-    """Matches of the best alignment of a and b that stays inside the band in which `need` matches are possible.
+    """Matches of the best alignment of a and b, if they are `need` or more; else some number below.
 
-    Bit-parallel: bit i of `v` is 0 where the best alignment of a[:i+1] gains a match over that of a[:i].
+    Narrow bands first: where few shingles stay unmatched the best alignment lies in a band as narrow, and a band in which it fails is doubled, up to the one in which
+    `need` matches are possible.
     """
     n, m = len(a), len(b)
     k = 0
@@ -113,32 +116,55 @@ def aligned(a: list, b: list, need: int) -> int:
     e = 0
     while e < min(n, m) - k and a[n - 1 - e] == b[m - 1 - e]:
         e += 1
-    a, b, n, m, need = a[k : n - e], b[k : m - e], n - k - e, m - k - e, need - k - e
-    if not n or not m:
-        return k + e
-    low, high = m - max(need, 0), n - max(need, 0)  # how far a match may lie below and above the diagonal
-    if low < 0 or high < 0:
+    a, b, n, m, need = a[k : n - e], b[k : m - e], n - k - e, m - k - e, max(need - k - e, 0)
+    if not n or not m or need > min(n, m):
         return k + e
     places: dict[object, list[int]] = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
-    whole = {x: sum(1 << i for i in p) for x, p in places.items() if len(p) > 64}
-    v = full = (1 << n) - 1
+    apart = max(NARROW, abs(n - m))
+    while True:
+        least = max(need, -(-(n + m - apart) // 2))  # matches that leave no more than `apart` unmatched
+        got = _banded(places, b, n, m - least, n - least)
+        if got >= least or least == need:
+            return k + e + got
+        apart *= 2
+
+
+def _banded(places: dict[object, list[int]], b: list, n: int, low: int, high: int) -> int:
+    """Matches of the best alignment whose matches lie at most `low` below and `high` above the diagonal.
+
+    Bit-parallel: a bit for each place i of the first list is 0 where the best alignment of its first i + 1 shingles gains a match over that of the first i. Only the bits
+    of the band are held: those below it are settled and counted when they leave it, those above haven't been touched.
+    """
+    width = low + high + 1
+    full = (1 << width) - 1
+    v, base, count = full, -low, 0  # the lowest bit stands for place `base`
+    everywhere: dict[object, int] = {}
     for j, x in enumerate(b):
         p = places.get(x)
         if p is None:
             continue
-        if x in whole:
-            lo = max(j - low, 0)
-            hits = whole[x] & (((1 << (j + high + 1 - lo)) - 1) << lo)
+        lo, hi = bisect_left(p, j - low), bisect_right(p, j + high)
+        if lo == hi:
+            continue
+        gone = j - low - base
+        if gone:
+            count += min(gone, width) - (v & ((1 << min(gone, width)) - 1)).bit_count()
+            v = v >> gone | full ^ full >> gone
+            base += gone
+        if hi - lo > 64:  # all places of a shingle that is everywhere, as bits of the whole list
+            if x not in everywhere:
+                everywhere[x] = int.from_bytes(np.packbits(np.bincount(p, minlength=n).astype(bool), bitorder="little").tobytes(), "little")
+            hits = (everywhere[x] >> base if base > 0 else everywhere[x] << -base) & full
         else:
             hits = 0
-            for i in p[bisect_left(p, j - low) : bisect_right(p, j + high)]:
-                hits |= 1 << i
+            for i in p[lo:hi]:
+                hits |= 1 << i - base
         u = v & hits
         if u:
             v = ((v + u) | (v - u)) & full
-    return k + e + n - v.bit_count()
+    return count + width - v.bit_count()
 
 
 def distance(a: list, b: list) -> int | None:
