@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tramline import derived as D
 from tramline.schemas import BALL_DET, PLAYER_DET
 from tramline.sources import cache as C
 from tramline.sources import tracking as T
@@ -102,18 +103,18 @@ def test_other_columns_are_an_error(spark, tmp_path):
 
 
 def test_read_or_detect_knows_its_matches(spark, sf_dir, tmp_path):
-    fr = T.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).cache()
+    fr = D.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).cache()
     asked = []
 
     def detect(missing):
         asked.append(sorted(r.match_id for r in missing.collect()))
-        return T.player_boxes(fr).join(missing, "match_id", "left_semi")
+        return D.player_boxes(fr).join(missing, "match_id", "left_semi")
 
     ask = lambda *ids: fr.where(F.col("match_id").isin(*ids)).groupBy("match_id").agg(F.count(F.lit(1)).alias("frames"))
     path = str(tmp_path / "players")
     for ids in ((0,), (0, 1), (1, 2)):
         got = T.read_or_detect(spark, path, PLAYER_DET, detect, wanted=ask(*ids))
-        assert rows(got) == rows(T.player_boxes(fr).where(F.col("match_id").isin(*ids)).select(got.columns))
+        assert rows(got) == rows(D.player_boxes(fr).where(F.col("match_id").isin(*ids)).select(got.columns))
     assert asked == [[0], [1], [2]]
     short = T.read_or_detect(spark, path, PLAYER_DET, detect, wanted=ask(2), max_frames=10)
     assert short.agg(F.max("frame_num")).first()[0] == 9 and len(asked) == 3

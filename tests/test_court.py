@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.plain_court import corners_of, solve_homography
+from tramline import derived as D
 from tramline.functions import geometry as G
 from tramline.operators import court
 from tramline.schemas import COURT_KEYPOINTS
-from tramline.sources import tracking as T
 
 
 def cases():
@@ -68,10 +68,10 @@ def test_maps(solved):
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
-    fr = T.frames(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    m = T.match_rows(fr)
-    feet = T.player_boxes(fr).select("match_id", F.col("x1").alias("foot_x"), F.col("y2").alias("foot_y"))
-    plan = court.homographies(m, T.keypoint_rows(m), feet)._jdf.queryExecution().executedPlan().toString()
+    fr = D.frames(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    m = D.match_rows(fr)
+    feet = D.player_boxes(fr).select("match_id", F.col("x1").alias("foot_x"), F.col("y2").alias("foot_y"))
+    plan = court.homographies(m, D.keypoint_rows(m), feet)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

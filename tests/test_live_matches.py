@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_streaming import drained
+from tramline import derived as D
 from tramline.operators import ball, players
 from tramline.schemas import DEFAULT
-from tramline.sources import tracking as T
 from tramline.streaming import live
 
 
@@ -26,15 +26,15 @@ def stream(spark, df, schema, path, cuts, order=None):
 
 @pytest.fixture(scope="module")
 def frames(spark, sf_dir):
-    return T.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).cache()
+    return D.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).cache()
 
 
 @pytest.mark.parametrize("cuts", [[], [0, 1, 7, 90], [100, 101, 250]])
 def test_live_shots(spark, frames, tmp_path, cuts):
-    dets = T.ball_track(frames).select("match_id", "frame_num", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), (F.col("cy") + F.col("frame_num") % 3).alias("y2"))
+    dets = D.ball_track(frames).select("match_id", "frame_num", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), (F.col("cy") + F.col("frame_num") % 3).alias("y2"))
     # nothing is seen at the beginning, for a long time, and at the end of some matches
     dets = dets.withColumns({c: F.when(~F.expr("match_id = 1 and frame_num < 20 or match_id = 2 and frame_num between 60 and 170 or match_id = 3 and frame_num > 190"), F.col(c)) for c in ("x1", "y1", "x2", "y2")})
-    matches = T.match_rows(frames)
+    matches = D.match_rows(frames)
     filled = ball.fill_gaps(dets, ["x1", "y1", "x2", "y2"])
     want = sorted(tuple(r) for r in ball.shots(filled.withColumn("cy", F.expr("(y1 + y2) / 2"))).collect())
     got = drained(live.shots(stream(spark, live.track_rows(dets, matches), live.TRACK_FRAME, str(tmp_path / "in"), cuts, random.Random(1))), "append", f"shots{len(cuts)}_{sum(cuts)}", tmp_path)
@@ -74,8 +74,8 @@ def test_turns_frame_by_frame(spark):
 
 @pytest.mark.parametrize("cuts", [[], [0, 1, 2, 80], [130]])
 def test_live_slots(spark, frames, tmp_path, cuts):
-    dets = T.player_boxes(frames).where("(frame_num + match_id) % 41 > 2 and (frame_num % 60 > 9 or track_id > 2)").withColumn("track_id", F.expr("track_id + 10 * (frame_num div 50)"))
-    bounds = players.court_bounds(T.keypoint_rows(T.match_rows(frames)))
+    dets = D.player_boxes(frames).where("(frame_num + match_id) % 41 > 2 and (frame_num % 60 > 9 or track_id > 2)").withColumn("track_id", F.expr("track_id + 10 * (frame_num div 50)"))
+    bounds = players.court_bounds(D.keypoint_rows(D.match_rows(frames)))
     want = sorted(tuple(r) for r in players.assign_slots(dets, bounds).collect())
     rows = live.player_rows(dets, bounds, frames)
     got = drained(live.assign_slots(stream(spark, rows, live.PLAYER_FRAME, str(tmp_path / "in"), cuts, random.Random(2))), "append", f"slots{len(cuts)}_{sum(cuts)}", tmp_path)
@@ -83,7 +83,7 @@ def test_live_slots(spark, frames, tmp_path, cuts):
 
 
 def test_restart_from_a_checkpoint(spark, frames, tmp_path):
-    dets, bounds = T.player_boxes(frames), players.court_bounds(T.keypoint_rows(T.match_rows(frames)))
+    dets, bounds = D.player_boxes(frames), players.court_bounds(D.keypoint_rows(D.match_rows(frames)))
     rows = live.player_rows(dets, bounds, frames).cache()
     place, out = str(tmp_path / "in"), str(tmp_path / "out")
     for a, b in ((-1, 50), (50, 120), (120, 10**9)):  # each a run of its own, from the same checkpoint

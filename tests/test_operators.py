@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geometry as G
 from tests.plain_court import corners_of, solve_homography
-from tramline.operators import ball, court, density, highlights, players, reports, stats
+from tramline.operators import ball, density, highlights, players, reports, stats
 from tramline.schemas import DEFAULT
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.plain_court import corners_of, solve_homography
+from tramline import derived as D
 from tramline.operators import ball, court, jobs, players, reports
 from tramline.plans import staging
 from tramline.plans.match import Analysis, analyse
@@ -18,12 +19,12 @@ from tramline.sources import tracking as T
 
 @pytest.fixture(scope="module")
 def frames(spark, sf_dir):
-    return T.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).where("frame_num < 60 and match_id < 2").cache()
+    return D.frames(spark.read.parquet(f"{sf_dir}/events.parquet")).where("frame_num < 60 and match_id < 2").cache()
 
 
 def inputs(frames):
-    m = T.match_rows(frames)
-    return Inputs(m, frames.select("match_id", "frame_num"), T.keypoint_rows(m), T.player_boxes(frames), T.ball_candidates(frames))
+    m = D.match_rows(frames)
+    return Inputs(m, frames.select("match_id", "frame_num"), D.keypoint_rows(m), D.player_boxes(frames), D.ball_candidates(frames))
 
 
 def test_long_match_is_filled_in_linear_time(spark):
@@ -143,13 +144,13 @@ def test_read_or_detect(spark, frames, tmp_path):
 
     def detect():
         calls.append(1)
-        return T.player_boxes(frames)
+        return D.player_boxes(frames)
 
     path = str(tmp_path / "dets")
     first = T.read_or_detect(spark, path, PLAYER_DET, detect)
     again = T.read_or_detect(spark, path, PLAYER_DET, detect, max_frames=20)
-    assert len(calls) == 1 and first.count() == T.player_boxes(frames).count() and again.agg(F.max("frame_num")).first()[0] == 19
-    assert {tuple(r) for r in first.collect()} == {tuple(r) for r in T.player_boxes(frames).select(first.columns).collect()}
+    assert len(calls) == 1 and first.count() == D.player_boxes(frames).count() and again.agg(F.max("frame_num")).first()[0] == 19
+    assert {tuple(r) for r in first.collect()} == {tuple(r) for r in D.player_boxes(frames).select(first.columns).collect()}
     T.read_or_detect(spark, path, PLAYER_DET, detect, read=False)
     assert len(calls) == 2
     with pytest.raises(ValueError, match="not match_id"):
@@ -201,7 +202,7 @@ def test_process(spark, frames, tmp_path):
     assert told == sorted(told) and told[0] == 5 and told[-1] == 100 and staging.release(spark) == 0
     assert spark.read.parquet(paths["frame_stats"]).agg(F.max("frame_num")).first()[0] == 49
     back = T.read_documents(spark, paths["analysis"])
-    a = analyse(*(x.where("frame_num < 50") if "frame_num" in x.columns else x for x in (T.match_rows(frames.where("frame_num < 50")), given.keypoints, given.players, given.balls, given.frames)))
+    a = analyse(*(x.where("frame_num < 50") if "frame_num" in x.columns else x for x in (D.match_rows(frames.where("frame_num < 50")), given.keypoints, given.players, given.balls, given.frames)))
     columns = ["match_id", "player_id", *reports.METRICS]
     assert {tuple(r) for r in reports.summary_of(back).select(columns).collect()} == {tuple(r) for r in reports.rounded(a.summary).select(columns).collect()}
     assert isinstance(a, Analysis) and staging.release(spark) > 0

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tramline import derived as D
 from tramline.operators import ball, reports
 from tramline.schemas import BALL_DET
-from tramline.sources import tracking as T
 from tramline.streaming import live
 
 
@@ -16,8 +16,8 @@ def drained(df, mode, name, tmp_path):
 
 
 def test_live_ball_follows_the_batch_rule(spark, sf_dir, tmp_path):
-    fr = T.frames(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    cands, frames = T.ball_candidates(fr), fr.select("match_id", "frame_num")
+    fr = D.frames(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    cands, frames = D.ball_candidates(fr), fr.select("match_id", "frame_num")
     rows = live.frame_rows(cands, frames).cache()
     for part in range(3):  # three files in time order
         rows.where((F.col("frame_num") >= part * 90) & (F.col("frame_num") < (part + 1) * 90 if part < 2 else F.lit(True))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

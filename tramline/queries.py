@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import derived as D
 from .functions import geometry as G
 from .operators import ball, court, density, highlights, jobs, players, reports, stats
 from .plans.match import Analysis, analyse
@@ -14,16 +15,16 @@ from .sources import tracking as T
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    return T.frames(spark.read.parquet(f"{sf}/events.parquet"))
+    return D.frames(spark.read.parquet(f"{sf}/events.parquet"))
 
 
 def _analysis(spark: SparkSession, sf: str, fps: float | None = None) -> Analysis:
     """Slots are the derived players as they are, so that SQL can follow; the ball's box is its centre."""
     fr = _frames(spark, sf)
-    m = T.match_rows(fr, fps)
-    slots = T.player_boxes(fr).select("match_id", "frame_num", F.col("track_id").cast("int").alias("player_id"), F.col("track_id").cast("int").alias("slot_ord"), "x1", "y1", "x2", "y2")
-    b = T.ball_track(fr).where(F.col("cx").isNotNull()).select("match_id", "frame_num", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
-    return Analysis(m, T.keypoint_rows(m), slots, b, fr.select("match_id", "frame_num"))
+    m = D.match_rows(fr, fps)
+    slots = D.player_boxes(fr).select("match_id", "frame_num", F.col("track_id").cast("int").alias("player_id"), F.col("track_id").cast("int").alias("slot_ord"), "x1", "y1", "x2", "y2")
+    b = D.ball_track(fr).where(F.col("cx").isNotNull()).select("match_id", "frame_num", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
+    return Analysis(m, D.keypoint_rows(m), slots, b, fr.select("match_id", "frame_num"))
 
 
 def _r(c: str, digits: int = 4):
@@ -32,35 +33,35 @@ def _r(c: str, digits: int = 4):
 
 
 def bbox_centers(spark, sf):
-    return T.ball_candidates(_frames(spark, sf)).select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), G.center_x().alias("cx"), G.center_y().alias("cy"), G.whole(G.center_x()).cast("bigint").alias("ix"), G.whole(G.center_y()).cast("bigint").alias("iy"), G.height().alias("h"))
+    return D.ball_candidates(_frames(spark, sf)).select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), G.center_x().alias("cx"), G.center_y().alias("cy"), G.whole(G.center_x()).cast("bigint").alias("ix"), G.whole(G.center_y()).cast("bigint").alias("iy"), G.height().alias("h"))
 
 
 def foot_points(spark, sf):
-    return T.player_boxes(_frames(spark, sf)).select("match_id", "frame_num", "track_id", G.foot_x().cast("bigint").alias("foot_x"), G.foot_y().cast("bigint").alias("foot_y"))
+    return D.player_boxes(_frames(spark, sf)).select("match_id", "frame_num", "track_id", G.foot_x().cast("bigint").alias("foot_x"), G.foot_y().cast("bigint").alias("foot_y"))
 
 
 def court_layout(spark, sf):
-    c = court.with_layout(T.match_rows(_frames(spark, sf)))
+    c = court.with_layout(D.match_rows(_frames(spark, sf)))
     return c.select("match_id", *(F.col(x).cast("bigint").alias(x.split(".")[-1]) for x in ("frame_w", "frame_h", "court.width", "court.height", "court.x0", "court.y0", "court.x1", "court.y1")))
 
 
 def court_corners(spark, sf):
-    c = court.corners(T.keypoint_rows(T.match_rows(_frames(spark, sf))))
+    c = court.corners(D.keypoint_rows(D.match_rows(_frames(spark, sf))))
     return c.select("match_id", F.array_join(F.transform("corners", lambda x: x.cast("string")), ",").alias("corners"))
 
 
 def court_lines(spark, sf):
-    c = court.with_layout(T.match_rows(_frames(spark, sf)))
+    c = court.with_layout(D.match_rows(_frames(spark, sf)))
     return c.select("match_id", F.explode(G.court_lines()).alias("line")).select("match_id", "line.*")
 
 
 def court_keypoint_rows(spark, sf):
-    k = T.keypoints_from(T.keypoint_answers(_frames(spark, sf)))
+    k = T.keypoints_from(D.keypoint_answers(_frames(spark, sf)))
     return k.select("match_id", F.col("class_idx").cast("bigint").alias("class_idx"), "class_name", F.col("kp_idx").cast("bigint").alias("kp_idx"), "x", "y")
 
 
 def point_helpers(spark, sf):
-    c = T.ball_candidates(_frames(spark, sf))
+    c = D.ball_candidates(_frames(spark, sf))
     c = c.withColumns({"foot": G.foot_point(), "d": G.axis_distances(G.center_x(), G.center_y(), F.lit(640), F.lit(360)), "px": G.m_to_px(F.col("frame_num") / 10, F.lit(1200), 100.0), "clock": G.clock(F.col("frame_num") / 24)})
     return c.select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), F.col("foot.x").cast("bigint").alias("foot_x"), F.col("foot.y").alias("foot_y"), G.height().alias("h"), "d.dx", "d.dy", _r("px"), "clock")
 
@@ -80,30 +81,30 @@ def project_positions(spark, sf):
 
 
 def ball_candidates_filter(spark, sf):
-    return ball.plausible(T.ball_candidates(_frames(spark, sf))).select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), "conf")
+    return ball.plausible(D.ball_candidates(_frames(spark, sf))).select("match_id", "frame_num", F.col("cand_idx").cast("bigint").alias("cand_idx"), "conf")
 
 
 def ball_argmax(spark, sf):
-    return ball.most_confident(T.ball_candidates(_frames(spark, sf))).select("match_id", "frame_num", "conf", "x1", "y1", "x2", "y2")
+    return ball.most_confident(D.ball_candidates(_frames(spark, sf))).select("match_id", "frame_num", "conf", "x1", "y1", "x2", "y2")
 
 
 def court_bounds(spark, sf):
-    return players.court_bounds(T.keypoint_rows(T.match_rows(_frames(spark, sf))))
+    return players.court_bounds(D.keypoint_rows(D.match_rows(_frames(spark, sf))))
 
 
 def players_in_court(spark, sf):
     fr = _frames(spark, sf)
-    inside = players.in_court(T.player_boxes(fr), players.court_bounds(T.keypoint_rows(T.match_rows(fr))))
+    inside = players.in_court(D.player_boxes(fr), players.court_bounds(D.keypoint_rows(D.match_rows(fr))))
     return inside.select("match_id", "frame_num", "track_id", F.col("cx").cast("bigint").alias("cx"), F.col("cy").cast("bigint").alias("cy"))
 
 
 def court_estimate(spark, sf):
-    feet = T.player_boxes(_frames(spark, sf)).select("match_id", G.center_x().alias("foot_x"), F.col("y2").alias("foot_y"))
+    feet = D.player_boxes(_frames(spark, sf)).select("match_id", G.center_x().alias("foot_x"), F.col("y2").alias("foot_y"))
     return players.court_from_feet(feet)
 
 
 def _filled(spark, sf, limit):
-    t = T.ball_track(_frames(spark, sf))
+    t = D.ball_track(_frames(spark, sf))
     return ball.fill_gaps(t, ["cx", "cy"], limit)
 
 
@@ -130,7 +131,7 @@ def shot_frames(spark, sf):
 def shot_frames_ranged(spark, sf):
     """Shots by windows over ranges of 100 frames, as of matches that are too long for a task."""
     fr = _frames(spark, sf)
-    return ball.shots(ball.fill_gaps(T.ball_track(fr), ["cx", "cy"], span=100), span=100)
+    return ball.shots(ball.fill_gaps(D.ball_track(fr), ["cx", "cy"], span=100), span=100)
 
 
 def shot_segments(spark, sf):
@@ -226,7 +227,7 @@ def zone_occupancy(spark, sf):
 
 def cache_plan(spark, sf):
     """What a cache has of all matches: up to three generations of each, by two detector versions, some too short."""
-    m = T.match_rows(_frames(spark, sf)).select("match_id", F.col("total_frames").alias("frames"))
+    m = D.match_rows(_frames(spark, sf)).select("match_id", F.col("total_frames").alias("frames"))
     gen = F.explode(F.array(*(F.lit(g).cast("bigint") for g in range(3)))).alias("gen")
     held = m.select("match_id", "frames", gen).where((F.col("match_id") + F.col("gen") * 2) % 4 != 0)
     manifest = held.select("match_id", ((F.col("match_id") + F.col("gen")) % 2).cast("string").alias("version"), (F.col("frames") - (F.col("match_id") + F.col("gen")) % 3).alias("frames"), "gen")
@@ -234,7 +235,7 @@ def cache_plan(spark, sf):
 
 
 def track_census(spark, sf):
-    c = players.census(T.player_boxes(_frames(spark, sf)))
+    c = players.census(D.player_boxes(_frames(spark, sf)))
     return c.select("match_id", "tracks", "detections", F.array_join(F.transform("track_ids", lambda x: x.cast("string")), ",").alias("track_ids"))
 
 
@@ -279,20 +280,20 @@ def analysis_readback(spark, sf):
 
 def ball_select_stateful(spark, sf):
     fr = _frames(spark, sf)
-    return ball.select_ball(T.ball_candidates(fr), fr.select("match_id", "frame_num"))
+    return ball.select_ball(D.ball_candidates(fr), fr.select("match_id", "frame_num"))
 
 
 def player_slots(spark, sf):
     fr = _frames(spark, sf)
-    slots = players.assign_slots(T.player_boxes(fr), players.court_bounds(T.keypoint_rows(T.match_rows(fr))))
+    slots = players.assign_slots(D.player_boxes(fr), players.court_bounds(D.keypoint_rows(D.match_rows(fr))))
     return slots.withColumns({c: F.col(c).cast("bigint") for c in ("player_id", "slot_ord")})
 
 
 def match_analysis(spark, sf):
     """From raw detections to the summary, with both stateful steps."""
     fr = _frames(spark, sf)
-    m = T.match_rows(fr)
-    summary = analyse(m, T.keypoint_rows(m), T.player_boxes(fr), T.ball_candidates(fr), fr.select("match_id", "frame_num")).summary
+    m = D.match_rows(fr)
+    summary = analyse(m, D.keypoint_rows(m), D.player_boxes(fr), D.ball_candidates(fr), fr.select("match_id", "frame_num")).summary
     return reports.rounded(summary).withColumn("player_id", F.col("player_id").cast("bigint"))
 
 
