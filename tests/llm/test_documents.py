@@ -445,7 +445,8 @@ def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     got = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(df.columns)).collect())
     cur = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.SQL[name]})")
