@@ -2,7 +2,9 @@
 
 import json
 import random
+import threading
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +199,7 @@ def test_job_log(spark, tmp_path):
 
 def test_process(spark, frames, tmp_path):
     told = []
+    staging.release(spark)  # what other tests have left
     given = inputs(frames)
     paths = process(given, str(tmp_path / "out"), lambda stage, percent: told.append(percent), max_frames=50)
     assert told == sorted(told) and told[0] == 5 and told[-1] == 100 and staging.release(spark) == 0
@@ -221,3 +224,34 @@ def test_failed_jobs_tell_why(spark, frames, tmp_path):
     bad.balls = lambda: (_ for _ in ()).throw(RuntimeError("no detector"))
     assert run_job(log, "broken", bad, str(tmp_path / "out")) is None and log.get("broken")["error"] == "no detector" and log.get("broken")["progress"] == 20
     spark.sql("DROP TABLE jobs_of_runs")
+
+
+def test_jobs_side_by_side(spark, frames, tmp_path):
+    """Two jobs in threads both finish, a failing one beside them leaves nothing, and none deletes another's stages."""
+    place = Path(staging.shared_folder(spark).removeprefix("file:"))
+    before = set(place.glob("tramline-*"))
+    kept = staging.Stages(spark)
+    other = kept.staged(spark.range(7))
+    log = jobs.JobLog(spark, "jobs_side_by_side", str(tmp_path / "jobs")).create()
+    names = ("one", "two", "broken")
+    for name in names:
+        log.insert(name)
+    done = {}
+
+    def work(name):
+        given = inputs(frames.where("match_id = 0"))
+        if name == "broken":
+            given.matches = given.matches.withColumn("fps", F.expr("if(true, cast(raise_error('no rate') as double), fps)"))
+        done[name] = run_job(log, name, given, str(tmp_path / "out"), max_frames=30)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in names]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert done["broken"] is None and "no rate" in log.get("broken")["error"]
+    for name in ("one", "two"):
+        assert log.get(name)["status"] == "done" and spark.read.parquet(done[name]["frame_stats"]).count() == 120
+    assert other.count() == 7 and set(place.glob("tramline-*")) - before == {Path(kept._folder.removeprefix("file:"))}
+    assert kept.release() == 1 and set(place.glob("tramline-*")) == before
+    spark.sql("DROP TABLE jobs_side_by_side")
