@@ -43,43 +43,27 @@ from .common import MAP_BYTES, checkpointed, free, gathered, give_back, merged,
 
 #: A word is frequent if it is one in so many words of the corpus, and not the only one of its kind: at most so many words are.
 FREQUENT = 2_000_000
-#: Bytes of the longest word in the lexicon; words of a block that walk together; words that a task counts, and ids of words that it holds, before it lets them go.
+#: Bytes of the longest word in the lexicon; words of a block that walk together; words that a task counts, and pieces that it holds, before it lets them go.
 LONGEST, BLOCK, COUNTED, HELD = 24, 20_000, 200_000, 100_000
 #: Symbols up to which a piece is merged by looking through all of it.
 SHORT = 40
 ASCII_WHITE = np.zeros(256, bool)
 ASCII_WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 _white = "".join(map(chr, WHITE))
-#: The pieces of a word (fixed values of the vocabulary's splitter).
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{regex.escape(_white)}\p{{L}}\p{{N}}]+")
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+#: The pieces of a word (fixed values of the vocabulary's splitter), and the line ends that are put between words.
+PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{regex.escape(_white)}\p{{L}}\p{{N}}]+|\n")
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+|\n")
 
 
 @functools.cache
-def unsettled() -> re.Pattern:
-    """Finds combining marks and code points that are unassigned here."""
-    kind = np.fromiter((unicodedata.category(chr(c)) in ("Cn", "Mn", "Mc", "Me") for c in range(0x110000)), bool, 0x110000)
-    edges = np.flatnonzero(np.diff(kind, prepend=False, append=False)).reshape(-1, 2)
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
+def settled(c: str) -> bool:
+    """Whether a code point is assigned here and no combining mark."""
+    return unicodedata.category(c) not in ("Cn", "Mn", "Mc", "Me")
 
 
-class Recent:
-    """Ids of pieces met of late: the last HELD to 2 * HELD of them."""
-
-    def __init__(self):
-        self.new: dict[bytes, array] = {}
-        self.old: dict[bytes, array] = {}
-
-    def get(self, key: bytes) -> array | None:
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self[key] = got
-        return got
-
-    def __setitem__(self, key: bytes, ids: array) -> None:
-        if len(self.new) >= HELD:
-            self.old, self.new = self.new, {}
-        self.new[key] = ids
+def plain(text: str) -> bool:
+    """Whether a text is composed and all its code points are settled, so that every library's tables agree on it."""
+    return text.isascii() or unicodedata.is_normalized("NFC", text) and all(map(settled, set(text)))
 
 
 class Merges:
@@ -103,7 +87,8 @@ class Merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 20 | vocab[b]] = r
             self.made.append(vocab[a + b])
-        self.known = Recent()
+        self.known: dict[str, array] = {}
+        self.before: dict[str, array] = {}
 
     @functools.cached_property
     def library(self):
@@ -113,40 +98,63 @@ class Merges:
 
     def word(self, word: bytes) -> array:
         """Ids of one word."""
-        if word.isalpha():  # letters of ASCII
-            return self.piece(word.lower())
-        out = array("i")
-        text = word.decode()
+        return self.words([word])[0]
+
+    def words(self, words: list[bytes]) -> tuple[array, list[int]]:
+        """(ids of words, one after another, and where those of each end). Words without special tokens whose code points are settled are split all together."""
+        joined = b"\n".join(words).decode()
+        if plain(joined) and not (self._find and self._find.search(joined)):
+            return self._split(joined)
+        ids, ends = array("i"), []
+        for w in words:
+            self._alone(w.decode(), ids)
+            ends.append(len(ids))
+        return ids, ends
+
+    def _split(self, joined: str) -> tuple[array, list[int]]:
+        """`words` of a text of words with a line end after each but the last; pieces that were met of late are looked up."""
+        ids, ends = array("i"), []
+        known, before = self.known.get, self.before.get
+        text = joined.lower() if joined.isascii() else joined.replace("Σ", "σ").lower()  # no other form at the end of a word
+        for p in (ASCII_PIECES if joined.isascii() else PIECES).findall(text):
+            if p == "\n":
+                ends.append(len(ids))
+                continue
+            got = known(p)
+            if got is None:
+                got = before(p)
+                if got is None:
+                    got = self.piece(p.encode())
+                if len(p) <= SHORT:
+                    self.known[p] = got
+            ids.extend(got)
+        ends.append(len(ids))
+        if len(self.known) > HELD:
+            self.before, self.known = self.known, {}
+        return ids, ends
+
+    def _alone(self, text: str, out: array) -> None:
+        """Ids of one word of any kind."""
         at = 0
-        for m in self._find.finditer(text) if self._find and "<" in text else ():
-            self._plain(text[at : m.start()], out)
+        for m in self._find.finditer(text) if self._find else ():
+            self._alone_plain(text[at : m.start()], out)
             out.append(self.special[m[0]])
             at = m.end()
-        self._plain(text[at:] if at else text, out)
-        return out
-
-    def _plain(self, text: str, out: array) -> None:
-        pieces = ASCII_PIECES
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text) or unsettled().search(text):
-                bytes_of = {s: b for b, s in enumerate(self.tokens[i] for i in self.inner)}
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-                    out.extend(self.piece(bytes(map(bytes_of.__getitem__, piece))))
-                return
-            text, pieces = text.replace("Σ", "σ"), PIECES  # no other form at the end of a word
-        for m in pieces.finditer(text.lower()):
-            out.extend(self.piece(m[0].encode()))
+        self._alone_plain(text[at:], out)
+
+    def _alone_plain(self, text: str, out: array) -> None:
+        if plain(text):
+            out.extend(self._split(text)[0])
+            return
+        bytes_of = {s: b for b, s in enumerate(self.tokens[i] for i in self.inner)}
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            out.extend(self.piece(bytes(map(bytes_of.__getitem__, piece))))
 
     def piece(self, piece: bytes) -> array:
-        """Ids of one piece; those of short pieces are kept."""
-        got = self.known.get(piece)
-        if got is None:
-            symbols = array("i", map(self.inner.__getitem__, piece))
-            symbols[-1] = self.last[piece[-1]]
-            if len(piece) > SHORT:
-                return self._long(symbols)
-            got = self.known[piece] = self._short(symbols)
-        return got
+        """Ids of one piece."""
+        symbols = array("i", map(self.inner.__getitem__, piece))
+        symbols[-1] = self.last[piece[-1]]
+        return self._long(symbols) if len(piece) > SHORT else self._short(symbols)
 
     def _short(self, ids: array) -> array:
         get, made, none = self.rank.get, self.made, 1 << 30
@@ -309,14 +317,10 @@ class Encoder:
             s, n = starts[a : a + BLOCK], sizes[a : a + BLOCK]
             held, out = lexicon.walk(data, s, n)
             new = np.flatnonzero(~held)
-            found, own = array("i"), []
             first, raw = int(s[0]), data[s[0] : s[-1] + n[-1]].tobytes()
-            for i, k in zip((s[new] - first).tolist(), n[new].tolist(), strict=True):
-                ids = self.merges.word(raw[i : i + k])
-                own.append(len(ids))
-                found.extend(ids)
+            found, ends = self.merges.words([raw[i : i + k] for i, k in zip((s[new] - first).tolist(), n[new].tolist(), strict=True)]) if len(new) else (array("i"), [])
             # outputs of words that the lexicon doesn't hold are numbered after its own
-            own = np.array(own, np.int64)
+            own = np.diff(np.array([0, *ends], np.int64))
             size = np.concatenate([lexicon.sizes, own])
             begin = np.concatenate([lexicon.starts[:-1], len(lexicon.pool) + np.cumsum(own) - own])
             out[new] = 0
