@@ -168,10 +168,13 @@ class JobLog:
             self.files.delete(new)
             return
         partition = lambda n: f"PARTITION (bucket = {bucket}, upto = {n})"
-        self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS {partition(upto)}")
+        named = self.spark.catalog.tableExists(self.table)  # a session that hasn't created it may write too
+        if named:
+            self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS {partition(upto)}")
         before = max(bases, default=-1)
         for old in bases:
-            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS {partition(old)}")
+            if named:
+                self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS {partition(old)}")
             if old < before:
                 self.files.delete(f"base/bucket={bucket}/upto={old}")
         for n in numbers:
