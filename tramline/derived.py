@@ -26,14 +26,16 @@ KEYPOINT_CASES = (
 )
 
 
-def frames(events: DataFrame) -> DataFrame:
-    """(match_id, frame_num, event_id, event_type, value, k): a match for each block of four users, a frame for each event."""
+def frames(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """(match_id, frame_num, event_id, event_type, value, k): a match for each block of four users, a frame for each event.
+
+    Spark sizes the tasks of a window by what was shuffled for it. With `parts`, matches are dealt to so many tasks instead: for steps that make several rows of a frame and sort them.
+    """
     w = Window.partitionBy("match_id").orderBy("ts", "event_id")
-    return (
-        events.withColumn("match_id", F.expr("user_id div 4"))
-        .withColumn("frame_num", (F.row_number().over(w) - 1).cast("bigint"))
-        .select("match_id", "frame_num", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    )
+    rows = events.select(F.expr("user_id div 4").alias("match_id"), "ts", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    if parts is not None:
+        rows = rows.repartition(parts, "match_id")
+    return rows.withColumn("frame_num", (F.row_number().over(w) - 1).cast("bigint")).select("match_id", "frame_num", "event_id", "event_type", "value", "k")
 
 
 def ball_track(fr: DataFrame) -> DataFrame:
@@ -53,10 +55,11 @@ def player_boxes(fr: DataFrame) -> DataFrame:
     return t.select("match_id", "frame_num", F.col("track_id").cast("bigint").alias("track_id"), (x - 20).alias("x1"), (y - 90).alias("y1"), (x + 20).alias("x2"), y.alias("y2"))
 
 
-def ball_candidates(fr: DataFrame) -> DataFrame:
-    """BALL_CAND: three candidates in each frame with a ball, some of unlikely size."""
-    i = F.explode(F.array(*map(F.lit, range(3)))).alias("cand_idx")
-    c = fr.where(F.col("event_type") != "error").select("match_id", "frame_num", "event_id", "k", i)
+def ball_candidates(fr: DataFrame, every: bool = False) -> DataFrame:
+    """BALL_CAND: three candidates in each frame with a ball, some of unlikely size. With `every`, frames without one have a row of nulls."""
+    seen, three = F.col("event_type") != "error", F.array(*map(F.lit, range(3)))
+    i = (F.explode_outer(F.when(seen, three)) if every else F.explode(three)).alias("cand_idx")
+    c = (fr if every else fr.where(seen)).select("match_id", "frame_num", "event_id", "k", i)
     half = (1 + (F.col("k") * 2 + F.col("cand_idx") * 31) % 200).cast("double") / 2
     x, y = (200 + 7 * F.col("k") + 300 * F.col("cand_idx")).cast("double"), (250 + F.col("event_id") % 97 * 4).cast("double")
     return c.select("match_id", "frame_num", "cand_idx", ((F.col("event_id") * 37 + F.col("cand_idx") * 29) % 100 / 100).alias("conf"), (x - half).alias("x1"), (y - half).alias("y1"), (x + half).alias("x2"), (y + half).alias("y2"))

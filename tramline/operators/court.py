@@ -86,8 +86,8 @@ def with_layout(matches: DataFrame) -> DataFrame:
 def homographies(matches: DataFrame, keypoints: DataFrame, feet: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """`matches` with `court` (layout struct) and `h` (array<double> of 9): one small solve for each match row, in columns.
 
-    Where the key points are missing, don't look like a court or lie in a line, the box of all feet takes their place; only feet of such matches are
-    aggregated. Under four feet, or with all feet in a line along an axis, the map is the identity.
+    Where the key points are missing, don't look like a court or lie in a line, the box of all feet takes their place. Under four feet, or with all feet in a line along
+    an axis, the map is the identity. Feet are summed up before they meet the matches, so that none are moved.
     """
     from .players import court_from_feet
 
@@ -96,7 +96,7 @@ def homographies(matches: DataFrame, keypoints: DataFrame, feet: DataFrame | Non
     identity = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
     if feet is None:
         return m.withColumn("h", F.coalesce("h", identity))
-    box = court_from_feet(feet.join(found.where("fits"), "match_id", "left_anti"), p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    box = court_from_feet(feet, p).select("match_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
     # from box to box: a scale and a shift along each axis
     scale = lambda axis: F.try_divide(F.col(f"court.{axis}1") - F.col(f"court.{axis}0"), F.col(f"box.{axis}1") - F.col(f"box.{axis}0"))
     shift = lambda axis: F.col(f"court.{axis}0") - F.col(f"box.{axis}0") * scale(axis)

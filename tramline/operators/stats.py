@@ -28,8 +28,9 @@ def _dims(matches: DataFrame, p: Params) -> DataFrame:
 def steps(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT, span: int | None = None) -> DataFrame:
     """(match_id, frame_num, player_id, step_m, step_kmh): displacement of players seen in two frames running."""
     w = within("player_id")
-    at = halo(players(pos), 1, 0, span).withColumns({c + "0": F.lag(c).over(w) for c in ("frame_num", "mx", "my")})
-    near = at.where(F.col(OWN) & (F.col("frame_num0") == F.col("frame_num") - 1)).join(_dims(matches, p), "match_id")
+    # matches first: what their join deals by match, should it deal, the window takes as it is
+    at = halo(players(pos).join(_dims(matches, p), "match_id"), 1, 0, span).withColumns({c + "0": F.lag(c).over(w) for c in ("frame_num", "mx", "my")})
+    near = at.where(F.col(OWN) & (F.col("frame_num0") == F.col("frame_num") - 1))
     m = G.px_to_m(G.distance("mx", "my", "mx0", "my0"), "court_px", p.court_width_m)
     return near.withColumn("step_m", m).select("match_id", "frame_num", "player_id", "step_m", G.kmh_per_frame("step_m", "fps").alias("step_kmh"))
 
@@ -39,6 +40,11 @@ def movement(pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFra
     return steps(pos, matches, p, p.span).groupBy("match_id", "player_id").agg(F.sum("step_m").alias("distance_covered"), F.avg("step_kmh").alias("avg_player_speed"), F.count(F.lit(1)).alias("steps"))
 
 
+def at_shots(pos: DataFrame, shots: DataFrame) -> DataFrame:
+    """Positions in the frames of shots, some 1 in 25: all that segments and what they add to the players look at."""
+    return pos.join(shots.select("match_id", "frame_num"), ["match_id", "frame_num"], "left_semi").select(*pos.columns)
+
+
 def segments(shots: DataFrame, pos: DataFrame, matches: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(match_id, seg_idx, sf, ef, dt, px, ball ends): from each shot to the next; the last shot starts none. px is null where the ball is missing at an end."""
     pairs = shots.withColumn("ef", F.lead("frame_num").over(Window.partitionBy("match_id").orderBy("shot_idx"))).where(F.col("ef").isNotNull())
